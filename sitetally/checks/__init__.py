@@ -1,0 +1,4 @@
+"""Queries over the driver tables, each with the SQL that checks it."""
+
+from . import listings, scalars  # noqa: F401
+from .registry import ORACLES, QUERIES  # noqa: F401
