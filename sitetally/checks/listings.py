@@ -2,12 +2,12 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import matching, options, reconcile
+from ..operators import options, reconcile
 from ..operators.document import option_search as search_options
 from ..operators.document import scope_choices as list_scope_choices
+from ..session import cut_lineage
 from ..sources import sheets
-from ..functions.identity import relation_key
-from .registry import broken, key, norm, query, room, room_label, scope, scope_label
+from .registry import broken, norm, query, room, scope, scope_label
 
 
 def _sheet_rows(d):
@@ -162,13 +162,13 @@ _CHOSEN = f"""n as (select job_id, count(*) as n_scopes, min(scope_id) as only_o
 
 
 def _chosen(d):
-    ids = options.identities(_listing(d))
+    ids = cut_lineage(options.identities(_listing(d)))
     return options.choose_scope(options.scopes(ids), options.rooms(ids), d.b_params, d.sql("select 0L as job_id, 'x' as target from {region}"))
 
 
 @query("scope_filter", f"with {_CHOSEN} select l.job_id, l.scope_id, method, count(*) as n from {{b_lst}} l join ch using (job_id, scope_id) group by 1, 2, 3")
 def scope_filter(d):
-    chosen = _chosen(d).where("scope_id is not null")
+    chosen = cut_lineage(_chosen(d).where("scope_id is not null"))
     return options.filter_scope(_listing(d), chosen).groupBy("job_id", "scope_id").agg(F.count(F.lit(1)).alias("n")).join(
         chosen.select("job_id", "method"), "job_id")
 
@@ -176,7 +176,7 @@ def scope_filter(d):
 @query("scope_fail_closed", f"""with {_CHOSEN} select ch.job_id, n_scopes, ch.scope_id, method, (select count(*) from {{b_lst}} l where l.job_id = ch.job_id and
        case when ch.scope_id is not null then l.scope_id = ch.scope_id else n_scopes <= 1 end) as kept from ch""")
 def scope_fail_closed(d):
-    chosen = _chosen(d)
+    chosen = cut_lineage(_chosen(d))
     kept = options.filter_scope(_listing(d), chosen).groupBy("job_id").agg(F.count(F.lit(1)).alias("kept"))
     return chosen.join(kept, "job_id", "left").select("job_id", "n_scopes", "scope_id", "method", F.coalesce("kept", F.lit(0)).alias("kept"))
 
@@ -245,7 +245,7 @@ def infer_scope(d):
        coalesce(references_formule_invalides, 0) as references_formule_invalides, coalesce(quantite_references_invalides, 0) as quantite_references_invalides,
        correspondances_pieces, correspondances_articles from w join ch using (job_id) left join p using (job_id) join g using (job_id)""")
 def listing_audit(d):
-    listing, chosen = _listing(d), _chosen(d)
+    listing, chosen = _listing(d), cut_lineage(_chosen(d))
     given = d.sql("select s_suppkey as job_id, case when s_suppkey % 2 = 0 then 'room' else 'material' end as kind from {supplier}")
     return options.listing_audit(listing, options.filter_scope(listing, chosen), chosen, given)
 
