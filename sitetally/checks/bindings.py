@@ -1,8 +1,8 @@
 """Views that let every operator run over the driver tables.
 
 Each view is one SQL text that Spark and DuckDB both read; ``{name}`` stands
-for a driver table or another view. All views keep every row of their tables
-that the comment does not exclude on purpose.
+for a driver table or another view. Order lines with status O are
+the listing, those with status F the plan.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ VIEWS = {
                case when pk % 4 = 0 then '' else brand end as code_article,
                case when pk % 97 = 3 then '#REF!' when pk % 89 = 5 then '' else materiel end as materiel,
                lq % 3 as quantite
-        from {b_src} where st = 'O' and pk % 7 <> 0""",
+        from {b_src} where st = 'O'""",
     "b_symbols": """
         select job_id, seq, cast(ln % 3 + 1 as int) as page,
                case ln % 3 when 0 then 'ELECTRICITE' when 1 then 'LUMINAIRE' else 'PLOMBERIE' end as page_type,
@@ -46,7 +46,7 @@ VIEWS = {
                     else concat('Salle ', cast(ln as string)) end as room,
                cast(ok % 40 as double) as room_dist, case when pk % 3 = 0 then 'vision' else 'texte' end as source,
                '' as detection_id, cast(0 as double) as confidence, '' as original_article, '' as original_reference
-        from {b_src} where st = 'F' and pk % 5 <> 0""",
+        from {b_src} where st = 'F'""",
     "b_params": """
         select s_suppkey as job_id, case when s_suppkey % 3 = 0 then lower(r_name) else '' end as niveau_excel,
                '' as nom_niveau, case when s_suppkey % 3 = 1 then substr(r_name, 1, 2) else 'zz' end as niveau_hint,
@@ -99,7 +99,7 @@ VIEWS = {
         select user_id % 40 as job_id, cast(user_id % 7 + 1 as int) as page, event_id as idx,
                concat('Pièce ', cast(event_id % 61 as string)) as name, cast(event_id * 91 % 977 as double) as x,
                cast(event_id * 67 % 701 as double) as y
-        from {events} where event_type in ('click', 'view', 'purchase') and value < 40""",
+        from {events} where event_type in ('click', 'view', 'purchase')""",
     "b_points": """
         select user_id % 40 as job_id, cast(user_id % 7 + 1 as int) as page, event_id as seq, event_type as name,
                cast(event_id * 43 % 983 as double) as x, cast(event_id * 59 % 709 as double) as y

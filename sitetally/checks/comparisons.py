@@ -246,7 +246,7 @@ def effective_relation(d):
 
 # -- both sides straight from the identities (no name matching) ---------------------------------
 _COUNTED = f"""select job_id, niveau, occupation, piece, numero, categorie, materiel, pk, ln, seq, cast(ln % 3 + 1 as int) as page, lq, st,
-              case when pk % 4 = 0 then 'nan' when pk % 5 = 1 then ' ' else brand end as label from {{b_src}} where st = 'F' and pk % 5 <> 0"""
+              case when pk % 4 = 0 then 'nan' when pk % 5 = 1 then ' ' else brand end as label from {{b_src}} where st = 'F'"""
 
 
 def _counted(d):
@@ -364,8 +364,8 @@ def category_lookup(d):
         F.count(F.lit(1)).alias("n"))
 
 
-_CATALOG = """select p_type as page_type, 'text' as kind, cast(p_partkey as int) as ord, p_name as article, p_brand as categorie, cast(p_partkey as string) as reference from {part} where p_partkey % 3 = 0"""
-_PAGE_TYPED = "select l_suppkey as job_id, p_type as page_type, p_name as article, concat('Salle ', cast(l_linenumber as string)) as room from {lineitem} join {part} on l_partkey = p_partkey where l_suppkey % 4 = 1"
+_CATALOG = """select p_type as page_type, 'text' as kind, cast(p_partkey as int) as ord, p_name as article, p_brand as categorie, cast(p_partkey as string) as reference from {part}"""
+_PAGE_TYPED = "select l_suppkey as job_id, p_type as page_type, p_name as article, concat('Salle ', cast(l_linenumber as string)) as room from {lineitem} join {part} on l_partkey = p_partkey"
 
 
 @query("catalog_coverage", f"""with c as (select page_type, article, arg_min(categorie, ord) as categorie, arg_min(reference, ord) as reference from ({_CATALOG}) group by 1, 2),
@@ -423,14 +423,22 @@ def reconcile_jobs(d):
                                        "niveau", "occupation", "piece", "scope_id")
 
 
-@query("trace", f"""with {_FLAG}, xk as (select distinct job_id, {key('room', 'article')} as mapping_key from ({_EXCLUDED})),
+_KEPT_FLAG = _FLAG.replace("from {b_symbols} group by all)", f"from {{b_symbols}} where (job_id, {key('room', 'article')}) not in (select (job_id, {key('room', 'article')}) from ({_EXCLUDED})) group by all)")
+
+
+@query("trace", f"""with {_KEPT_FLAG}, xk as (select distinct job_id, {key('room', 'article')} as mapping_key from ({_EXCLUDED})),
        st as (select job_id, room_id, materiel, arg_max(statut, categorie) as statut from fs group by 1, 2, 3),
-       sy as (select s.*, {key('room', 'article')} as mapping_key, xk.mapping_key is not null as ignored from {{b_symbols}} s left join xk on xk.job_id = s.job_id and xk.mapping_key = {key('s.room', 's.article')}),
-       tr as (select sy.*, case when ignored then '' else coalesce(rm.room_id, {new_room('sy.room')}) end as room_id, coalesce(mm.target, sy.article) as mat from sy
-              left join rm on rm.job_id = sy.job_id and rm.source_room = trim(sy.room) left join mm on mm.job_id = sy.job_id and mm.article = sy.article)
-       select job_id, mapping_key, ignored, count(*) as n, cast(sum(seq % 1000003) as bigint) as check_seq from tr group by 1, 2, 3""")
+       s0 as (select *, {key('room', 'article')} as mapping_key from {{b_symbols}}),
+       sy as (select s0.*, xk.mapping_key is not null as ignored from s0 left join xk on xk.job_id = s0.job_id and xk.mapping_key = s0.mapping_key),
+       lo as (select job_id, mapping_key, arg_max(room, seq) as room, arg_max(article, seq) as article from sy where not ignored group by 1, 2),
+       tg as (select lo.job_id, lo.mapping_key, coalesce(rm.room_id, {new_room('lo.room')}) as room_id, coalesce(mm.target, lo.article) as mat from lo
+              left join rm on rm.job_id = lo.job_id and rm.source_room = trim(lo.room) left join mm on mm.job_id = lo.job_id and mm.article = lo.article)
+       select sy.job_id, sy.mapping_key, ignored, coalesce(tg.room_id, '') as room_id, coalesce(tg.mat, mm.target, sy.article) as materiel_compare,
+       case when ignored then 'EXCLU PAR L''UTILISATEUR' else coalesce(st.statut, 'COMPTÉ SUR LE PLAN') end as statut, count(*) as n, cast(sum(seq % 1000003) as bigint) as check_seq
+       from sy left join tg on tg.job_id = sy.job_id and tg.mapping_key = sy.mapping_key left join mm on mm.job_id = sy.job_id and mm.article = sy.article
+       left join st on st.job_id = tg.job_id and st.room_id = tg.room_id and st.materiel = tg.mat group by 1, 2, 3, 4, 5, 6""")
 def trace_jobs(d):
     run = _comparison(d, exclusions=_exclusions(d))
     references = d.sql("select distinct p_name as article, 'x' as reference from {part}")
-    return run.trace(references).groupBy("job_id", "mapping_key", "ignored").agg(
+    return run.trace(references).groupBy("job_id", "mapping_key", "ignored", "room_id", "materiel_compare", "statut").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col("seq") % 1000003).alias("check_seq"))

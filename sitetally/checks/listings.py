@@ -265,14 +265,14 @@ def option_search(d):
 
 
 @query("scope_choices", f"""with r as (select job_id, scope_id, count(distinct room_id) as n_rooms from {{b_ident}} group by 1, 2),
-       o as (select job_id, scope_id, count(distinct materiel) as own from {{b_lst}} where {_valid()} and job_id % 2 = 0 group by 1, 2),
+       o as (select job_id, scope_id, count(distinct materiel) as own from {{b_lst}} where {_valid()} and niveau < 'B' group by 1, 2),
        c as (select job_id, scope_id, count(distinct materiel) as cmp from {{b_lst}} where materiel <> '' and categorie = 'ECONOMY' group by 1, 2)
        select s.job_id, s.scope_id, n_rooms, coalesce(own, cmp, 0) as n_materials, case when own is not null then 'catalogue' else 'comparatif' end as source
        from {{b_sc}} s join r using (job_id, scope_id) left join o using (job_id, scope_id) left join c using (job_id, scope_id)""")
 def scope_choices(d):
     listing = _listing(d)
     ids = options.identities(listing)
-    return list_scope_choices(options.scopes(ids), options.rooms(ids), listing.where("job_id % 2 = 0"), listing.where("categorie = 'ECONOMY'"))
+    return list_scope_choices(options.scopes(ids), options.rooms(ids), listing.where("niveau < 'B'"), listing.where("categorie = 'ECONOMY'"))
 
 
 _SAVED = """select s_suppkey as job_id, case when s_suppkey % 4 = 0 then n_name else '' end as audit, case when s_suppkey % 4 = 1 then 'inconnu' else '' end as selected,

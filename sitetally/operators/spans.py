@@ -105,7 +105,7 @@ def catalog_match(spans: DataFrame, types: DataFrame, catalog: DataFrame) -> Dat
         )
 
     hit = F.get(F.filter("entries", fits), F.lit(0))
-    group = F.regexp_extract(F.col("text"), F.concat(F.lit("(?i)^(?:"), F.col("hit.pattern"), F.lit(")")), F.lit(1))
+    group = F.call_function("regexp_extract", F.col("text"), F.concat(F.lit("(?i)^(?:"), F.col("hit.pattern"), F.lit(")")), F.lit(1))
     article = F.when(F.contains(F.col("hit.article"), F.lit("{0}")), F.replace(F.col("hit.article"), F.lit("{0}"), group)).otherwise(
         F.col("hit.article"))
     return (
