@@ -181,8 +181,13 @@ _RMAP = "select distinct job_id % 50 as job_id, piece as source_room, concat('id
 
 
 @query("doc_lines", f"""with {_groups('true')}, nu as (select *, row_number() over (partition by job_id order by {norm('room')}, {norm('material')}, {norm('category')}, first_seq) as n from gr), sb as ({_LINES}), st as ({_STOCK}), mp as ({_RMAP}),
-       pr as (select nu.*, sb.id as pid, sb.lot, sb.comparison_room as cr, sb.comparison_material as cmat, sb.is_addition as ad, sb.unit_price as up, mp.room_id as mapped from nu join sb on sb.origin = 'pdf' and sb.job_id = nu.job_id and {key('sb.room', 'sb.material')} = nu.mapping_key
-              left join mp on mp.job_id = nu.job_id and mp.source_room = nu.room),
+       pl as (select *, {norm('room')} as rr, {norm('material')} as m1, {norm('comparison_material')} as m2 from sb where origin = 'pdf'),
+       br as (select job_id, {key('room', 'material')} as k, max(seq) as seq from pl group by 1, 2),
+       bn as (select job_id, k, max(seq) as seq from (select job_id, concat(rr, '|', m1) as k, seq from pl union all select job_id, concat(rr, '|', m2), seq from pl) group by 1, 2),
+       pk as (select nu.*, coalesce(br.seq, b1.seq, b2.seq) as line_seq from nu left join br on br.job_id = nu.job_id and br.k = nu.mapping_key
+              left join bn b1 on b1.job_id = nu.job_id and b1.k = concat({norm('nu.room')}, '|', {norm('nu.material')}) left join bn b2 on b2.job_id = nu.job_id and b2.k = concat({norm('nu.room')}, '|', {norm('nu.comparison_material')})),
+       pr as (select pk.*, sb.id as pid, sb.lot, sb.comparison_room as cr, sb.comparison_material as cmat, sb.is_addition as ad, sb.unit_price as up, mp.room_id as mapped from pk join sb on sb.job_id = pk.job_id and sb.seq = pk.line_seq
+              left join mp on mp.job_id = pk.job_id and mp.source_room = pk.room),
        ch as (select *, coalesce(cr, mapped, '') as sel_room, case when ad then '' when cmat <> '' then cmat else comparison_material end as sel_mat from pr),
        mt as (select ch.job_id, ch.n, st.quantite_avant, row_number() over (partition by ch.job_id, ch.n order by case when {norm('st.categorie')} = {norm('ch.category')} then 0 else 1 end, st.piece, st.categorie, st.materiel) as k from ch join st on st.job_id = ch.job_id
               and (st.room_id = sel_room or {norm('st.piece')} = {norm('sel_room')} or (cr is null and {norm('st.piece')} = {norm('ch.room')})) and {norm('st.materiel')} <> ''
