@@ -9,7 +9,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..fixed_values import LEGEND_MARGIN_PT, RENDER_ZOOM
@@ -18,7 +18,7 @@ from ..session import cut_lineage
 
 PAGE = ["job_id", "page"]
 ZONE_CELL = 128.0
-NEAR_CELL = 64.0
+NEAR_CELL = 16.0
 TILE = 64
 LABEL_BITS = 20
 
@@ -29,40 +29,47 @@ def _cell(c: str, side) -> Column:
 
 # -- nearest label -------------------------------------------------------------------------
 
-def nearest_room(points: DataFrame, rooms: DataFrame, cell: float = NEAR_CELL) -> DataFrame:
+def nearest_room(points: DataFrame, rooms: DataFrame, finest: float = NEAR_CELL) -> DataFrame:
     """Nearest room label per distinct point: (job_id, page, x, y, room, room_dist).
 
-    Searches cells of growing side. A hit no farther than the side is final,
-    because the nine cells around a point hold every label within that
-    distance; only points without one look further. The first label (``idx``) wins a tie.
+    Descends through grids of falling cell side. At each level a point keeps
+    only the cells that can still hold its nearest label: those no farther than
+    the far corner of the best one. So a point meets a few cells per level,
+    however many labels a page or a single spot has. The first label (``idx``)
+    wins a tie; a page without labels gives ''.
     """
     spots = points.select(*PAGE, "x", "y").distinct()
-    labels = rooms.select(*PAGE, "idx", "name", F.col("x").alias("rx"), F.col("y").alias("ry"))
-    box = spots.select("x", "y").union(rooms.select("x", "y")).agg(
-        F.max("x"), F.min("x"), F.max("y"), F.min("y")).first()
-    extent = 0.0 if box[0] is None else max(box[0] - box[1], box[2] - box[3])
-    answers, todo = [], spots.join(rooms.select(*PAGE).distinct(), PAGE, "left_semi")
-    side = cell
-    while True:
-        last = side >= extent
-        around = labels.withColumns({"cx": _cell("rx", side), "cy": _cell("ry", side)}).withColumn(
-            "cx", F.explode(F.sequence(F.col("cx") - 1, F.col("cx") + 1))).withColumn(
-            "cy", F.explode(F.sequence(F.col("cy") - 1, F.col("cy") + 1)))
-        d = F.sqrt((F.col("rx") - F.col("x")) * (F.col("rx") - F.col("x")) + (F.col("ry") - F.col("y")) * (F.col("ry") - F.col("y")))
-        hits = (
-            todo.withColumns({"cx": _cell("x", side), "cy": _cell("y", side)}).join(around, [*PAGE, "cx", "cy"])
-            .groupBy(*PAGE, "x", "y").agg(F.min(F.struct(d.alias("d"), "idx", "name")).alias("hit"))
-        )
-        answers.append(hits if last else hits.where(F.col("hit.d") <= side))
-        if last:
-            break
-        todo = cut_lineage(todo.join(answers[-1].select(*PAGE, "x", "y"), [*PAGE, "x", "y"], "left_anti"))
-        side *= 4
-    found = answers[0]
-    for more in answers[1:]:
-        found = found.unionByName(more)
-    return spots.join(found, [*PAGE, "x", "y"], "left").select(
-        *PAGE, "x", "y", F.coalesce(F.col("hit.name"), F.lit("")).alias("room"), py_round("hit.d", 1).alias("room_dist"))
+    labels = rooms.groupBy(*PAGE, F.col("x").alias("rx"), F.col("y").alias("ry")).agg(F.min(F.struct("idx", "name")).alias("label"))
+    box = rooms.agg(F.max("x"), F.min("x"), F.max("y"), F.min("y")).first()
+    extent = finest if box[0] is None else max(box[0] - box[1], box[2] - box[3], finest)
+    depth = math.ceil(math.log(extent / finest, 4))
+    sides = [finest * 4 ** k for k in range(depth, -1, -1)]
+    point = [*PAGE, "x", "y"]
+
+    def squared(dx: Column, dy: Column) -> Column:
+        return dx * dx + dy * dy
+
+    def gap(c: str) -> Column:
+        return F.greatest(F.lit(0.0), F.col(f"{c}0") - F.col(c), F.col(c) - F.col(f"{c}1"))
+
+    def span(c: str) -> Column:
+        return F.greatest(F.abs(F.col(c) - F.col(f"{c}0")), F.abs(F.col(c) - F.col(f"{c}1")))
+
+    found = None
+    for n, side in enumerate(sides):
+        parent = [_cell(c, sides[n - 1]).alias(p) for c, p in (("rx", "px"), ("ry", "py"))] if n else []
+        above = ["px", "py"] if n else []
+        cells = labels.select(*PAGE, _cell("rx", side).alias("cx"), _cell("ry", side).alias("cy"), *parent, "rx", "ry").groupBy(
+            *PAGE, "cx", "cy", *above).agg(F.min("rx").alias("x0"), F.max("rx").alias("x1"), F.min("ry").alias("y0"), F.max("ry").alias("y1"))
+        met = spots.join(cells, PAGE) if found is None else found.withColumnsRenamed({"cx": "px", "cy": "py"}).join(cells, [*PAGE, "px", "py"])
+        reach = F.min(squared(span("x"), span("y"))).over(Window.partitionBy(*point))
+        found = met.withColumn("_reach", reach).where(squared(gap("x"), gap("y")) <= F.col("_reach") * (1 + 1e-9) + 1e-9).select(*point, "cx", "cy")
+    placed = labels.withColumns({"cx": _cell("rx", finest), "cy": _cell("ry", finest)})
+    distance = F.sqrt(squared(F.col("rx") - F.col("x"), F.col("ry") - F.col("y")))
+    nearest = found.join(placed, [*PAGE, "cx", "cy"]).groupBy(*point).agg(
+        F.min(F.struct(distance.alias("d"), F.col("label.idx").alias("idx"), F.col("label.name").alias("name"))).alias("hit"))
+    return spots.join(nearest, point, "left").select(
+        *point, F.coalesce(F.col("hit.name"), F.lit("")).alias("room"), py_round("hit.d", 1).alias("room_dist"))
 
 
 # -- zones ------------------------------------------------------------------------------------

@@ -94,7 +94,7 @@ def test_nearest_room_looks_as_far_as_needed(spark):
     rooms = [(1, 1, i, f"r{i}", float(rng.randrange(300)), float(rng.randrange(300))) for i in range(30)]
     got = {(r.job_id, r.x, r.y): r.room for r in spatial.nearest_room(
         spark.createDataFrame(points, "job_id int, page int, x double, y double"),
-        spark.createDataFrame(rooms, "job_id int, page int, idx int, name string, x double, y double"), cell=16.0).collect()}
+        spark.createDataFrame(rooms, "job_id int, page int, idx int, name string, x double, y double"), finest=16.0).collect()}
     want = {(j, x, y): min(((rx - x) ** 2 + (ry - y) ** 2, i, n) for _, _, i, n, rx, ry in rooms)[2] for j, _, x, y in points if j == 1}
     assert got == {**want, (2, 0.0, 0.0): ""}
 
