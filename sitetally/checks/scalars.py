@@ -122,7 +122,8 @@ def fuzzy_pairs(d):
     return similar_pairs(left, right, ["job_id"], 0.65).withColumn("score", text.py_round("score", 4))
 
 
-@query("catalog_flat")
+@query("catalog_flat", """select p_size, p_type as page_type, 'text' as kind, cast(row_number() over (partition by p_size, p_type order by cast(p_partkey as varchar)) - 1 as int) as ord,
+       cast(p_partkey as varchar) as reference, p_name as article, p_brand as categorie, 14.0::double as min_font_size from {part}""")
 def catalog_flat(d):
     """Catalogue documents written from the parts of each size, then flattened."""
     entry = F.struct(F.col("p_partkey").cast("string").alias("reference"), F.concat(F.lit("^"), "p_name").alias("pattern"),
