@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..fixed_values import (
-    ADDED, MODIFIED, NOT_DETECTED, REPORT_STATUS_ORDER, TO_VALIDATE, TRACE_COUNTED, TRACE_EXCLUDED, UNCHANGED,
+    ADDED, MODIFIED, NOT_DETECTED, REPORT_COLUMNS, REPORT_STATUS_ORDER, TO_VALIDATE, TRACE_COUNTED, TRACE_EXCLUDED, UNCHANGED,
 )
 from ..functions.amounts import positive_quantity
 from ..functions.identity import is_broken_reference, new_room_id, relation_key
@@ -342,13 +342,6 @@ def trace(symbols: DataFrame, exclusions: DataFrame, targets: DataFrame, compari
     )
 
 
-REPORT_COLUMNS = [
-    ("niveau", "Niveau"), ("occupation", "Occupation"), ("piece", "Pièce Excel"), ("numero", "N°"),
-    ("room_id", "ID pièce Excel"), ("source_room", "Pièce source PDF"), ("source_material", "Objet source PDF"),
-    ("origin", "Origine"), ("categorie", "Catégorie"), ("materiel", "Matériel comparé"),
-    ("quantite_avant", "Quantité marché"), ("quantite_apres", "Quantité après FTM"), ("ecart", "Écart"),
-    ("statut", "Statut"), ("pages", "Pages PDF"), ("labels", "Libellés plan"), ("rapprochement", "Rapprochement"),
-]
 REPORT_ORDER = ["job_id", "niveau", "occupation", "piece", "categorie", "materiel", "room_id"]
 
 

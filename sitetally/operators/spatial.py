@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..fixed_values import LEGEND_MARGIN_PT, RENDER_ZOOM
 from ..functions.text import py_round
-from ..session import cut_lineage
+from ..session import cut_lineage, ship_package
 
 PAGE = ["job_id", "page"]
 ZONE_CELL = 128.0
@@ -274,6 +274,7 @@ def flood(cells: DataFrame, seeds: DataFrame) -> DataFrame:
     then values that improve a cell across a tile edge start the next round,
     in the tiles they touch only.
     """
+    ship_package(cells.sparkSession)
     tile = {"tx": F.floor(F.col("x") / TILE).cast("bigint"), "ty": F.floor(F.col("y") / TILE).cast("bigint")}
     tiles = [*PAGE, "tx", "ty"]
     start = seeds.groupBy(*PAGE, "x", "y").agg(F.min("idx").cast("bigint").alias("value"))

@@ -1,8 +1,10 @@
-"""Session helpers: checkpointing that survives lost executors."""
+"""Session helpers: checkpoints that survive lost executors, the package on every worker."""
 
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,6 +28,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give Python workers this package; Spark copies the archive to every executor."""
+    context = spark.sparkContext
+    if getattr(context, "_sitetally_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="sitetally-package-")) / "sitetally.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in sorted(package.rglob("*.py")):
+            out.write(source, source.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    context._sitetally_shipped = True
+
+
 def cluster_session(name: str = "sitetally", **conf: str) -> SparkSession:
     """Session with the settings the jobs are written for; callers override any of them."""
     settings = {

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from ..fixed_values import (
     CORRESPONDENCE_MARK, HEADER_ALIASES, HEADER_MARK, IGNORED_SHEETS, LEVEL_FALLBACK_ROWS,
-    LISTING_COLUMNS, MATERIAL_CORRESPONDENCE, MERGED_CELL_COLUMNS, REQUIRED_COLUMNS, ROOM_CORRESPONDENCE,
+    LISTING_COLUMNS, MATERIAL_CORRESPONDENCE, MERGED_CELL_COLUMNS, MISSING_COLUMNS_ERROR, NO_HEADER_ERROR, REQUIRED_COLUMNS,
+    ROOM_CORRESPONDENCE,
 )
 from ..functions.amounts import sheet_quantity
 from ..functions.identity import with_room_identity
@@ -55,8 +56,8 @@ def sheet_headers(sheet_rows: DataFrame) -> DataFrame:
             *positions,
             F.when(strip("sheet") != "", strip("sheet"))
              .otherwise(F.coalesce("_first_text", F.lit(""))).alias("sheet_level"),
-            F.when(F.col("_header").isNull(), F.lit("aucune ligne d'en-tete contenant 'Occupation'"))
-             .when(F.size(missing) > 0, F.concat(F.lit("colonnes obligatoires absentes : "), F.array_join(missing, ", ")))
+            F.when(F.col("_header").isNull(), F.lit(NO_HEADER_ERROR))
+             .when(F.size(missing) > 0, F.concat(F.lit(MISSING_COLUMNS_ERROR), F.array_join(missing, ", ")))
              .alias("error"),
         )
     )
