@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -10,17 +11,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def use_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared checkpoint folder; a temporary one only in local mode."""
+    """Use the shared folder that spark.checkpoint.dir names, else one below the warehouse."""
     context = spark.sparkContext
-    if context.getCheckpointDir() is not None:
-        return
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        context.setCheckpointDir(configured)
-    elif context.master.startswith("local"):
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="sitetally-checkpoint-"))
-    else:
-        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+    if context.getCheckpointDir() is None:
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{warehouse}/sitetally-checkpoints")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write a table into the shared checkpoint folder and read it back: a cut that also serves as a columnar copy."""
+    spark = df.sparkSession
+    use_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -41,18 +45,3 @@ def ship_package(spark: SparkSession) -> None:
     context.addPyFile(str(archive))
     context._sitetally_shipped = True
 
-
-def cluster_session(name: str = "sitetally", **conf: str) -> SparkSession:
-    """Session with the settings the jobs are written for; callers override any of them."""
-    settings = {
-        "spark.sql.adaptive.enabled": "true",
-        "spark.sql.adaptive.skewJoin.enabled": "true",
-        "spark.sql.adaptive.coalescePartitions.enabled": "true",
-        "spark.sql.session.timeZone": "UTC",
-        "spark.sql.parquet.filterPushdown": "true",
-        **conf,
-    }
-    builder = SparkSession.builder.appName(name)
-    for key, value in settings.items():
-        builder = builder.config(key, value)
-    return builder.getOrCreate()
