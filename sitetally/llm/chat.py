@@ -31,7 +31,6 @@ PART = "struct<type string, text string, ref string, units bigint>"
 
 _ESCAPE, _UNESCAPE = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
 _HEAD = re.compile(r"<\|im_start\|>([^\n]*)\n")
-_PLACEHOLDER = re.compile(r"<\|(?:image|audio|document)_\d+\|>")
 
 
 def escape(text: str) -> str:
@@ -57,8 +56,7 @@ class Flattener:
     attachments: list[tuple[int, str, str | None, int]] = field(default_factory=list)
 
     def visit(self, part: dict) -> str:
-        kind = part.get("type") or "text"
-        return getattr(self, f"visit_{kind}", self.visit_other)(part)
+        return getattr(self, f"visit_{part['type']}")(part)
 
     def visit_text(self, part: dict) -> str:
         return escape(part.get("text") or "")
@@ -70,9 +68,19 @@ class Flattener:
 
     visit_image = visit_audio = visit_document = _placeholder
 
-    def visit_other(self, part: dict) -> str:
-        """An unknown kind of part: its text, which loses nothing."""
-        return self.visit_text(part)
+
+def _joined(parts: list[dict]) -> Iterator[dict]:
+    """Parts with neighbouring texts made one (an unknown kind of part counts by its text), so that no control string arises where two texts meet."""
+    texts: list[str] = []
+    for part in [*parts, None]:
+        if part is not None and part.get("type") not in UNIT_TOKENS:
+            texts.append(part.get("text") or "")
+            continue
+        if texts:
+            yield {"type": "text", "text": "".join(texts)}
+            texts = []
+        if part is not None:
+            yield part
 
 
 def format_turns(turns: list[dict]) -> tuple[str, list[tuple[int, int]], list[tuple[int, str, str | None, int]]]:
@@ -87,7 +95,7 @@ def format_turns(turns: list[dict]) -> tuple[str, list[tuple[int, int]], list[tu
     for turn in turns:
         role = turn["role"] or ""
         put(f"{START}{escape_role(role)}\n")
-        for part in turn["parts"] or []:
+        for part in _joined(turn["parts"] or []):
             begin, attached = at, len(visitor.attachments)
             put(visitor.visit(part))
             if role == LOSS_ROLE and at > begin and len(visitor.attachments) == attached:
@@ -121,9 +129,10 @@ _ATTACHED = pa.list_(pa.struct([("number", pa.int64()), ("type", pa.string()), (
 
 def _formatted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [format_turns(turns) for turns in batch.column(1).to_pylist()]
+        held = batch.column(1).to_pylist()
+        found = [format_turns(turns) for turns in held]
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([len(t) for t in batch.column(1)], pa.int64()), pa.array([f for f, _, _ in found], pa.string()),
+            [batch.column(0), pa.array([len(t) for t in held], pa.int64()), pa.array([f for f, _, _ in found], pa.string()),
              pa.array([[{"begin": a, "end": b} for a, b in s] for _, s, _ in found], _SPANS),
              pa.array([[dict(zip(("number", "type", "ref", "tokens"), a, strict=True)) for a in at] for _, _, at in found], _ATTACHED)],
             names=["conv_id", "n_turns", "formatted", "loss_spans", "attachments"],
