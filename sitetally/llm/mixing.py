@@ -82,26 +82,22 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, start: floa
         return np.zeros(len(lengths), np.int64)
     if budget >= total:
         return counts.copy()
-    share, taken = budget / total, np.zeros(len(lengths), np.int64)
-    ends = np.cumsum(counts)
+    share, taken, ends = (budget - window) / total, np.zeros(len(lengths), np.int64), np.cumsum(counts)
     while share > 0:
-        taken = np.diff(np.floor(ends * share + start).astype(np.int64), prepend=int(np.floor(start)))
-        over = int((taken * lengths).sum()) - budget
+        sample = np.diff(np.floor(ends * share + start).astype(np.int64), prepend=0)
+        over = int((sample * lengths).sum()) - budget
         if over <= 0:
+            taken = sample
             break
         share -= (over + 1) / total
-        taken[:] = 0
     rest = budget - int((taken * lengths).sum())
-    for i in range(len(lengths) - 1, -1, -1):
-        if rest <= window:
-            break
-        n = min(int(counts[i] - taken[i]), (rest - window) // int(lengths[i]))
-        taken[i] += max(n, 0)
-        rest -= max(n, 0) * int(lengths[i])
+    for i in range(len(lengths) - 1, -1, -1):  # one length of many documents may leave a wide gap
+        n = min(int(counts[i] - taken[i]), max(0, rest - window) // int(lengths[i]))
+        taken[i] += n
+        rest -= n * int(lengths[i])
     fit = np.flatnonzero((lengths <= rest) & (taken < counts))
-    if len(fit):
-        order = fit[np.argsort(-lengths[fit], kind="stable")]
-        taken[order] += np.array(knapsack(lengths[order].tolist(), (counts - taken)[order].tolist(), min(rest, 2 * window)), np.int64)
+    order = fit[np.random.default_rng(int(start * 2**32)).permutation(len(fit))]
+    taken[order] += np.array(knapsack(lengths[order].tolist(), (counts - taken)[order].tolist(), rest), np.int64)
     return taken
 
 

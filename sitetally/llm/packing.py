@@ -193,7 +193,7 @@ def _pieces(path: str, capacity: int, end_id: int):
 
 def _placed(runs: list[tuple], capacity: int):
     table = np.array(sorted(runs), np.int64).reshape(-1, 6)
-    span = int(table[:, 1].max() + 1) if len(table) else 1
+    span = int((table[:, 1] + table[:, 2]).max()) if len(table) else 1
     keys = table[:, 0] * span + table[:, 1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -30,6 +30,11 @@ TRAINING_ROWS = 20_000
 STEMS = (3, 4, 5, 6, 7)
 #: Toxic documents that a lexicon entry needs at least, and its share of toxic documents.
 MIN_TOXIC, MIN_PRECISION = 4, 0.75
+STRONG_PRECISION = 0.95
+#: A word that toxic documents have this share as often as the most common entry, which stands in STRONG_ROWS at least.
+COMMON_SHARE, STRONG_ROWS = 0.5, 20
+#: Added to the bound that a likelihood ratio must pass.
+CAUTION = 4.0
 #: Weight of a threat before labels speak, and documents that the default factors count for.
 THREAT_WEIGHT, PRIOR_ROWS = 2.6, 5.0
 #: Share of the other clauses' weight (by logarithm) in a document's score.
@@ -168,28 +173,77 @@ def _tally(rows: DataFrame, keep: frozenset | None) -> DataFrame:
     return rows.select("text").mapInArrow(_feature_counts(keep), "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
 
 
+def _features_held(keep: frozenset):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = [sorted(keep & features(t.decode())) for t in text_bytes(batch.column(0))]
+            yield pa.RecordBatch.from_arrays([pa.array(held, pa.list_(pa.string()))], names=["features"])
+
+    return run
+
+
+def _gain(bad: int, good: int, all_bad: int, all_good: int) -> float:
+    """Likelihood ratio of a feature in `bad` toxic and `good` clean documents, against the shares of all."""
+    share, own = all_bad / (all_bad + all_good), bad / (bad + good)
+    return 2 * (bad * math.log(own / share) + (good * math.log((1 - own) / (1 - share)) if good else 0.0))
+
+
+def cover(toxic: list[set[str]], clean_counts: dict[str, int], clean: int, bound: float) -> list[str]:
+    """Entries that explain the toxic documents: the feature with the largest gain first, then the next over the documents
+    that none explains yet, until the gain isn't past the bound. Documents still left, however few, then take the feature
+    with the largest gain over all documents, if it is past twice the bound. Whole words about as common as the most common
+    entry are entries, too. Whole words and longer stems win ties."""
+    where: dict[str, set[int]] = {}
+    for i, held in enumerate(toxic):
+        for f in held:
+            where.setdefault(f, set()).add(i)
+    everywhere = {f: len(found) for f, found in where.items()}
+    left, chosen = len(toxic), []
+    while where and left:
+        best = max(where, key=lambda f: (_gain(len(where[f]), clean_counts[f], left, clean), not f.endswith("*"), len(f), f))
+        found = where.pop(best)
+        if len(found) < MIN_TOXIC or len(found) < MIN_PRECISION * (len(found) + clean_counts[best]) or _gain(len(found), clean_counts[best], left, clean) <= bound:
+            break
+        chosen.append(best)
+        left -= len(found)
+        for f in {f for i in found for f in toxic[i]} & where.keys():
+            where[f] -= found
+            if not where[f]:
+                del where[f]
+    strong = {f: (_gain(everywhere[f], clean_counts[f], len(toxic), clean), not f.endswith("*"), len(f), f) for f in where}
+    explained = {i for f in chosen for i, held in enumerate(toxic) if f in held}
+    for f in sorted(strong, key=strong.get, reverse=True):
+        if strong[f][0] > 2 * bound and everywhere[f] >= STRONG_PRECISION * (everywhere[f] + clean_counts[f]):
+            found = {i for i, held in enumerate(toxic) if f in held}
+            if not found <= explained:
+                chosen.append(f)
+                explained |= found
+    common = COMMON_SHARE * max([0, *(everywhere[f] for f in chosen)])
+    alike = [f for f, n in everywhere.items() if not f.endswith("*") and f not in chosen and n >= max(common, 1) and n >= STRONG_PRECISION * (n + clean_counts[f])]
+    return chosen + (sorted(alike) if common >= STRONG_ROWS * COMMON_SHARE else [])
+
+
 def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Model:
-    """A model from labelled documents that aren't held out. Without labels of both kinds, only the fixed lists score.
+    """A model from labelled documents that aren't held out; copies count once. Without labels of both kinds, only the fixed lists score.
 
-    A word or stem enters the lexicon if it stands in MIN_TOXIC toxic documents, MIN_PRECISION of its documents are toxic,
-    and that many by chance are unlikely even among all features tried (a likelihood-ratio test with a bound that grows
-    with their number)."""
+    A word or stem enters the lexicon if it stands in MIN_TOXIC toxic documents that no stronger entry explains, MIN_PRECISION
+    of its documents are toxic, and that many by chance are unlikely even among all features tried (a likelihood-ratio test
+    with a bound that grows with their number). The driver holds the likely features of the toxic training rows, which
+    their bound limits."""
     prepare(docs.sparkSession)
-    chosen = written(_training_rows(docs, labels, rows), "toxicity-rows")
+    chosen = written(_training_rows(docs, labels, rows).dropDuplicates(["text", "toxic"]), "toxicity-rows")
     totals = {r["toxic"]: r["count"] for r in chosen.groupBy("toxic").count().collect()}
     toxic, clean = totals.get(1, 0), totals.get(0, 0)
     if not toxic or not clean:
         return Model()
     bad = {r["feature"]: r["n"] for r in _tally(chosen.filter("toxic = 1"), None).filter(F.col("n") >= MIN_TOXIC).collect()}
     good = {r["feature"]: r["n"] for r in _tally(chosen.filter("toxic = 0"), frozenset(bad)).collect()}
-    share, model = toxic / (toxic + clean), Model(bias=math.log(toxic / clean))
-    bound = 2 * math.log(max(len(bad), 2))
-    for name, n in bad.items():
-        other = good.get(name, 0)
-        precision = n / (n + other)
-        gain = 2 * (n * math.log(precision / share) + (other * math.log((1 - precision) / (1 - share)) if other else 0.0))
-        if precision >= MIN_PRECISION and gain > bound:
-            model.weights[name] = math.log((n + 0.5) / (toxic + 1)) - math.log((other + 0.5) / (clean + 1))
+    model = Model(bias=math.log(toxic / clean))
+    bound = 2 * math.log(max(len(bad), 2)) + CAUTION
+    likely = {f: good.get(f, 0) for f, n in bad.items() if n >= MIN_PRECISION * (n + good.get(f, 0)) and _gain(n, good.get(f, 0), toxic, clean) > bound}
+    held = chosen.filter("toxic = 1").select("text").mapInArrow(_features_held(frozenset(likely)), "features array<string>").collect()
+    for name in cover([set(r["features"]) for r in held], likely, clean, bound):
+        model.weights[name] = math.log((bad[name] + 0.5) / (toxic + 1)) - math.log((likely[name] + 0.5) / (clean + 1))
     seen: dict[frozenset, list[int]] = {}
     for r in chosen.mapInArrow(_state_counts(model), "flags string, toxic int, n long").groupBy("flags", "toxic").agg(F.sum("n").alias("n")).collect():
         seen.setdefault(frozenset(r["flags"].split("+")), [0, 0])[r["toxic"] != 0] += r["n"]
