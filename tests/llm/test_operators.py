@@ -431,8 +431,9 @@ def test_extraction_leaves_chrome_out(spark):
     assert extraction.main_text(PAGE) == "\n\n".join(expected)
     assert extraction.main_text("") == extraction.main_text("<nav>x</nav>") == ""
     assert extraction.main_text("plain text only") == "plain text only"
+    assert extraction.main_text("<p title=it's>a</p><p data='x>y'>it's") == "a\n\nit's"
     rows = [(1, "u", None, 1), (1, "u", "", 2), (None, None, "<p>a" * 30_000, 3), (2, "u", "<!-- open <p>x", 4), (2, "u", '<p a="x>y', 5)]
     frame = spark.createDataFrame(rows, "page_id long, url string, html string, text long")
     found = rows_of(extraction.extract_pages(frame))
-    assert len(found) == 5 and sum(n for *_, n in found) == 30_000 * 3 - 2
+    assert len(found) == 5 and sum(n for *_, n in found) == 30_000 * 3 - 2 + 1
     assert rows_of(extraction.extract_pages(frame.limit(0))) == []
