@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
+import unicodedata
+from array import array
 
 import numpy as np
 
@@ -11,7 +14,7 @@ TOKENIZER = "word_bpe_49k.json"
 #: Id appended to each document.
 END_ID = 1
 #: Words kept by a worker, in two generations of this many.
-WORD_MEMORY = 400_000
+WORD_MEMORY = 500_000
 
 
 def tokenizer_file(name: str = TOKENIZER) -> str:
@@ -20,11 +23,32 @@ def tokenizer_file(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def _classes() -> tuple[str, str, dict[int, str]]:
+    """Regular-expression classes of letters and digits below U+0180, and the byte alphabet of byte-level BPE for them.
+
+    The byte alphabet writes printable bytes as themselves and the others as characters from U+0100 on, in order."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = iter(range(0x100, 0x200))
+    alphabet = {b: chr(b if b in plain else next(others)) for b in range(256)}
+    chars = [chr(c) for c in range(0x21, 0x180)]
+    letters = "".join(c for c in chars if unicodedata.category(c)[0] == "L")
+    digits = "".join(c for c in chars if unicodedata.category(c)[0] == "N")
+    return letters, digits, {ord(c): "".join(alphabet[b] for b in c.encode()) for c in chars}
+
+
+_LETTERS, _DIGITS, _BYTES = _classes()
+#: The splitter of the tokenizer, for text of these characters and the white space below.
+_SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_DIGITS}]|[^\\s{_LETTERS}{_DIGITS}]+")
+#: Texts with other characters, a letter whose lower case is two, or a control string go through the tokenizer by white space.
+_OTHER = re.compile("[^\t-\r -~\u00a1-\u012f\u0131-\u017f]|<\\|")
+
+
 class WordEncoder:
-    """Encodes texts word by word.
+    """Encodes texts word by word: the ids of a text are those of its words in order.
 
-    The tokenizer's own normaliser and splitter never let a token cross white space, so the ids of a text are those of
-    its words (runs between ASCII white space) in order. Only words not met lately go through the tokenizer.
+    The tokenizer lower-cases, cuts a text into letters, single digits and runs of other signs, and encodes each by itself.
+    Texts of Latin letters are cut in the same way here, and only words not met lately go to the tokenizer's model. Other
+    texts are cut at white space, which no token crosses, and new pieces go through the whole tokenizer.
     """
 
     def __init__(self, path: str, memory: int = WORD_MEMORY):
@@ -33,24 +57,34 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.memory, self.young, self.old = memory, {}, {}
+        self.latin = self._cuts_latin()
+
+    def _cuts_latin(self) -> bool:
+        """Whether this tokenizer works as described, tried on a text that holds every Latin character."""
+        probe = " ".join(chr(c) + "Aé1" + chr(c) for c in [*range(0x21, 0x7F), *range(0xA1, 0x130), *range(0x131, 0x180)]) + " it's WE'LL éa'd --x 12³"
+        direct = [i for w in _SPLIT.findall(probe.lower()) for i in self._word(w)]
+        return direct == self.tokenizer.encode(probe, add_special_tokens=False).ids
+
+    def _word(self, word: str) -> list[int]:
+        return [t.id for t in self.tokenizer.model.tokenize(word if word.isascii() else word.translate(_BYTES))]
 
-    def _learn(self, words: set[bytes]) -> None:
-        unknown = []
+    def _learn(self, words: set, encode) -> None:
+        young, old = self.young, self.old
         for word in words:
-            ids = self.old.get(word)
-            if ids is None:
-                unknown.append(word)
-            else:
-                self.young[word] = ids
-        encoded = self.tokenizer.encode_batch_fast([w.decode() for w in unknown], add_special_tokens=False)
-        for word, one in zip(unknown, encoded, strict=True):
-            self.young[word] = np.array(one.ids, self.dtype).tobytes()
+            ids = old.get(word)
+            young[word] = array(self.code, encode(word)).tobytes() if ids is None else ids
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text as little-endian integers of self.dtype; an empty text has none."""
-        cut = [t.split() for t in texts]
-        self._learn(set().union(*cut) - self.young.keys())
+        cut: list[list] = []
+        for data in texts:
+            text = data.decode()
+            cut.append(_SPLIT.findall(text.lower()) if self.latin and not _OTHER.search(text) else data.split())
+        new = set().union(*cut) - self.young.keys()
+        self._learn({w for w in new if isinstance(w, str)}, self._word)
+        self._learn({w for w in new if isinstance(w, bytes)}, lambda w: self.tokenizer.encode(w.decode(), add_special_tokens=False).ids)
         known = self.young.__getitem__
         out = [b"".join(map(known, words)) for words in cut]
         if len(self.young) > self.memory:
