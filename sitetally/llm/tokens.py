@@ -14,7 +14,7 @@ TOKENIZER = "word_bpe_49k.json"
 #: Id appended to each document.
 END_ID = 1
 #: Words kept by a worker, in two generations of this many.
-WORD_MEMORY = 500_000
+WORD_MEMORY = 700_000
 
 
 def tokenizer_file(name: str = TOKENIZER) -> str:
@@ -43,6 +43,34 @@ _SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_DIGITS}]|[^\\s{_L
 _OTHER = re.compile("[^\t-\r -~\u00a1-\u012f\u0131-\u017f]|<\\|")
 
 
+#: Latin-1 bytes of plain text: what _OTHER lets pass.
+_PLAIN = bytes(c for c in range(256) if not _OTHER.search(chr(c)))
+
+
+def _is_latin(text: str) -> bool:
+    """Whether _OTHER finds nothing in text; most texts are told by their Latin-1 bytes."""
+    if "<|" in text:
+        return False
+    try:
+        return not text.encode("latin-1").translate(None, _PLAIN)
+    except UnicodeEncodeError:
+        return not _OTHER.search(text)
+
+
+class _Words(dict):
+    """Ids of words; one that isn't there is taken from the older generation or encoded."""
+
+    def __init__(self, encode, code: str, old: dict):
+        self.encode, self.code, self.old = encode, code, old
+
+    def __missing__(self, word) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
+            ids = array(self.code, self.encode(word)).tobytes()
+        self[word] = ids
+        return ids
+
+
 class WordEncoder:
     """Encodes texts word by word: the ids of a text are those of its words in order.
 
@@ -58,37 +86,31 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
-        self.memory, self.young, self.old = memory, {}, {}
+        self.memory, self.words = memory, _Words(self._ids, self.code, {})
         self.latin = self._cuts_latin()
 
     def _cuts_latin(self) -> bool:
-        """Whether this tokenizer works as described, tried on a text that holds every Latin character."""
+        """Whether this tokenizer works as described, tried on a text that holds every such character."""
         probe = " ".join(chr(c) + "Aé1" + chr(c) for c in [*range(0x21, 0x7F), *range(0xA1, 0x130), *range(0x131, 0x180)]) + " it's WE'LL éa'd --x 12³"
-        direct = [i for w in _SPLIT.findall(probe.lower()) for i in self._word(w)]
+        direct = [i for w in _SPLIT.findall(probe.lower()) for i in self._ids(w)]
         return direct == self.tokenizer.encode(probe, add_special_tokens=False).ids
 
-    def _word(self, word: str) -> list[int]:
+    def _ids(self, word: str | bytes) -> list[int]:
+        """Ids of a word as cut here (str), or of a piece between white space (bytes)."""
+        if isinstance(word, bytes):
+            return self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
         return [t.id for t in self.tokenizer.model.tokenize(word if word.isascii() else word.translate(_BYTES))]
 
-    def _learn(self, words: set, encode) -> None:
-        young, old = self.young, self.old
-        for word in words:
-            ids = old.get(word)
-            young[word] = array(self.code, encode(word)).tobytes() if ids is None else ids
-
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text as little-endian integers of self.dtype; an empty text has none."""
-        cut: list[list] = []
+        out = []
         for data in texts:
             text = data.decode()
-            cut.append(_SPLIT.findall(text.lower()) if self.latin and not _OTHER.search(text) else data.split())
-        new = set().union(*cut) - self.young.keys()
-        self._learn({w for w in new if isinstance(w, str)}, self._word)
-        self._learn({w for w in new if isinstance(w, bytes)}, lambda w: self.tokenizer.encode(w.decode(), add_special_tokens=False).ids)
-        known = self.young.__getitem__
-        out = [b"".join(map(known, words)) for words in cut]
-        if len(self.young) > self.memory:
-            self.old, self.young = self.young, {}
+            words = _SPLIT.findall(text.lower()) if self.latin and _is_latin(text) else data.split()
+            out.append(b"".join(map(self.words.__getitem__, words)))
+            if len(self.words) > self.memory:
+                self.words.old = {}  # else each generation would hold all before
+                self.words = _Words(self._ids, self.code, dict(self.words))
         return out
 
 
