@@ -17,6 +17,8 @@ SECTION_PARAGRAPHS = 16
 RUN_WORDS = 8
 #: Ranges of doc_id at most, rows in a block of neighbours about, and rows per range before there are more.
 RANGES, BLOCK_ROWS, RANGE_ROWS = 256, 8192, 1024
+#: Blocks whose heads are looked for by a broadcast table.
+BROADCAST_BLOCKS = 100_000
 
 _RUNS = f"(?: *+[^ ]++){{1,{RUN_WORDS}}}+(?: ++$)?+| ++"
 
@@ -109,6 +111,8 @@ def with_next(df: DataFrame, order: str, tie: Column, columns: list[str]) -> Dat
     follow = blocks.select("*", F.lead("_first").over(across).alias("_next"), F.first("_first").over(across).alias("_top"))
     follow = follow.select("_range", "_part", F.coalesce("_next", "_top").alias("_head"))
     wanted = follow.select(F.col("_head")[order].alias("_o"), F.col("_head")["_tie"].alias("_t")).distinct()
+    if ranges * width <= BROADCAST_BLOCKS:  # two numbers a block; with more of them Spark shuffles both sides
+        wanted = F.broadcast(wanted)
     held = F.struct(*columns)
     heads = df.join(wanted, df[order].eqNullSafe(wanted["_o"]) & (df["_tie"] == wanted["_t"])).groupBy("_o", "_t").agg(F.first(held).alias("_held"))
     follow = follow.join(heads, F.col("_head")[order].eqNullSafe(F.col("_o")) & (F.col("_head")["_tie"] == F.col("_t"))).select(
