@@ -369,8 +369,8 @@ _PAGE_TYPED = "select l_suppkey as job_id, p_type as page_type, p_name as articl
 
 
 @query("catalog_coverage", f"""with c as (select page_type, article, arg_min(categorie, ord) as categorie, arg_min(reference, ord) as reference from ({_CATALOG}) group by 1, 2),
-       s as ({_PAGE_TYPED}), j as (select distinct job_id from s), n as (select job_id, page_type, article, count(*) as n from s where room <> 'Salle 3' group by 1, 2, 3)
-       select job_id, page_type, article, categorie, reference, coalesce(n.n, 0) as n from (select * from j, c) left join n using (job_id, page_type, article)""")
+       s as ({_PAGE_TYPED}), n as (select job_id, page_type, article, count(*) as n from s where room <> 'Salle 3' group by 1, 2, 3)
+       select job_id, page_type, article, categorie, reference, n.n from c join n using (page_type, article)""")
 def catalog_coverage(d):
     symbols = d.sql(_PAGE_TYPED)
     excluded = symbols.where("room = 'Salle 3'").select("job_id", relation_key("room", "article").alias("mapping_key")).distinct()

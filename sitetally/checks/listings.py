@@ -258,7 +258,7 @@ def reference_lists(d):
 @query("option_search", f"""with o as (select job_id, room_id as value, min(room_label) as label, min(first_seen) as ord from {{b_ident}} group by 1, 2),
        lead as (select job_id, arg_min(value, ord) as value, arg_min(label, ord) as label from o where {norm('label')} like '%salle 3%' and {norm('label')} = {norm("'nation_3 salle 3 n 3 europe'")} group by 1),
        f as (select job_id, value, label, row_number() over (partition by job_id order by ord, value) as rank from o where contains({norm('label')}, 'salle'))
-       select job_id, 0 as rank, value, label from lead union all select job_id, rank, value, label from f where rank <= 80 and (job_id, value) not in (select (job_id, value) from lead)""")
+       select job_id, 0 as rank, value, label from lead union all select job_id, rank, value, label from f where (job_id, value) not in (select (job_id, value) from lead)""")
 def option_search(d):
     rows = options.rooms(options.identities(_listing(d))).select("job_id", F.col("first_seen.row_idx").alias("ord"), F.col("room_id").alias("value"), F.col("room_label").alias("label"))
     return search_options(rows, " SALLÉ ", suggested="NATION_3 Salle 3 n 3 Europe")

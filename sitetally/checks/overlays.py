@@ -57,7 +57,7 @@ def room_rename(d):
 _EDITS = """select user_id % 40 as job_id, case when event_id % 11 < 6 then concat('d', cast(event_id as string)) else concat('p', cast(user_id % 7 + 1 as string), '-d', cast(event_id % 40 as string), 'x') end as object_id,
             event_id % 13 = 0 as ignored, case when event_id % 3 = 0 then 'R2' else '' end as reference, case when event_id % 3 = 1 then 'Article 3' else '' end as article,
             case when event_id % 4 = 0 then 'Choisie' else '' end as room from {events} where event_id % 2 = 0"""
-_META = """select distinct event_type as page_type, k.lookup, case k.lookup when 'R2' then 'Article 2' else 'Article 3' end as article, 'nouvelle' as categorie, 'R' as reference from {events} cross join (select 'R2' as lookup union all select 'Article 3') k"""
+_META = """select distinct event_type as page_type, lookup, case lookup when 'R2' then 'Article 2' else 'Article 3' end as article, 'nouvelle' as categorie, 'R' as reference from (select event_type, {lookups} as lookup from {{events}}) k"""
 
 
 @query("edit_overlay", f"""with e as ({_EV}), ed as ({_EDITS}), {_REN}, {_zoned('e', 'locked')}, j as (select e.*, ed.reference as er, ed.article as ea, ed.room as eroom, coalesce(ed.ignored, false) as ig from e left join ed on ed.job_id = e.job_id and ed.object_id = e.detection_id)
@@ -66,7 +66,7 @@ _META = """select distinct event_type as page_type, k.lookup, case k.lookup when
        case when eroom <> '' then eroom else coalesce(zn.name, rn.new_name, j.room) end as room, case when eroom <> '' or zn.name is not null then 0 else 4.5 end::double as room_dist
        from j left join rn on rn.job_id = j.job_id and rn.original = j.room left join zn on zn.job_id = j.job_id and zn.page = j.page and zn.x = j.x and zn.y = j.y and zn.k = 1 where not ig""")
 def edit_overlay(d):
-    meta = d.sql(_META.replace("cross join", "join"))
+    meta = d.sql(_META.format(lookups="explode(array('R2', 'Article 3'))"))
     return overlay.apply_edits(d.sql(_EV), d.sql(_EDITS), meta, _zones(d)).select(
         "job_id", "seq", "article", "categorie", "label", "source", "room", "room_dist")
 
@@ -82,7 +82,7 @@ _HAND = """select user_id % 40 as job_id, event_id as seq, concat('h', cast(even
        left join za on za.job_id = h.job_id and za.page = h.page and za.x = h.x and za.y = h.y where not ignored and (reference = 'R2' or article = 'Article 3')""")
 def manual_objects(d):
     types = d.sql("select distinct user_id % 40 as job_id, cast(user_id % 7 + 1 as int) as page, 'view' as page_type from {events}")
-    return overlay.manual_symbols(d.sql(_HAND), types, d.sql(_META.replace("cross join", "join")), _zones(d)).select(
+    return overlay.manual_symbols(d.sql(_HAND), types, d.sql(_META.format(lookups="explode(array('R2', 'Article 3'))")), _zones(d)).select(
         "job_id", "seq", "label", "article", "room", "page_type")
 
 
@@ -99,7 +99,7 @@ _TR = "select *, 'R0' as reference, seq % 9 = 0 as needs_review, case when seq %
 def marker_overlay(d):
     trace = d.sql(_TR + f"({_EV})")
     texts = d.b_points.select("job_id", "page", F.col("name").alias("label"), "x", "y", F.lit("").alias("room"))
-    return overlay.marker_overlay(trace, d.sql(_EDITS), d.sql(_META.replace("cross join", "join")), texts, d.sql(_HAND), d.sql(_PAGES))
+    return overlay.marker_overlay(trace, d.sql(_EDITS), d.sql(_META.format(lookups="explode(array('R2', 'Article 3'))")), texts, d.sql(_HAND), d.sql(_PAGES))
 
 
 # -- saved corrections ----------------------------------------------------------------------------
@@ -138,7 +138,7 @@ def scope_guards(d):
 _CL = """cl as (select job_id, seq, case when lower(origin) = 'manual' then 'manual' else 'pdf' end as origin, id, mapping_key, room, lot, sous_lot, material, category, coalesce(comparison_room, '') as comparison_room, comparison_material, unit_price,
     is_addition, b as quantity_before, case when quantity_after is not null then quantity_after when additional_quantity = '' then b else coalesce(regexp_replace(regexp_replace(cast(
     try_cast(replace(b, ',', '.') as decimal(18,6)) + try_cast(replace(additional_quantity, ',', '.') as decimal(18,6)) as varchar), '0+$', ''), '\\.$', ''), '') end as quantity_after
-    from (select *, coalesce(quantity_before, market_quantity) as b, row_number() over (partition by job_id order by seq) as k from {b_doc_lines}) where k <= 250)"""
+    from (select *, coalesce(quantity_before, market_quantity) as b from {b_doc_lines}))"""
 
 
 @query("doc_lines_clean", f"with {_CL} select * from cl where room <> '' or material <> ''")

@@ -110,7 +110,7 @@ def _zones(d):
     return d.b_zones.withColumn("points", F.when(F.col("triangle"), F.slice(box, 1, 3)).otherwise(box)).withColumn("source", F.lit("murs"))
 
 
-_IN = "(q.x > z.x - 1e-12 or true) and z.y <= q.y and q.y < z.y + z.h and q.x < z.x + z.w and case when triangle then q.x >= z.x + z.w * (q.y - z.y) / z.h else q.x >= z.x end"
+_IN = "z.y <= q.y and q.y < z.y + z.h and q.x < z.x + z.w and case when triangle then q.x >= z.x + z.w * (q.y - z.y) / z.h else q.x >= z.x end"
 
 
 def _zoned(points: str, locked: str) -> str:

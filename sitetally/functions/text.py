@@ -63,15 +63,9 @@ def blank_to_null(c) -> Column:
     return F.nullif(strip(c), F.lit(""))
 
 
-def clip(c, length: int) -> Column:
-    """Remove NUL characters, trim, keep at most ``length`` characters."""
-    return F.substring(F.trim(F.replace(text_or_blank(c), F.lit("\x00"), F.lit("")), F.lit(WHITESPACE)), 1, length)
-
-
-def contains_words(haystack, needle) -> Column:
-    """Whole-word containment of one normalised text in another."""
-    return F.contains(F.concat(F.lit(" "), col(haystack), F.lit(" ")),
-                      F.concat(F.lit(" "), col(needle), F.lit(" ")))
+def tidy(c) -> Column:
+    """Remove NUL characters and trim."""
+    return F.trim(F.replace(text_or_blank(c), F.lit("\x00"), F.lit("")), F.lit(WHITESPACE))
 
 
 def phrases(words: Column, max_words: Column) -> Column:

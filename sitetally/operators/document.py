@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..fixed_values import MAX_DOCUMENT_LINES, MAX_OPTIONS
 from ..functions.amounts import format_euro, legacy_quantity_after, line_total, vat
 from ..functions.identity import is_broken_reference, relation_key
-from ..functions.text import clip, norm_token, strip, text_or_blank
+from ..functions.text import norm_token, strip, text_or_blank, tidy
 from .options import resolve_rooms
-from .ordered import rank_in_two_steps
+from .ordered import rank_by_range
 from .overlay import _or
 from .reconcile import REPORT_ORDER
 
@@ -21,22 +20,19 @@ TABLE_ORDER = [c for c in REPORT_ORDER if c != "job_id"]
 # -- lines as typed ------------------------------------------------------------------------------
 
 def clean_lines(lines: DataFrame) -> DataFrame:
-    """Clipped lines in today's columns; only the first 250 of a document count, empty ones are dropped.
+    """Lines in today's columns, without NUL characters and outer spaces; empty ones are dropped.
 
     ``lines(job_id, seq, id, mapping_key, origin, room, lot, sous_lot, material, category,
     comparison_room, comparison_material, is_addition, quantity_before, market_quantity,
     quantity_after, additional_quantity, unit_price)``; a null is a field that was not sent.
     """
-    first = Window.partitionBy("job_id").orderBy("seq")
-    kept = lines.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= MAX_DOCUMENT_LINES)
-    before = clip(F.coalesce("quantity_before", "market_quantity"), 40)
-    after = F.when(F.col("quantity_after").isNotNull(), clip("quantity_after", 40)).otherwise(
-        legacy_quantity_after(before, clip("additional_quantity", 40)))
-    sizes = {"id": 80, "mapping_key": 500, "room": 240, "lot": 120, "sous_lot": 120, "material": 500, "category": 240,
-             "comparison_room": 240, "comparison_material": 500, "unit_price": 40}
-    return kept.select(
+    before = tidy(F.coalesce("quantity_before", "market_quantity"))
+    after = F.when(F.col("quantity_after").isNotNull(), tidy("quantity_after")).otherwise(
+        legacy_quantity_after(before, tidy("additional_quantity")))
+    texts = ["id", "mapping_key", "room", "lot", "sous_lot", "material", "category", "comparison_room", "comparison_material", "unit_price"]
+    return lines.select(
         "job_id", "seq", F.when(F.lower(text_or_blank("origin")) == "manual", "manual").otherwise("pdf").alias("origin"),
-        *[clip(c, n).alias(c) for c, n in sizes.items()],
+        *[tidy(c).alias(c) for c in texts],
         F.coalesce("is_addition", F.lit(False)).alias("is_addition"), before.alias("quantity_before"), after.alias("quantity_after"),
     ).where("room <> '' or material <> ''")
 
@@ -60,10 +56,10 @@ def plan_groups(trace: DataFrame, include_ignored: bool = False) -> DataFrame:
     alike = seen.groupBy("job_id", "room", "article", "original_article", "materiel_compare", "categorie").agg(
         F.count(F.lit(1)).alias("n"), F.min("seq").alias("seq"))
     named = alike.select(
-        "job_id", "n", "seq", clip("room", 240).alias("room"),
-        clip(_or("article", "original_article", "materiel_compare"), 500).alias("material"),
-        clip(_or("materiel_compare", "article", "original_article"), 500).alias("comparison_material"),
-        clip("categorie", 240).alias("category"),
+        "job_id", "n", "seq", tidy("room").alias("room"),
+        tidy(_or("article", "original_article", "materiel_compare")).alias("material"),
+        tidy(_or("materiel_compare", "article", "original_article")).alias("comparison_material"),
+        tidy("categorie").alias("category"),
     ).where("material <> ''").withColumns({
         "mapping_key": relation_key("room", "material"), "_k1": norm_token("comparison_material"), "_k2": norm_token("category")})
     grouped = named.groupBy("job_id", "mapping_key", "_k1", "_k2").agg(
@@ -76,7 +72,7 @@ def plan_groups(trace: DataFrame, include_ignored: bool = False) -> DataFrame:
 def numbered_groups(groups: DataFrame) -> DataFrame:
     """Groups with their position ``n`` by room, material, category, then first appearance."""
     keyed = groups.withColumns({"_r": norm_token("room"), "_m": norm_token("material"), "_c": norm_token("category")})
-    return rank_in_two_steps(keyed, ["job_id"], ["_r"], ["_m", "_c", "first_seq"], "n").drop("_r", "_m", "_c")
+    return rank_by_range(keyed, ["job_id"], ["_r", "_m", "_c", "first_seq"], "n").drop("_r", "_m", "_c")
 
 
 def _room_material_keys(room, *materials) -> Column:
@@ -131,11 +127,11 @@ def document_lines(trace: DataFrame, submitted: DataFrame, comparison: DataFrame
         F.max("room_id").alias("_mapped"))
     has_room = F.col("p.comparison_room").isNotNull()
     addition = F.coalesce(F.col("p.is_addition"), F.lit(False))
-    typed_material = clip("p.comparison_material", 500)
+    typed_material = tidy("p.comparison_material")
     lines = joined.withColumn("_room_norm", norm_token("room")).join(mapped, ["job_id", "_room_norm"], "left").select(
         "job_id", F.concat(F.lit("g"), F.col("n").cast("string")).alias("line"), "n", "mapping_key", "room", "material", "category", "quantity_after",
         "p", addition.alias("is_addition"), has_room.alias("_has_room"), ((typed_material != "") | addition).alias("_has_material"),
-        F.when(has_room, clip("p.comparison_room", 240)).otherwise(F.coalesce("_mapped", F.lit(""))).alias("comparison_room"),
+        F.when(has_room, tidy("p.comparison_room")).otherwise(F.coalesce("_mapped", F.lit(""))).alias("comparison_room"),
         F.when(addition, "").when(typed_material != "", typed_material).otherwise(F.col("comparison_material")).alias("comparison_material"))
 
     def filled(*columns: Column) -> Column:
@@ -148,10 +144,10 @@ def document_lines(trace: DataFrame, submitted: DataFrame, comparison: DataFrame
         filled(norm_token("comparison_material"), F.when(~F.col("_has_material"), norm_token("material"))).alias("materials"))
     nothing = F.when(F.col("_has_room") | F.col("_has_material"), "0").otherwise("")
     plan = lines.join(_first_match(wanted, comparison, prefer_category=True), ["job_id", "line"], "left").select(
-        "job_id", _or(clip("p.id", 80), F.concat(F.lit("pdf-"), F.col("n").cast("string"))).alias("id"), "mapping_key", F.lit("pdf").alias("origin"),
-        "room", clip("p.lot", 120).alias("lot"), clip("p.sous_lot", 120).alias("sous_lot"), "material", "category", "comparison_room",
+        "job_id", _or(tidy("p.id"), F.concat(F.lit("pdf-"), F.col("n").cast("string"))).alias("id"), "mapping_key", F.lit("pdf").alias("origin"),
+        "room", tidy("p.lot").alias("lot"), tidy("p.sous_lot").alias("sous_lot"), "material", "category", "comparison_room",
         "comparison_material", "is_addition", F.coalesce(F.col("found").cast("string"), nothing).alias("quantity_before"),
-        F.col("quantity_after").cast("string").alias("quantity_after"), clip("p.unit_price", 40).alias("unit_price"))
+        F.col("quantity_after").cast("string").alias("quantity_after"), tidy("p.unit_price").alias("unit_price"))
 
     return plan.unionByName(_typed_lines(submitted, comparison))
 
@@ -159,13 +155,13 @@ def document_lines(trace: DataFrame, submitted: DataFrame, comparison: DataFrame
 def _typed_lines(submitted: DataFrame, comparison: DataFrame) -> DataFrame:
     """Manual lines; without a chosen material they are additions unless the user said otherwise."""
     number = F.concat(F.lit("manual-"), F.col("seq").cast("string"))
-    addition = F.coalesce("is_addition", clip("comparison_material", 500) == "")
+    addition = F.coalesce("is_addition", tidy("comparison_material") == "")
     lines = submitted.where(F.lower(_or("origin", F.lit("pdf"))) == "manual").select(
-        "job_id", number.alias("line"), "seq", clip("id", 80).alias("id"), clip("mapping_key", 500).alias("mapping_key"),
-        clip("room", 240).alias("room"), clip("material", 500).alias("material"), clip("category", 240).alias("category"),
-        clip("lot", 120).alias("lot"), clip("sous_lot", 120).alias("sous_lot"), clip("comparison_room", 240).alias("comparison_room"),
-        F.when(addition, "").otherwise(clip("comparison_material", 500)).alias("comparison_material"), addition.alias("is_addition"),
-        clip("quantity_after", 40).alias("quantity_after"), clip("unit_price", 40).alias("unit_price"),
+        "job_id", number.alias("line"), "seq", tidy("id").alias("id"), tidy("mapping_key").alias("mapping_key"),
+        tidy("room").alias("room"), tidy("material").alias("material"), tidy("category").alias("category"),
+        tidy("lot").alias("lot"), tidy("sous_lot").alias("sous_lot"), tidy("comparison_room").alias("comparison_room"),
+        F.when(addition, "").otherwise(tidy("comparison_material")).alias("comparison_material"), addition.alias("is_addition"),
+        tidy("quantity_after").alias("quantity_after"), tidy("unit_price").alias("unit_price"),
     ).where("room <> '' or material <> ''")
     wanted = lines.select(
         "job_id", "line", norm_token("category").alias("category_norm"), F.array("comparison_room").alias("rooms"),
@@ -273,16 +269,15 @@ def scope_choices(scopes: DataFrame, rooms: DataFrame, scope_listing: DataFrame,
         F.when(F.col("_own").isNotNull(), "catalogue").otherwise("comparatif").alias("source"))
 
 
-def option_search(options: DataFrame, query: str, suggested: str = "", limit: int = MAX_OPTIONS) -> DataFrame:
-    """First options of each job whose label holds the query; the suggestion leads.
+def option_search(options: DataFrame, query: str, suggested: str = "") -> DataFrame:
+    """Options of each job whose label holds the query, with their rank; the suggestion leads with rank 0.
 
     ``options(job_id, ord, value, label)``; the first row of a value counts.
     """
     distinct = options.where("value <> ''").groupBy("job_id", "value").agg(F.min_by("label", "ord").alias("label"), F.min("ord").alias("ord"))
     is_suggested = (F.col("value") == suggested) | (norm_token("label") == norm_token(F.lit(suggested))) if suggested else F.lit(False)
     wanted = norm_token(F.lit(query.strip()))
-    found = distinct.where(F.contains(norm_token("label"), wanted)).withColumn(
-        "rank", F.row_number().over(Window.partitionBy("job_id").orderBy("ord", "value"))).where(F.col("rank") <= limit)
+    found = rank_by_range(distinct.where(F.contains(norm_token("label"), wanted)), ["job_id"], ["ord", "value"], "rank")
     lead = distinct.where(is_suggested).groupBy("job_id").agg(F.min(F.struct("ord", "value", "label")).alias("s")).select(
         "job_id", F.lit(0).alias("rank"), "s.value", "s.label")
     rest = found.select("job_id", "rank", "value", "label").join(lead.select("job_id", "value"), ["job_id", "value"], "left_anti")

@@ -1,77 +1,65 @@
 """Ordered scans over groups of any size.
 
-A plain window sends a whole group to one task. These helpers cut each group
-into blocks along its order column, work inside the blocks, and carry only one
-summary row per block from block to block.
+A plain window sends a whole group to one task. These helpers sort the rows
+into ranges of keys and order once, write them with the number of their range,
+work inside the ranges, and carry one summary row per key and range. Ranges
+hold about the same number of rows, however the order column is spread.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK_ROWS = 100_000
+from ..session import written
 
+RANGE = "_range"
 
-def block_of(order: str, block_rows: int = BLOCK_ROWS) -> Column:
-    return F.floor(F.col(order) / F.lit(block_rows)).cast("bigint")
 
+def in_ranges(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """df as a written table with ``_range``: ranges follow each other in (keys, order)."""
+    return written(df.repartitionByRange(*keys, *order).withColumn(RANGE, F.spark_partition_id()), "ranges")
 
-def running_count(df: DataFrame, keys: list[str], order: str, out: str,
-                  block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """``row_number`` per ``keys`` along the numeric, unique ``order``, as column ``out``."""
-    blocked = df.withColumn("_block", block_of(order, block_rows))
-    inside = Window.partitionBy(*keys, "_block").orderBy(order)
-    numbered = blocked.withColumn("_rank", F.row_number().over(inside))
-    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+
+def _before(*keys: str):
+    return Window.partitionBy(*keys).orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
+
+
+def rank_by_range(df: DataFrame, keys: list[str], order: list[str], out: str) -> DataFrame:
+    """``row_number`` per ``keys`` along ``order``, as column ``out``."""
+    ranged = in_ranges(df, keys, order)
+    numbered = ranged.withColumn("_rank", F.row_number().over(Window.partitionBy(RANGE, *keys).orderBy(*order)))
     offsets = (
-        blocked.groupBy(*keys, "_block").agg(F.count(F.lit(1)).alias("_n"))
-        .select(*keys, "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+        ranged.groupBy(RANGE, *keys).agg(F.count(F.lit(1)).alias("_n"))
+        .select(RANGE, *keys, F.coalesce(F.sum("_n").over(_before(*keys)), F.lit(0)).alias("_offset"))
     )
     return (
-        numbered.join(offsets, [*keys, "_block"])
+        numbered.join(offsets, [RANGE, *keys])
         .withColumn(out, (F.col("_rank") + F.col("_offset")).cast("bigint"))
-        .drop("_block", "_rank", "_offset")
+        .select(*df.columns, out)
     )
 
 
-def carry_forward(df: DataFrame, keys: list[str], order: str, columns: list[str],
-                  block_rows: int = BLOCK_ROWS) -> DataFrame:
+def running_count(df: DataFrame, keys: list[str], order: str, out: str) -> DataFrame:
+    """Running number per ``keys`` along the unique ``order``."""
+    return rank_by_range(df, keys, [order], out)
+
+
+def carry_forward(df: DataFrame, keys: list[str], order: str, columns: list[str]) -> DataFrame:
     """Replace nulls of ``columns`` by the last earlier value of the group."""
-    blocked = df.withColumn("_block", block_of(order, block_rows))
-    inside = (Window.partitionBy(*keys, "_block").orderBy(order)
+    ranged = in_ranges(df, keys, [order])
+    inside = (Window.partitionBy(RANGE, *keys).orderBy(order)
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    filled = blocked.withColumns({c: F.last(c, ignorenulls=True).over(inside) for c in columns})
-    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    last_of_block = blocked.groupBy(*keys, "_block").agg(*[
+    filled = ranged.withColumns({c: F.last(c, ignorenulls=True).over(inside) for c in columns})
+    last_of_range = ranged.groupBy(RANGE, *keys).agg(*[
         F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in columns
     ])
-    carried = last_of_block.select(
-        *keys, "_block",
-        *[F.last(c, ignorenulls=True).over(before).alias(f"_carried_{c}") for c in columns],
+    carried = last_of_range.select(
+        RANGE, *keys,
+        *[F.last(c, ignorenulls=True).over(_before(*keys)).alias(f"_carried_{c}") for c in columns],
     )
     return (
-        filled.join(carried, [*keys, "_block"])
+        filled.join(carried, [RANGE, *keys])
         .withColumns({c: F.coalesce(F.col(c), F.col(f"_carried_{c}")) for c in columns})
-        .drop("_block", *[f"_carried_{c}" for c in columns])
-    )
-
-
-def rank_in_two_steps(df: DataFrame, keys: list[str], first: list[str], then: list[str], out: str) -> DataFrame:
-    """``row_number`` per ``keys`` ordered by ``first`` then ``then``.
-
-    Rows are counted per distinct ``first`` value, so a task holds one such
-    value of a group and never the whole group.
-    """
-    inside = Window.partitionBy(*keys, *first).orderBy(*then)
-    before = Window.partitionBy(*keys).orderBy(*first).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        df.groupBy(*keys, *first).agg(F.count(F.lit(1)).alias("_n"))
-        .select(*keys, *first, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    )
-    return (
-        df.withColumn("_rank", F.row_number().over(inside))
-        .join(offsets, [*keys, *first])
-        .withColumn(out, (F.col("_rank") + F.col("_offset")).cast("bigint"))
-        .drop("_rank", "_offset")
+        .select(*df.columns)
     )

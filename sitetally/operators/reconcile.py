@@ -15,7 +15,6 @@ from ..functions.text import norm_token, py_round, strip, text_or_blank
 from .options import resolve_rooms
 
 PLAN, MANUAL = "pdf", "manual"
-MAX_PAGE_TYPES = 1000
 GROUP = ["job_id", "room_id", "categorie", "materiel"]
 
 
@@ -386,20 +385,22 @@ def symbol_totals(symbols: DataFrame, exclusions: DataFrame) -> DataFrame:
         F.sum(F.when(F.col("source") == "vision", F.col("n")).otherwise(0)).alias("symboles_vision"))
 
 
-def catalog_coverage(symbols: DataFrame, exclusions: DataFrame, catalog: DataFrame, rank: Column) -> DataFrame:
-    """Count per catalogue article of a page type in every job, zeros included."""
+def catalog_entries(catalog: DataFrame, rank: Column) -> DataFrame:
+    """(page_type, article, categorie, reference): the first entry of each catalogue article."""
     first = catalog.groupBy("page_type", "article").agg(F.min_by(F.struct("categorie", "reference"), rank).alias("e"))
+    return first.select("page_type", "article", F.col("e.categorie").alias("categorie"), F.coalesce("e.reference", F.lit("?")).alias("reference"))
+
+
+def catalog_coverage(symbols: DataFrame, exclusions: DataFrame, catalog: DataFrame, rank: Column) -> DataFrame:
+    """Count per catalogue article of a page type in every job that has any; the other entries of ``catalog_entries`` count 0.
+
+    Zeros aren't written out: a table of jobs times catalogue entries would say nothing more.
+    """
     kept = without_excluded(symbols.groupBy("job_id", "page_type", text_or_blank("room").alias("room"), "article").agg(
         F.count(F.lit(1)).alias("n")), exclusions)
     counts = kept.groupBy("job_id", "page_type", "article").agg(F.sum("n").alias("n"))
-    page_types = [r.page_type for r in first.select("page_type").distinct().limit(MAX_PAGE_TYPES + 1).collect()]
-    if len(page_types) > MAX_PAGE_TYPES:
-        raise ValueError(f"the catalogue has more than {MAX_PAGE_TYPES} page types")
-    jobs = symbols.select("job_id").distinct()
-    asked = jobs.select("job_id", F.explode(F.array(*map(F.lit, sorted(page_types)))).alias("page_type"))
-    return asked.join(first, "page_type").join(counts, ["job_id", "page_type", "article"], "left").select(
-        "job_id", "page_type", "article", F.col("e.categorie").alias("categorie"),
-        F.coalesce(F.col("e.reference"), F.lit("?")).alias("reference"), F.coalesce("n", F.lit(0)).alias("n"))
+    return counts.join(catalog_entries(catalog, rank), ["page_type", "article"]).select(
+        "job_id", "page_type", "article", "categorie", "reference", "n")
 
 
 def components_present(symbols: DataFrame, components: DataFrame) -> DataFrame:

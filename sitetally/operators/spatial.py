@@ -20,7 +20,8 @@ PAGE = ["job_id", "page"]
 ZONE_CELL = 128.0
 NEAR_CELL = 16.0
 TILE = 64
-LABEL_BITS = 20
+# stands for radius 0 where equal points are neighbours
+POINT = 1e-9
 
 
 def _cell(c: str, side) -> Column:
@@ -155,13 +156,16 @@ def anchor_companions(anchors: DataFrame, candidates: DataFrame, reach: float =
 def keep_strongest(points: DataFrame, keys: list[str], rank: Column, radius: Column, inclusive: bool) -> DataFrame:
     """Rows a greedy scan keeps: by falling ``rank``, unless a kept row lies within the smaller radius.
 
-    ``rank`` must differ between rows. The scan becomes rounds: a row that
+    ``rank`` must differ between rows. Without a positive radius a row has no
+    neighbours, unless ``inclusive`` makes those of its very point count. The scan becomes rounds: a row that
     outranks every undecided neighbour is kept and removes its neighbours.
     Cells are so small that two rows in one cell are always neighbours, hence
     only the best row of a cell can be kept in a round, and a round compares
     each row with at most one row per nearby cell.
     """
-    marked = points.withColumns({"_rank": rank, "_r": radius})
+    whole = points.withColumns({"_rank": rank, "_r": F.coalesce(radius.cast("double"), F.lit(0.0))})
+    alone = F.lit(False) if inclusive else F.col("_r") <= 0
+    marked = whole.where(~alone).withColumn("_r", F.greatest("_r", F.lit(POINT)))
     top = marked.groupBy(*keys, "x", "y", "_r").agg(F.max("_rank").alias("_rank"))
     todo = top.withColumn("_level", F.floor(F.log2("_r")).cast("int"))
     todo = cut_lineage(todo)
@@ -196,12 +200,13 @@ def keep_strongest(points: DataFrame, keys: list[str], rank: Column, radius: Col
         todo = cut_lineage(todo.join(kept, [*keys, "_rank"], "left_anti").join(removed, [*keys, "_rank"], "left_anti"))
         if todo.isEmpty():
             break
+    free = whole.where(alone).drop("_rank", "_r")
     if not kept_parts:
-        return points.limit(0)
+        return free
     survivors = kept_parts[0]
     for part in kept_parts[1:]:
         survivors = survivors.unionByName(part)
-    return marked.join(survivors, [*keys, "_rank"], "left_semi").drop("_rank", "_r")
+    return free.unionByName(marked.join(survivors, [*keys, "_rank"], "left_semi").drop("_rank", "_r"))
 
 
 def remove_duplicate_symbols(symbols: DataFrame, quality: Column) -> DataFrame:
@@ -246,60 +251,79 @@ def place_seeds(rooms: DataFrame, cells: DataFrame, radius: int = 15) -> DataFra
 
 
 def _relax_tile(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Spread (distance, label) values inside one tile until nothing changes."""
+    """Spread (steps, idx) inside one tile until nothing changes.
+
+    A tile has few labels: numbered in order, they fit beside the steps into one number that sorts the same way.
+    """
     far = np.iinfo(np.int64).max // 2
     x0, y0 = int(pdf["x"].min()), int(pdf["y"].min())
     xs, ys = (pdf["x"] - x0).to_numpy(), (pdf["y"] - y0).to_numpy()
+    known = pdf["idx"].notna().to_numpy()
+    labels, place = np.unique(pdf["idx"][known].astype(np.int64), return_inverse=True)
+    kinds = max(len(labels), 1)
+    start = np.full(len(pdf), far, dtype=np.int64)
+    start[known] = pdf["steps"][known].astype(np.int64).to_numpy() * kinds + place
     value = np.full((int(ys.max()) + 3, int(xs.max()) + 3), far, dtype=np.int64)
     free = np.zeros(value.shape, dtype=bool)
     free[ys + 1, xs + 1] = True
-    value[ys + 1, xs + 1] = pdf["value"].fillna(far).astype(np.int64)
-    step = 1 << LABEL_BITS
+    value[ys + 1, xs + 1] = start
     while True:
         best = value.copy()
         for moved in (value[:-2, 1:-1], value[2:, 1:-1], value[1:-1, :-2], value[1:-1, 2:]):
-            np.minimum(best[1:-1, 1:-1], moved + step, out=best[1:-1, 1:-1])
+            np.minimum(best[1:-1, 1:-1], moved + kinds, out=best[1:-1, 1:-1])
         best = np.where(free & (best < far), best, far)
         if np.array_equal(best, value):
             break
         value = best
-    out = pd.Series(value[ys + 1, xs + 1]).astype("Int64")
-    return pdf.assign(value=out.mask(out >= far).to_numpy(dtype=object, na_value=None))
+    found = value[ys + 1, xs + 1]
+    reached = found < far
+    idx = pd.array(labels[found[reached] % kinds] if len(labels) else [], dtype="Int64")
+    out = pdf.assign(steps=pd.array([pd.NA] * len(pdf), dtype="Int64"), idx=pd.array([pd.NA] * len(pdf), dtype="Int64"))
+    out.loc[reached, "steps"] = found[reached] // kinds
+    out.loc[reached, "idx"] = idx
+    return out
 
 
 def flood(cells: DataFrame, seeds: DataFrame) -> DataFrame:
     """Label of the room nearest on foot for every reachable free cell; the lowest ``idx`` wins a tie.
 
-    A cell's value packs (steps, idx). Tiles of bounded size are solved alone;
-    then values that improve a cell across a tile edge start the next round,
-    in the tiles they touch only.
+    Tiles of bounded size are solved alone; then labels that improve a cell
+    across a tile edge start the next round, in the tiles they touch only.
+    Pages that nothing improves are set aside and not written again.
     """
     ship_package(cells.sparkSession)
     tile = {"tx": F.floor(F.col("x") / TILE).cast("bigint"), "ty": F.floor(F.col("y") / TILE).cast("bigint")}
     tiles = [*PAGE, "tx", "ty"]
-    start = seeds.groupBy(*PAGE, "x", "y").agg(F.min("idx").cast("bigint").alias("value"))
+    start = seeds.groupBy(*PAGE, "x", "y").agg(F.min("idx").cast("bigint").alias("idx"))
     state = cells.select(*PAGE, F.col("x").cast("bigint").alias("x"), F.col("y").cast("bigint").alias("y")).distinct().join(
-        start, [*PAGE, "x", "y"], "left").withColumns(tile).select(*tiles, "x", "y", "value")
+        start, [*PAGE, "x", "y"], "left").withColumns(tile).select(
+        *tiles, "x", "y", F.when(F.col("idx").isNotNull(), F.lit(0)).cast("bigint").alias("steps"), "idx")
     schema = state.schema
-    step = F.lit(1 << LABEL_BITS).cast("bigint")
-    touched = state.where("value is not null").select(*tiles).distinct()
-    state = cut_lineage(state)
+    touched = state.where("idx is not null").select(*tiles).distinct()
+    state, done = cut_lineage(state), []
     while True:
         active = state.join(touched, tiles, "left_semi").groupBy(*tiles).applyInPandas(_relax_tile, schema)
         state = cut_lineage(state.join(touched, tiles, "left_anti").unionByName(active))
-        edge = state.where("value is not null").where(
+        edge = state.where("idx is not null").where(
             F.expr(f"x % {TILE} in (0, {TILE - 1}) or y % {TILE} in (0, {TILE - 1})"))
-        moves = edge.select(*PAGE, F.col("tx").alias("_tx"), F.col("ty").alias("_ty"), (F.col("value") + step).alias("new"), F.explode(F.array(*[
+        new = F.struct((F.col("steps") + 1).alias("steps"), "idx").alias("new")
+        moves = edge.select(*PAGE, F.col("tx").alias("_tx"), F.col("ty").alias("_ty"), new, F.explode(F.array(*[
             F.struct((F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y")) for dx, dy in ((1, 0), (-1, 0), (0, 1), (0, -1))
         ])).alias("to")).select(*PAGE, "_tx", "_ty", "new", "to.x", "to.y").withColumns(tile).where("tx <> _tx or ty <> _ty")
         offers = moves.groupBy(*PAGE, "x", "y").agg(F.min("new").alias("new"))
-        better = cut_lineage(state.join(offers, [*PAGE, "x", "y"]).where("value is null or new < value").select(*tiles, "x", "y", "new"))
+        improves = F.col("idx").isNull() | (F.col("new") < F.struct("steps", "idx"))
+        better = cut_lineage(state.join(offers, [*PAGE, "x", "y"]).where(improves).select(*tiles, "x", "y", "new"))
+        open_pages = better.select(*PAGE).distinct()
+        done.append(state.join(open_pages, PAGE, "left_anti"))
         if better.isEmpty():
             break
-        state = state.join(better, [*tiles, "x", "y"], "left").select(*tiles, "x", "y", F.coalesce("new", "value").alias("value"))
+        state = state.join(open_pages, PAGE, "left_semi").join(better, [*tiles, "x", "y"], "left").select(
+            *tiles, "x", "y", F.coalesce("new.steps", "steps").alias("steps"), F.coalesce("new.idx", "idx").alias("idx"))
         touched = better.select(*tiles).distinct()
-    return state.where("value is not null").select(
-        *PAGE, "x", "y", (F.col("value") % step).alias("idx"), F.floor(F.col("value") / step).cast("bigint").alias("steps"))
+    whole = done[0]
+    for part in done[1:]:
+        whole = whole.unionByName(part)
+    return whole.where("idx is not null").select(*PAGE, "x", "y", "idx", "steps")
 
 
 def ring_lookup(points: DataFrame, labelled: DataFrame, radius: int = 12) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..fixed_values import (
-    CORRESPONDENCE_MARK, HEADER_ALIASES, HEADER_MARK, IGNORED_SHEETS, LEVEL_FALLBACK_ROWS,
+    CORRESPONDENCE_MARK, HEADER_ALIASES, HEADER_MARK, IGNORED_SHEETS,
     LISTING_COLUMNS, MATERIAL_CORRESPONDENCE, MERGED_CELL_COLUMNS, MISSING_COLUMNS_ERROR, NO_HEADER_ERROR, REQUIRED_COLUMNS,
     ROOM_CORRESPONDENCE,
 )
@@ -40,9 +40,7 @@ def sheet_headers(sheet_rows: DataFrame) -> DataFrame:
     per_sheet = candidate_rows(sheet_rows).groupBy(*SHEET).agg(
         F.min("sheet_idx").alias("sheet_idx"),
         F.min_by(F.struct("row_idx", "cells"), F.when(is_header, F.col("row_idx"))).alias("_header"),
-        F.min_by(strip(first_text), F.when(
-            (F.col("row_idx") < LEVEL_FALLBACK_ROWS) & first_text.isNotNull(), F.col("row_idx")
-        )).alias("_first_text"),
+        F.min(F.when(first_text.isNotNull(), F.struct("row_idx", strip(first_text).alias("text")))).alias("_first"),
     )
     labels = F.transform(F.col("_header.cells"), _canonical)
     positions = {f"pos_{c}": F.nullif(F.array_position(F.col("_labels"), F.lit(c)), F.lit(0)) for c in LISTING_COLUMNS}
@@ -55,7 +53,7 @@ def sheet_headers(sheet_rows: DataFrame) -> DataFrame:
             F.col("_header.row_idx").alias("header_row"),
             *positions,
             F.when(strip("sheet") != "", strip("sheet"))
-             .otherwise(F.coalesce("_first_text", F.lit(""))).alias("sheet_level"),
+             .when(F.col("_first.row_idx") < F.col("_header.row_idx"), F.col("_first.text")).otherwise("").alias("sheet_level"),
             F.when(F.col("_header").isNull(), F.lit(NO_HEADER_ERROR))
              .when(F.size(missing) > 0, F.concat(F.lit(MISSING_COLUMNS_ERROR), F.array_join(missing, ", ")))
              .alias("error"),

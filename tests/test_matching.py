@@ -19,20 +19,22 @@ def inside(needle, hay):
     return f" {needle} " in f" {hay} "
 
 
+def room_answers(room, pieces):
+    """The answer of each tier as a set of (piece, method): what the tier names, if it names one piece that exists once."""
+    count, ratio = Counter(pieces), {p: SequenceMatcher(None, room, p).ratio() for p in pieces}
+    top = {p for p, r in ratio.items() if abs(r - max(ratio.values())) < 1e-9 and r >= 0.62}
+    held = {p for p in count if len(p) >= 4 and (inside(p, room) or (room and inside(room, p)))}
+    longest = {p for p in held if len(p) == max(map(len, held))}
+    tiers = [("exact", {room} & count.keys()), ("fuzzy", top if len(top) == 1 else set()), ("contenance", set([p for p in pieces if p in longest][:1]))]
+    return [(name, {p for p in named if count[p] == 1}, bool(named)) for name, named in tiers]
+
+
 def expected_room(room, pieces):
-    count = Counter(pieces)
-    if room in count:
-        return (room, "exact") if count[room] == 1 else None
-    scored = sorted(((SequenceMatcher(None, room, p).ratio(), p) for p in count), reverse=True)
-    tied = len(scored) > 1 and abs(scored[0][0] - scored[1][0]) < 1e-9
-    if scored and not tied and scored[0][0] >= 0.62 and count[scored[0][1]] == 1:
-        return scored[0][1], "fuzzy"
-    held = [p for p in count if len(p) >= 4 and (inside(p, room) or (room and inside(room, p)))]
-    if held:
-        best = max(held, key=len)
-        if count[best] == 1:
-            return best, "contenance"
-    return None
+    """The first tier in order with an answer; an exact name that exists twice ends the search."""
+    (_, exact, met), *others = room_answers(room, pieces)
+    if met:
+        return (*exact, "exact") if exact else None
+    return next(((*found, name) for name, found, _ in others if found), None)
 
 
 def test_room_tiers(spark):
@@ -65,14 +67,11 @@ def test_material_similarity_prefers_the_first_in_order(spark):
         for article in sorted({misspelt(rng, rng.choices(WORDS, k=2)) for _ in range(25)} | {"etrange"}):
             article = " ".join(article.split())
             articles.add((job, article))
-            best, score = None, 0.0
-            for candidate in [article] + (["bureau nord", "salle absente"] if article == "etrange" else []):
-                for material in catalogue:
-                    ratio = SequenceMatcher(None, candidate, material).ratio()
-                    if ratio > score:
-                        best, score = material, ratio
-            if score >= 0.65:
-                want[job, article] = best, round(score, 2)
+            asked = [article] + (["bureau nord", "salle absente"] if article == "etrange" else [])
+            ratios = [(-SequenceMatcher(None, c, m).ratio(), i, k, m) for i, c in enumerate(asked) for k, m in enumerate(catalogue)]
+            least, *_, material = min(ratios)
+            if -least >= 0.65:
+                want[job, article] = material, round(-least, 2)
     index = matching.catalogue_index(spark.createDataFrame(listed, "job_id int, materiel string"))
     from sitetally.sources.rules import normalised_aliases
     found = matching.match_materials(

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from sitetally.functions import text
 from sitetally.functions.similarity import similar_pairs
 from sitetally.operators.matching import rooms_by_containment
-from sitetally.operators.ordered import carry_forward, rank_in_two_steps, running_count
+from sitetally.operators.ordered import RANGE, carry_forward, in_ranges, rank_by_range, running_count
 
 LATIN = st.text(alphabet=st.characters(min_codepoint=32, max_codepoint=0x24F), max_size=30)
 
@@ -70,18 +70,37 @@ def test_block_scans_equal_plain_scans(spark):
     rng = random.Random(7)
     rows = [(g, i, rng.choice([None, None, "a", "b"]), rng.choice("xyz")) for g in (1, 2) for i in range(200)]
     df = spark.createDataFrame(rows, "g int, i bigint, v string, w string")
-    got = {(r.g, r.i): (r.v, r.n) for r in running_count(carry_forward(df, ["g"], "i", ["v"], 7), ["g"], "i", "n", 9).collect()}
+    got = {(r.g, r.i): (r.v, r.n) for r in running_count(carry_forward(df, ["g"], "i", ["v"]), ["g"], "i", "n").collect()}
     for g in (1, 2):
         last = None
         for n, (_, i, v, _w) in enumerate([r for r in rows if r[0] == g], start=1):
             last = v or last
             assert got[(g, i)] == (last, n)
-    ranked = {(r.g, r.i): r.n for r in rank_in_two_steps(df, ["g"], ["w"], ["i"], "n").collect()}
+    ranked = {(r.g, r.i): r.n for r in rank_by_range(df, ["g"], ["w", "i"], "n").collect()}
     for g in (1, 2):
         for n, (_, i, _v, _w) in enumerate(sorted((r for r in rows if r[0] == g), key=lambda r: (r[3], r[1])), start=1):
             assert ranked[(g, i)] == n
 
 
+def test_ranges_hold_counted_rows_of_a_sparse_hot_key(spark):
+    rng = random.Random(5)
+    values = rng.sample(range(10**15), 4000)
+    df = spark.createDataFrame([(0 if n % 100 else 1, v) for n, v in enumerate(values)], "g int, i bigint").repartition(3)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = [r["count"] for r in in_ranges(df, ["g"], ["i"]).groupBy(RANGE).count().collect()]
+        found = {(r.g, r.i): r.n for r in running_count(df, ["g"], "i", "n").collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(sizes) == 8 and max(sizes) < 2 * 4000 / 8
+    for g in (0, 1):
+        own = sorted(v for n, v in enumerate(values) if (0 if n % 100 else 1) == g)
+        assert [found[g, v] for v in own] == list(range(1, len(own) + 1))
+
+
 def test_partitioning_does_not_change_order(spark):
     from sitetally.operators.reconcile import after_groups
 

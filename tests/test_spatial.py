@@ -45,49 +45,54 @@ def test_overlap_suppression_equals_the_greedy_scan(spark):
     assert got == want
 
 
-def _flood_by_queue(free, rooms, side):
-    from collections import deque
-
-    def seed(x, y):
-        for rad in range(15):
-            for dy in range(-rad, rad + 1):
-                for dx in range(-rad, rad + 1):
-                    cell = (x + dx, y + dy)
-                    if cell in free and cell not in label:
-                        return cell
-        return None
-
-    label, queue = {}, deque()
+def _waves(free, start):
+    """Steps from a cell to every free cell, by growing sets."""
+    steps, wave = {}, {start}
+    for n in range(len(free) + 1):
+        steps |= dict.fromkeys(wave, n)
+        wave = {c for x, y in wave for c in ((x - 1, y), (x, y - 1), (x + 1, y), (x, y + 1)) if c in free and c not in steps}
+    return steps
+
+
+def _nearest_labels(free, rooms):
+    """Least (steps, idx) of each reachable cell; seeds are the first free cells by (ring, dy, dx) that no earlier room has."""
+    seeds = {}
     for idx, x, y in rooms:
-        cell = seed(x, y)
-        if cell:
-            label[cell] = idx
-            queue.append(cell)
-    while queue:
-        x, y = queue.popleft()
-        for cell in ((x + 1, y), (x - 1, y), (x, y + 1), (x, y - 1)):
-            if cell in free and cell not in label:
-                label[cell] = label[(x, y)]
-                queue.append(cell)
-    return label
-
-
-def test_flood_equals_the_queue(spark, monkeypatch):
+        ring = sorted((max(abs(cx - x), abs(cy - y)), cy - y, cx - x, (cx, cy)) for cx, cy in free - set(seeds.values()))
+        if ring and ring[0][0] < 15:
+            seeds[idx] = ring[0][3]
+    offers = [(cell, (n, idx)) for idx, seed in seeds.items() for cell, n in _waves(free, seed).items()]
+    return {cell: min(o for c, o in offers if c == cell)[1] for cell in {c for c, _ in offers}}
+
+
+def test_flood_equals_distances_from_the_definition(spark, monkeypatch):
     monkeypatch.setattr(spatial, "TILE", 8)
     rng, cells, rooms, want = random.Random(3), [], [], {}
-    for job in range(12):
-        side = 24
+    big = 1 << 40  # room numbers have no bound
+    for job in range(6):
+        side = 20
         free = {(x, y) for x in range(side) for y in range(side) if rng.random() < 0.7}
-        seeds = [(i, rng.randrange(side // 2), rng.randrange(side // 2)) for i in range(5)] + [(5, 3, 3), (6, 3, 3)]
+        seeds = [(big + i, rng.randrange(side // 2), rng.randrange(side // 2)) for i in range(5)] + [(big + 5, 3, 3), (big + 6, 3, 3)]
         cells += [(job, 1, x, y) for x, y in free]
         rooms += [(job, 1, i, x, y) for i, x, y in seeds]
-        want.update({(job, x, y): i for (x, y), i in _flood_by_queue(free, seeds, side).items()})
+        want.update({(job, x, y): i for (x, y), i in _nearest_labels(free, seeds).items()})
     cell_df = spark.createDataFrame(cells, "job_id bigint, page int, x bigint, y bigint")
     room_df = spark.createDataFrame(rooms, "job_id bigint, page int, idx bigint, x bigint, y bigint")
     got = {(r.job_id, r.x, r.y): r.idx for r in spatial.flood(cell_df, spatial.place_seeds(room_df, cell_df)).collect()}
     assert got == want
 
 
+def test_size_zero_has_no_neighbours(spark):
+    schema = "job_id int, page int, seq int, x double, y double, article string, categorie string, score double, size double"
+    rows = [(1, 1, i, 5.0, 5.0, "a", "c", i / 10, 0.0) for i in range(3)]
+    mixed = [(2, 1, 0, 0.0, 0.0, "a", "c", 0.9, 10.0), (2, 1, 1, 1.0, 0.0, "a", "c", 0.8, 10.0), (2, 1, 2, 0.0, 0.0, "a", "c", 0.7, 0.0), (2, 1, 3, 0.0, 0.0, "a", "c", 0.6, None)]
+    got = {(r.job_id, r.seq) for r in spatial.suppress_overlaps(spark.createDataFrame(rows + mixed, schema)).collect()}
+    assert got == {(1, 0), (1, 1), (1, 2), (2, 0), (2, 2), (2, 3)}
+    points = spark.createDataFrame([(1, 0.0, 1), (1, 0.0, 2), (1, 3.0, 3)], "k int, x double, rank int").withColumn("y", F.lit(0.0))
+    kept = spatial.keep_strongest(points, ["k"], F.col("rank"), F.lit(0.0), inclusive=True)
+    assert {r["rank"] for r in kept.collect()} == {2, 3}
+
+
 def test_nearest_room_looks_as_far_as_needed(spark):
     rng = random.Random(4)
     points = [(1, 1, float(rng.randrange(5000)), float(rng.randrange(50))) for _ in range(200)] + [(2, 1, 0.0, 0.0)]

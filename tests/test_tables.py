@@ -72,3 +72,31 @@ def test_sink_writes_one_folder_per_job(spark, tmp_path):
     sinks.write_by_job(spark.range(10).select((F.col("id") % 2).alias("job_id"), "id"), str(tmp_path / "t"))
     assert sorted(p.name for p in (tmp_path / "t").glob("job_id=*")) == ["job_id=0", "job_id=1"]
     assert spark.read.parquet(str(tmp_path / "t")).count() == 10
+
+
+def test_documents_and_searches_are_whole(spark):
+    from sitetally.operators import document
+
+    columns = ("id mapping_key origin room lot sous_lot material category comparison_room comparison_material quantity_before market_quantity "
+               "quantity_after additional_quantity unit_price").split()
+    schema = "job_id int, seq int, is_addition boolean, " + ", ".join(f"{c} string" for c in columns)
+    same = "n" * 600
+    rows = [(1, i, False, *[f"{same} {i}" if c in ("room", "material") else "" for c in columns]) for i in range(300)]
+    found = document.clean_lines(spark.createDataFrame(rows, schema)).collect()
+    assert len(found) == 300 and len({r.room for r in found}) == 300
+    trace = spark.createDataFrame([(1, i, f"{same} {i}", "art", "art", "art", "cat", False) for i in range(3)],
+                                  "job_id int, seq int, room string, article string, original_article string, materiel_compare string, categorie string, ignored boolean")
+    assert document.plan_groups(trace).count() == 3
+    options = spark.createDataFrame([(1, i, f"v{i}", f"salle {i}") for i in range(100)], "job_id int, ord int, value string, label string")
+    ranks = sorted(r["rank"] for r in document.option_search(options, "salle", "v7").collect())
+    assert ranks == [0] + [r for r in range(1, 101) if r != 8]
+
+
+def test_level_is_the_first_text_above_the_header(spark):
+    from sitetally.fixed_values import HEADER_MARK
+    from sitetally.sources.sheets import sheet_headers
+
+    rows = [(1, 0, "", i, [None]) for i in range(9)] + [(1, 0, "", 9, [None, "R+3"]), (1, 0, "", 10, ["note"]), (1, 0, "", 11, [HEADER_MARK]), (1, 0, "", 12, ["x"])]
+    frame = spark.createDataFrame(rows, "job_id int, sheet_idx int, sheet string, row_idx bigint, cells array<string>")
+    found = sheet_headers(frame).first()
+    assert (found.header_row, found.sheet_level) == (11, "R+3")
