@@ -174,5 +174,6 @@ def duckdb_sql(text: str, extra: dict[str, str]) -> str:
     if not order:
         return body
     ctes = ",\n".join(f"{n} as ({plain[n]})" for n in order)
-    own = re.match(r"\s*with\s+", body)
-    return f"with {ctes},\n{body[own.end():]}" if own else f"with {ctes}\n{body}"
+    own = re.match(r"\s*with\s+(recursive\s+)?", body)
+    recursive = "recursive " if own and own[1] else ""
+    return f"with {recursive}{ctes},\n{body[own.end():]}" if own else f"with {ctes}\n{body}"

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..functions import symbols as sym
 from ..operators import spans, spatial
 from ..session import cut_lineage
-from .registry import norm_k2, query
+from .registry import greedy, norm_k2, query
 
 _PT = f"""pt as (select job_id, page, case when max(case when size >= 17 and contains({norm_k2('text')}, 'electricite') then 1 else 0 end) = 1 then 'ELECTRICITE'
     when max(case when size >= 17 and contains({norm_k2('text')}, 'luminaire') then 1 else 0 end) = 1 then 'LUMINAIRE'
@@ -143,15 +143,24 @@ def anchor_companion(d):
     return spatial.anchor_companions(d.sql(_ANCHORS), d.sql(_CANDIDATES))
 
 
-@query("spatial_dedup")
+_QUALITY = "case when source = 'texte' then 2.0 when label like '%(%' then cast(regexp_extract(label, '\\((.*)\\)', 1) as double) else 1.0 end"
+
+
+@query("spatial_dedup", f"""with recursive {greedy(f"select *, {_QUALITY} as q, case when page_type = 'LUMINAIRE' then 64.0 else 25.0 end as reach from {{b_symbols}}",
+       "job_id, page, page_type, article", "q desc, seq", "seq x y", "(e.x - r.x) * (e.x - r.x) + (e.y - r.y) * (e.y - r.y) <= r.reach")}
+       select job_id, e.seq as seq, page, article, e.x as x, e.y as y from kept""")
 def spatial_dedup(d):
     return spatial.remove_duplicate_symbols(d.b_symbols, sym.duplicate_quality("source", "label")).select("job_id", "seq", "page", "article", "x", "y")
 
 
-@query("score_suppression")
+_DETECTIONS = """select job_id, page, seq, x, y, name as article, '' as categorie, cast(seq % 89 as double) / 100 as score, cast(seq % 60 as double) as size from {b_points}"""
+
+
+@query("score_suppression", f"""with recursive {greedy(_DETECTIONS, "job_id, page", "score desc, x desc, y desc, article desc, size desc, seq desc", "seq x y score size",
+       "(e.x - r.x) * (e.x - r.x) + (e.y - r.y) * (e.y - r.y) < 0.49 * least(e.size, r.size) * least(e.size, r.size)")}
+       select job_id, page, e.seq as seq, e.x as x, e.y as y, e.score as score from kept""")
 def score_suppression(d):
-    detections = d.sql("""select job_id, page, seq, x, y, name as article, '' as categorie, cast(seq % 89 as double) / 100 as score, cast(10 + seq % 60 as double) as size from {b_points}""")
-    return spatial.suppress_overlaps(detections).select("job_id", "page", "seq", "x", "y", "score")
+    return spatial.suppress_overlaps(d.sql(_DETECTIONS)).select("job_id", "page", "seq", "x", "y", "score")
 
 
 def _grid(d):
@@ -160,7 +169,23 @@ def _grid(d):
     return cells, rooms.withColumns({"job_id": F.col("job_id").cast("bigint")})
 
 
-@query("flood_rooms")
+# a room in turn takes its first free cell; then each job's grid is a list of steps * 10^9 + idx, spread a step at a time
+@query("flood_rooms", """with recursive ce as (select job_id, x, y from {b_grid} where p_size % 5 <> 0),
+       ro as (select job_id, p_partkey as idx, x, y, row_number() over (partition by job_id order by p_partkey) as n from {b_grid} where p_size > 48),
+       ca as (select ro.job_id, n, idx, list(struct_pack(x := ce.x, y := ce.y) order by greatest(abs(ce.x - ro.x), abs(ce.y - ro.y)), ce.y - ro.y, ce.x - ro.x) as wishes
+              from ro left join ce on ce.job_id = ro.job_id and abs(ce.x - ro.x) < 15 and abs(ce.y - ro.y) < 15 group by 1, 2, 3),
+       tk as (select job_id, n, [struct_pack(idx := idx, c := wishes[1])] as taken from ca where n = 1
+         union all select ca.job_id, ca.n, list_append(tk.taken, struct_pack(idx := ca.idx, c := list_filter(ca.wishes, lambda w: not list_contains(list_transform(tk.taken, lambda t: t.c), w))[1]))
+         from tk join ca on ca.job_id = tk.job_id and ca.n = tk.n + 1),
+       se as (select job_id, t.idx as idx, t.c.x as x, t.c.y as y from (select job_id, unnest(taken) as t from (select * from tk qualify row_number() over (partition by job_id order by n desc) = 1)) where t.c.x is not null),
+       g0 as (select ce.job_id, list(y * 40 + x) as free, max(y * 40 + x) as top from ce group by 1),
+       v0 as (select g0.job_id, list_transform(range(0, 1600), lambda p: list_contains(free, p)) as open, list_transform(range(0, 1600), lambda p: list_filter(s, lambda e: e.p = p)[1].idx) as v
+              from g0 join (select job_id, list(struct_pack(p := y * 40 + x, idx := idx)) as s from se group by 1) using (job_id)),
+       fl as (select job_id, open, v, true as moved from v0
+         union all select job_id, open, w, w is distinct from v from (select job_id, open, v, list_transform(range(0, 1600), lambda p: case when open[p + 1] then
+           list_min([v[p + 1], case when p % 40 > 0 then v[p] + 1000000000 end, case when p % 40 < 39 then v[p + 2] + 1000000000 end,
+                     case when p > 39 then v[p - 39] + 1000000000 end, case when p < 1560 then v[p + 41] + 1000000000 end]) end) as w from fl where moved))
+       select job_id, 1 as page, p % 40 as x, p // 40 as y, v[p + 1] % 1000000000 as idx, v[p + 1] // 1000000000 as steps from fl, range(0, 1600) r(p) where not moved and v[p + 1] is not null""")
 def flood_rooms(d):
     cells, rooms = _grid(d)
     return spatial.flood(cells, spatial.place_seeds(rooms, cells))

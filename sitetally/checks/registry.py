@@ -71,6 +71,38 @@ def broken(m: str) -> str:
     return f"(upper(trim({m})) like '#REF%' or upper(trim({m})) in ('#N/A', '#VALUE!', '#NAME?', '#DIV/0!'))"
 
 
+def greedy(rows: str, keys: str, order: str, carried: str, clash: str) -> str:
+    """Recursive CTE ``kept``: rows of a group in order, each added to the list of kept ones unless ``clash`` holds for one of those.
+
+    ``carried`` are the fields of a list entry ``e``; ``r`` is the row at hand.
+    """
+    entry = ", ".join(f"{c} := r.{c}" for c in carried.split())
+    same = " and ".join(f"r.{k} = s.{k}" for k in keys.split(", "))
+    names = ", ".join(f"s.{k}" for k in keys.split(", "))
+    return f"""nr as (select *, row_number() over (partition by {keys} order by {order}) as k from ({rows})),
+        scan as (select {keys}, k, [struct_pack({entry})] as kept from nr r where k = 1
+          union all select {names}, r.k, case when len(list_filter(s.kept, lambda e: {clash})) > 0 then s.kept else list_append(s.kept, struct_pack({entry})) end
+          from scan s join nr r on {same} and r.k = s.k + 1),
+        kept as (select {keys}, unnest(kept) as e from (select * from scan qualify row_number() over (partition by {keys} order by k desc) = 1))"""
+
+
+def block(a: str, b: str) -> str:
+    """Longest common block of two texts as (k letters, -i, the first place in a); the first in a wins. Null without one."""
+    return (f"list_reverse_sort(flatten(list_transform(range(1, length({a}) + 1), lambda i: list_transform(list_filter(range(1, length({a}) - i + 2), "
+            f"lambda k: instr({b}, substr({a}, i, k)) > 0), lambda k: struct_pack(k := k, i := -i)))))[1]")
+
+
+def ratios(pairs: str) -> str:
+    """Recursive CTE ``rt(a, b, ratio)``: twice the letters in matched blocks, the longest block first, then left and right of it."""
+    return f"""ps as (select distinct a, b from ({pairs}) where a <> '' and b <> ''),
+        sg as (select a, b, a as sa, b as sb, {block('a', 'b')} as t from ps
+          union all select a, b, sa, sb, {block('sa', 'sb')} as t from (
+            select a, b, unnest([substr(sa, 1, -t.i - 1), substr(sa, t.k - t.i)]) as sa,
+              unnest([substr(sb, 1, instr(sb, substr(sa, -t.i, t.k)) - 1), substr(sb, instr(sb, substr(sa, -t.i, t.k)) + t.k)]) as sb
+            from sg where t is not null) where sa <> '' and sb <> ''),
+        rt as (select a, b, coalesce(sum(2 * t.k), 0) / (length(a) + length(b)) as ratio from sg group by a, b)"""
+
+
 ORACLE_VIEWS = {
     "b_lst": f"select *, {scope()} as scope_id, {room()} as room_id, {room_label()} as room_label from {{b_listing}}",
     "b_ident": f"""select job_id, niveau, occupation, piece, numero, scope_id, room_id, room_label, {norm('piece')} as piece_norm,

@@ -6,7 +6,7 @@ from ..functions import amounts, identity, symbols as sym, text
 from ..functions.similarity import similar_pairs
 from ..operators import options, overlay
 from ..sources import rules
-from .registry import ident, key, new_room, norm, norm_k2, query, room, room_label, scope, scope_label, sha, broken
+from .registry import broken, ident, key, new_room, norm, norm_k2, query, ratios, room, room_label, scope, scope_label, sha
 
 
 @query("norm_token", f"select doc_id, sha1({norm('text')}) as token_hash, length({norm('text')}) as n from {{documents}}")
@@ -115,7 +115,9 @@ def detection_ids(d):
     return overlay.with_legacy_id(done).select("job_id", "seq", "detection_id", "legacy_id", "original_reference")
 
 
-@query("fuzzy_pairs")
+@query("fuzzy_pairs", f"""with recursive l as (select distinct job_id, {norm('article')} as a from {{b_symbols}}), r as (select distinct job_id, {norm('materiel')} as b from {{b_listing}}),
+       {ratios('select l.a, r.b from l join r using (job_id)')}
+       select l.job_id, l.a, r.b, round_even(ratio, 4) as score from l join r using (job_id) join rt on rt.a = l.a and rt.b = r.b where ratio >= 0.65 - 1e-9""")
 def fuzzy_pairs(d):
     left = d.b_symbols.select("job_id", text.norm_token("article").alias("a"))
     right = d.b_listing.select("job_id", text.norm_token("materiel").alias("b"))
