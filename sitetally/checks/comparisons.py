@@ -9,7 +9,7 @@ from ..plans.comparison import Comparison
 from ..session import cut_lineage
 from ..sources import rules, sinks
 from .listings import _CHOSEN
-from .registry import broken, key, new_room, norm, query, room, sha
+from .registry import broken, key, new_room, norm, query, ratios, room, sha
 
 EXACT = {"room_tiers": ("exact", "containment"), "material_tiers": ("exact", "alias")}
 
@@ -67,12 +67,25 @@ def room_match_contains(d):
     return matching.match_rooms(_plan_rooms(d), _level_rooms(d), _none(d, "job_id BIGINT, source STRING, target STRING, seq BIGINT"), ("exact", "containment"))
 
 
-def _room_overrides(d):
-    return d.sql("""select s_suppkey as job_id, case s_suppkey % 3 when 0 then 'Annexe' when 1 then 'salle 6' else 'SALLE-5' end as source,
-                    case s_suppkey % 4 when 0 then 'Salle 1' when 1 then 'salle inconnue' when 2 then '' else 'Salle-3' end as target, s_suppkey as seq from {supplier}""")
+_ROOM_OV = """select s_suppkey as job_id, case s_suppkey % 3 when 0 then 'Annexe' when 1 then 'salle 6' else 'SALLE-5' end as source,
+              case s_suppkey % 4 when 0 then 'Salle 1' when 1 then 'salle inconnue' when 2 then '' else 'Salle-3' end as target, s_suppkey as seq from {supplier}"""
 
 
-@query("room_match")
+def _room_overrides(d):
+    return d.sql(_ROOM_OV)
+
+
+@query("room_match", f"""with recursive {_NAMES}, {_CONTAINED}, ov as (select o.job_id, {norm('source')} as room_norm, t.room_id from ({_ROOM_OV}) o left join nm t on t.job_id = o.job_id and t.piece_norm = {norm('target')} and t.n = 1),
+       {ratios('select room_norm as a, piece_norm as b from pr join nm using (job_id)')},
+       rk as (select pr.job_id, source_room, nm.room_id, n, ratio, row_number() over w as k, lead(ratio) over w as follower from pr join nm using (job_id) join rt on a = room_norm and b = piece_norm
+              window w as (partition by pr.job_id, source_room order by ratio desc, piece_norm)),
+       fz as (select * from rk where k = 1 and ratio >= 0.62 and n = 1 and coalesce(ratio - follower >= 1e-9, true)),
+       fi as (select pr.job_id, pr.source_room, case when ov.job_id is not null then ov.room_id when e.n is not null or fz.room_id is null then rm.room_id else fz.room_id end as room_id,
+              case when ov.job_id is not null then 'correspondance utilisateur' when e.n is not null or fz.room_id is null then rm.method else 'fuzzy' end as method, ratio
+              from pr left join ov on ov.job_id = pr.job_id and ov.room_norm = pr.room_norm left join nm e on e.job_id = pr.job_id and e.piece_norm = pr.room_norm
+              left join rm on rm.job_id = pr.job_id and rm.source_room = pr.source_room left join fz on fz.job_id = pr.job_id and fz.source_room = pr.source_room)
+       select job_id, source_room, room_id, case when room_id is not null then method end as method,
+       case when room_id is not null then case method when 'fuzzy' then round_even(ratio, 2) when 'contenance' then 0.75::double else 1.0::double end end as score from fi""")
 def room_match(d):
     return matching.match_rooms(_plan_rooms(d), _level_rooms(d), _room_overrides(d))
 
@@ -133,7 +146,13 @@ def map_cache(d):
     return matching.cached_mappings(articles, index, cache)
 
 
-@query("material_fuzzy")
+@query("material_fuzzy", f"""with recursive {_INDEX}, {_ALIAS}, cd as (select job_id, article, an as a, -1 as rank from ar union all select ar.job_id, ar.article, al.mn, al.alias_rank from ar join al on al.an = ar.an),
+       {ratios('select a, nn as b from cd join ix using (job_id)')},
+       sm as (select cd.job_id, cd.article, first_name, ratio, row_number() over (partition by cd.job_id, cd.article order by ratio desc, rank, first_name) as k
+              from cd join ix using (job_id) join rt on rt.a = cd.a and rt.b = ix.nn where ratio >= 0.65)
+       select mm.job_id, mm.article, coalesce(mm.target, first_name) as target, coalesce(mm.method, case when first_name is not null then 'fuzzy' end) as method,
+       case when mm.target is not null then 1.0::double else round_even(ratio, 2) end as score, case when coalesce(mm.target, first_name) is null then 'open' else 'matched' end as outcome
+       from mm left join sm on sm.job_id = mm.job_id and sm.article = mm.article and k = 1""")
 def material_fuzzy(d):
     return matching.match_materials(
         _articles(d), cut_lineage(matching.catalogue_index(_listing(d))), _none(d, "job_id BIGINT, source STRING, target STRING, seq BIGINT"),
