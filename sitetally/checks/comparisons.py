@@ -316,7 +316,7 @@ _LN = f"""{_AG}, {_BEFORE}, bg as (select job_id, room_id, categorie, materiel,
     kn as (select distinct job_id, explicit_material as materiel from cn where explicit_material is not null),
     ln0 as (select job_id, room_id, categorie, materiel, coalesce(quantite_avant, 0) as quantite_avant, coalesce(quantite_apres, 0) as quantite_apres, coalesce(is_addition, false) as is_addition,
             coalesce(pages, '') as pages, coalesce(labels, '') as labels, coalesce(source_room, '') as source_room, coalesce(source_material, '') as source_material,
-            coalesce(origin, 'excel') as origin, coalesce(mapping_method, 'maquette seule') as rapprochement from bg full join ag using (job_id, room_id, categorie, materiel)),
+            coalesce(origin, 'excel') as origin, coalesce(mapping_key, '') as mapping_key, coalesce(mapping_method, '') as mapping_method, coalesce(mapping_method, 'maquette seule') as rapprochement from bg full join ag using (job_id, room_id, categorie, materiel)),
     cl as (select ln0.*, quantite_apres - quantite_avant as ecart, case when quantite_avant <> 0 and quantite_apres = 0 then 'NON DÉTECTÉ SUR PLAN (à vérifier)'
             when quantite_avant = 0 and quantite_apres <> 0 then case when is_addition or kn.materiel is not null then 'AJOUT' else 'À VALIDER (article inconnu de la maquette)' end
             when quantite_avant = quantite_apres then 'INCHANGÉ' else 'MODIFIÉ' end as statut from ln0 left join kn using (job_id, materiel))"""
@@ -359,10 +359,21 @@ def report_summary(d):
     return reconcile.report_summary(_lines(d)[1], room_map, _none(d, "job_id BIGINT, method STRING"))
 
 
-@query("analysis_record")
+def _payload(*columns: str) -> str:
+    """JSON object of some columns without its nulls."""
+    return "json_merge_patch('{' || '}', to_json(struct_pack(" + ", ".join(f"{c} := {c}" for c in columns) + ")))::varchar"
+
+
+@query("analysis_record", f"""with {_LN}, lm as (select job_id, niveau, count(distinct piece) as pieces, count(*) as lignes, cast(sum(quantite) as bigint) as quantite from {{b_lst}} group by 1, 2)
+       select job_id, 'comparatif' as section, {_payload(*'room_id categorie materiel quantite_avant quantite_apres ecart statut pages labels source_room source_material origin mapping_key mapping_method is_addition rapprochement'.split())} as payload from cl
+       union all select job_id, 'scopes', {_payload('scope_id', 'niveau', 'occupation', 'numero', 'scope_label')} from {{b_sc}}
+       union all select job_id, 'statuts', {_payload('statut', 'lignes')} from (select job_id, statut, count(*) as lignes from cl group by 1, 2)
+       union all select job_id, 'niveaux', {_payload('niveau', 'pieces', 'lignes', 'quantite')} from lm""")
 def analysis_record(d):
-    counted, lines = _lines(d)
-    return sinks.record_rows({"comparatif": lines, "scopes": options.scopes(options.identities(_listing(d))), "statuts": reconcile.status_counts(lines)})
+    lines = cut_lineage(_lines(d)[1])
+    listing = _listing(d)
+    return sinks.record_rows({"comparatif": lines, "scopes": options.scopes(options.identities(listing)), "statuts": reconcile.status_counts(lines),
+                              "niveaux": options.level_summary(listing).select("job_id", "niveau", "pieces", "lignes", "quantite")})
 
 
 @query("output_checks", f"""with {_CN}, {_BEFORE} select s_suppkey as job_id, case when s_suppkey not in (select job_id from bf) then 'vide : avant' when s_suppkey not in (select job_id from cn where page = 2) then 'vide : apres'
