@@ -99,7 +99,7 @@ VIEWS = {
         select user_id % 40 as job_id, cast(user_id % 7 + 1 as int) as page, event_id as idx,
                concat('Pièce ', cast(event_id % 61 as string)) as name, cast(event_id * 91 % 977 as double) as x,
                cast(event_id * 67 % 701 as double) as y
-        from {events} where event_type in ('click', 'view', 'purchase')""",
+        from {events}""",
     "b_points": """
         select user_id % 40 as job_id, cast(user_id % 7 + 1 as int) as page, event_id as seq, event_type as name,
                cast(event_id * 43 % 983 as double) as x, cast(event_id * 59 % 709 as double) as y

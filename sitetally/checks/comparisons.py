@@ -127,6 +127,15 @@ def material_alias(d):
 _HASH = f"ch0 as (select job_id, {sha(chr(39) + chr(39) + ' || string_agg(distinct nn, chr(124) order by nn)')} as h from ix where nn <> '' group by 1)"
 
 
+_CACHE = "select p_name as cache_key, min(p_brand) as material from {part} group by 1"
+_ANSWERS = "select p_name as cache_key, case when length(p_name) % 3 = 0 then null else max(p_type) end as material from {part} group by 1 having length(p_name) % 2 = 0"
+
+
+@query("merge_cache", f"with n as ({_ANSWERS}) select * from n union all select * from ({_CACHE}) where cache_key not in (select cache_key from n)")
+def merge_cache(d):
+    return rules.merge_cache(d.sql(_CACHE), d.sql(_ANSWERS))
+
+
 @query("map_cache", f"""with {_INDEX}, {_HASH}, k as (select ar.*, concat('v2:', h, ':', {sha('an')}) as cache_key from ar join ch0 using (job_id)),
        c as (select k.job_id, article, cache_key, length(article) % 4 as v, last_name, k.an from k left join ix on ix.job_id = k.job_id and ix.nn = replace(k.an, 'inconnu ', ''))
        select job_id, article, cache_key, case when v = 0 then null else last_name end as cached,
@@ -229,8 +238,8 @@ def after_union(d):
         F.sum("quantity").alias("quantity"))
 
 
-_RELBASE = """select job_id, room, article, concat('Salle ', cast(seq % 9 as string)) as target_room_id,
-              case seq % 3 when 0 then label when 1 then 'rien de tel' else '' end as target_material, seq % 8 = 0 as is_addition from {b_symbols} where seq % 10 < 4"""
+_RELBASE = """select job_id, room, case when seq % 10 < 4 then article else concat('autre ', article) end as article, concat('Salle ', cast(seq % 9 as string)) as target_room_id,
+              case seq % 3 when 0 then label when 1 then 'rien de tel' else '' end as target_material, seq % 8 = 0 as is_addition from {b_symbols}"""
 
 
 def _relations(d):
@@ -347,6 +356,15 @@ def report_comparison(d):
     return reconcile.report_table(reconcile.describe(lines, reconcile.room_descriptions(_level_rooms(d), counted, levels)))
 
 
+@query("report_order", f"""with {_LN}, {_DESCRIBED} select cl.job_id, cl.room_id, categorie, materiel, row_number() over (partition by cl.job_id order by coalesce(niveau, ''), coalesce(occupation, ''),
+       coalesce(piece, ''), categorie, materiel, cl.room_id) as rang from cl left join rd using (job_id, room_id)""")
+def report_order(d):
+    counted, lines = _lines(d)
+    levels = _none(d, "job_id BIGINT, display_level STRING")
+    described = reconcile.describe(lines, reconcile.room_descriptions(_level_rooms(d), counted, levels))
+    return reconcile.report_ranks(described).select("job_id", "room_id", "categorie", "materiel", "rang")
+
+
 @query("report_summary", f"""with {_LN}, {_NAMES}, e as (select pr.job_id, source_room, case when n = 1 then room_id end as room_id from pr left join nm on nm.job_id = pr.job_id and piece_norm = room_norm),
        w as (select job_id, count(*) as seen, count(room_id) as matched, string_agg(source_room, ', ' order by source_room) filter (room_id is null) as missing from e group by 1),
        s as (select job_id, count(*) filter (statut = 'AJOUT') as a, count(*) filter (statut = 'MODIFIÉ') as b, count(*) filter (statut = 'INCHANGÉ') as c, count(*) filter (statut like 'NON%') as d, count(*) filter (statut like 'À%') as f from cl group by 1),

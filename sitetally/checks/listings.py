@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..operators import options, reconcile
 from ..operators.document import option_search as search_options
 from ..operators.document import scope_choices as list_scope_choices
+from ..operators.overlay import safe_rooms
 from ..session import cut_lineage
 from ..sources import sheets
 from .registry import broken, norm, query, room, scope, scope_label
@@ -144,6 +145,15 @@ def level_filter(d):
     return options.filter_level(_listing(d), d.b_params).groupBy("job_id", "niveau").agg(F.count(F.lit(1)).alias("n"))
 
 
+_ASKED = """select s_suppkey as job_id, case s_suppkey % 3 when 0 then 'sous-sol' when 1 then upper(r_name) else '' end as niveau_excel
+             from {supplier} join {nation} on s_nationkey = n_nationkey join {region} on n_regionkey = r_regionkey"""
+
+
+@query("level_errors", f"""select job_id, niveau_excel from ({_ASKED}) where niveau_excel <> '' and (job_id, lower(niveau_excel)) not in (select (job_id, lower(niveau)) from {{b_lst}})""")
+def level_errors(d):
+    return options.level_errors(_listing(d), d.sql(_ASKED))
+
+
 @query("level_hint", """select l.job_id, l.niveau, contains(lower(l.niveau), 'a') as hinted, count(*) as n from {b_lst} l
        where not exists (select 1 from {b_lst} x where x.job_id = l.job_id and contains(lower(x.niveau), 'a')) or contains(lower(l.niveau), 'a') group by 1, 2, 3""")
 def level_hint(d):
@@ -279,6 +289,15 @@ _SAVED = """select s_suppkey as job_id, case when s_suppkey % 4 = 0 then n_name
             case when s_suppkey % 3 = 0 then n_name else '' end as corrections, n_name as document, n_name from {supplier} join {nation} on s_nationkey = n_nationkey"""
 
 
+_KNOWN = "select s_suppkey as job_id, concat('excel-scope-', cast(s_suppkey as string)) as scope_id from {supplier}"
+_OFFERED = """select o_custkey % 100 as job_id, o_orderkey as room_id, case o_orderkey % 3 when 0 then '' when 1 then concat('excel-scope-', cast(o_custkey % 100 as string)) else 'ancien' end as scope_id from {orders}"""
+
+
+@query("refresh_rooms", f"select * from ({_OFFERED}) where scope_id <> '' and (job_id, scope_id) in (select (job_id, scope_id) from ({_KNOWN}))")
+def refresh_rooms(d):
+    return safe_rooms(d.sql(_OFFERED), d.sql(_KNOWN))
+
+
 @query("refresh_scope", f"""with a as (select job_id, coalesce(nullif(audit, ''), nullif(selected, ''), nullif(corrections, ''), document) as target from ({_SAVED})),
        u as (select job_id, {norm('occupation')} as k, min(scope_id) as r from {{b_sc}} group by 1, 2 having count(*) = 1),
        n as (select job_id, case when count(*) = 1 then min(scope_id) end as one from {{b_sc}} group by 1)

@@ -56,7 +56,7 @@ def room_rename(d):
 
 _EDITS = """select user_id % 40 as job_id, case when event_id % 11 < 6 then concat('d', cast(event_id as string)) else concat('p', cast(user_id % 7 + 1 as string), '-d', cast(event_id % 40 as string), 'x') end as object_id,
             event_id % 13 = 0 as ignored, case when event_id % 3 = 0 then 'R2' else '' end as reference, case when event_id % 3 = 1 then 'Article 3' else '' end as article,
-            case when event_id % 4 = 0 then 'Choisie' else '' end as room from {events} where event_id % 2 = 0"""
+            case when event_id % 4 = 0 then 'Choisie' else '' end as room from {events}"""
 _META = """select distinct event_type as page_type, lookup, case lookup when 'R2' then 'Article 2' else 'Article 3' end as article, 'nouvelle' as categorie, 'R' as reference from (select event_type, {lookups} as lookup from {{events}}) k"""
 
 
@@ -102,6 +102,28 @@ def marker_overlay(d):
     return overlay.marker_overlay(trace, d.sql(_EDITS), d.sql(_META.format(lookups="explode(array('R2', 'Article 3'))")), texts, d.sql(_HAND), d.sql(_PAGES))
 
 
+_MARKERS = """select event_id as id, case event_id % 4 when 0 then 'manual' when 1 then 'uncatalogued' else 'counted' end as kind, event_id % 5 = 0 as review from {events}"""
+
+
+@query("visible_markers", f"""with m as ({_MARKERS}) select 'all' as mode, id from m union all select 'review', id from m where review union all select 'counted', id from m where kind = 'counted'
+       union all select 'manual', id from m where kind = 'manual'""")
+def visible_markers(d):
+    markers, shown = d.sql(_MARKERS), None
+    for mode in ("all", "review", "counted", "manual"):
+        part = overlay.visible_markers(markers, mode).select(F.lit(mode).alias("mode"), "id")
+        shown = part if shown is None else shown.unionByName(part)
+    return shown
+
+
+@query("corrected_rooms", f"""with {_REN}, b as (select r.job_id, coalesce(new_name, r.name) as name, concat(cast(idx % 9 as varchar), ' m²') as surface, x, y, page, 0 as part, page::double as o1, idx::double as o2, 0.0::double as o3
+         from {{b_rooms}} r left join rn on rn.job_id = r.job_id and rn.original = r.name
+         union all select job_id, name, '', x + w / 2, y + h / 2, page, 1, page::double, y, x from {{b_zones}} where name <> '')
+       select job_id, name, surface, x, y, page from b qualify row_number() over (partition by job_id, name order by part, o1, o2, o3) = 1""")
+def corrected_rooms(d):
+    rooms = d.b_rooms.withColumn("surface", F.concat((F.col("idx") % 9).cast("string"), F.lit(" m²")))
+    return overlay.corrected_rooms(rooms, _zones(d)).drop("o")
+
+
 # -- saved corrections ----------------------------------------------------------------------------
 @query("corrections_fold", "select job_id, key, arg_max(value, version) as value from {b_versions} where present group by 1, 2")
 def corrections_fold(d):
@@ -175,9 +197,9 @@ def plan_groups(d):
 # a submitted line for the objects of some rooms; the comparison is the stock of the same items
 _LINES = """select job_id % 50 as job_id, min(seq) as seq, case when min(pk) % 3 = 0 then '' else concat('s', cast(min(seq) as string)) end as id, '' as mapping_key, case when min(pk) % 7 = 0 then 'manual' else 'pdf' end as origin,
             piece as room, brand as lot, '' as sous_lot, materiel as material, min(categorie) as category, case when min(pk) % 2 = 0 then 'Salle 2' end as comparison_room,
-            case when min(pk) % 5 = 0 then 'red bolt' else '' end as comparison_material, min(pk) % 4 = 0 as is_addition, '7' as quantity_after, '12' as unit_price from {b_src} where brand = 'Brand#1' group by job_id % 50, piece, brand, materiel"""
+            case when min(pk) % 5 = 0 then 'red bolt' else '' end as comparison_material, min(pk) % 4 = 0 as is_addition, '7' as quantity_after, '12' as unit_price from {b_src} group by job_id % 50, piece, brand, materiel"""
 _STOCK = """select job_id % 50 as job_id, concat('id ', piece) as room_id, 'N' as niveau, 'O' as occupation, piece, categorie, materiel, sum(lq) as quantite_avant from {b_src} group by job_id % 50, piece, categorie, materiel"""
-_RMAP = "select distinct job_id % 50 as job_id, piece as source_room, concat('id ', piece) as room_id from {b_src} where ln < 5"
+_RMAP = "select distinct job_id % 50 as job_id, piece as source_room, concat('id ', piece) as room_id from {b_src}"
 
 
 @query("doc_lines", f"""with {_groups('true')}, nu as (select *, row_number() over (partition by job_id order by {norm('room')}, {norm('material')}, {norm('category')}, first_seq) as n from gr), sb as ({_LINES}), st as ({_STOCK}), mp as ({_RMAP}),
@@ -206,15 +228,16 @@ def doc_lines(d):
 
 
 def _stock(d):
-    return d.sql("select job_id % 50 as job_id, concat('id ', piece) as room_id, materiel, categorie, sum(lq) as quantite from {b_src} where ln < 6 group by 1, 2, 3, 4")
+    return d.sql("select job_id % 50 as job_id, concat('id ', piece) as room_id, materiel, categorie, sum(lq) as quantite from {b_src} where st = 'O' group by 1, 2, 3, 4")
 
 
 _ASK = """select o_custkey % 50 as job_id, o_orderkey as line, case when o_orderkey % 9 = 0 then '' else concat('id Salle ', cast(o_orderkey % 7 + 1 as string)) end as room_id, upper(p_name) as material,
-          case when o_orderkey % 2 = 0 then p_type else 'autre' end as category from {orders} join {part} on o_orderkey % 2000 = p_partkey"""
+          case when o_orderkey % 2 = 0 then p_type else 'autre' end as category
+          from {orders} join (select l_orderkey, min(l_partkey) as pk from {lineitem} group by 1) l on l_orderkey = o_orderkey join {part} on pk = p_partkey"""
 
 
-@query("qty_before", f"""with a as ({_ASK}), i as (select job_id % 50 as job_id, concat('id ', piece) as room_id, materiel, categorie, sum(lq) as q, max(ln) as ln from {{b_src}} group by 1, 2, 3, 4),
-       s as (select a.job_id, line, coalesce(sum(q) filter ({norm('categorie')} = {norm('category')}), sum(q)) as q from a join i on i.job_id = a.job_id and i.room_id = a.room_id and ln < 6 and {norm('i.materiel')} = {norm('a.material')} group by 1, 2),
+@query("qty_before", f"""with a as ({_ASK}), i as (select job_id % 50 as job_id, concat('id ', piece) as room_id, materiel, categorie, sum(lq) as q, sum(case when st = 'O' then lq end) as qo from {{b_src}} group by 1, 2, 3, 4),
+       s as (select a.job_id, line, coalesce(sum(qo) filter ({norm('categorie')} = {norm('category')}), sum(qo)) as q from a join i on i.job_id = a.job_id and i.room_id = a.room_id and qo is not null and {norm('i.materiel')} = {norm('a.material')} group by 1, 2),
        c as (select a.job_id, line, arg_min(q, row(case when {norm('categorie')} = {norm('category')} then 0 else 1 end, categorie)) as q from a join i on i.job_id = a.job_id and i.room_id = a.room_id and {norm('i.materiel')} = {norm('a.material')} group by 1, 2)
        select a.job_id, a.line, cast(coalesce(s.q, c.q, 0) as bigint) as quantity_before from a left join s on s.job_id = a.job_id and s.line = a.line left join c on c.job_id = a.job_id and c.line = a.line""")
 def qty_before(d):
@@ -231,9 +254,9 @@ def unresolved_counts(d):
     return document.unresolved_counts(document.clean_lines(d.b_doc_lines), inventory.select("job_id", "room_id").distinct(), inventory)
 
 
-_SUG_ROOMS = "select distinct job_id % 50 as job_id, concat('id ', piece) as room_id, piece from {b_src} where ln < 5"
-_SUG_INV = "select distinct job_id % 50 as job_id, concat('id ', piece) as room_id, materiel from {b_src} where ln < 5 and st = 'O'"
-_SUG_REL = "select job_id % 50 as job_id, piece as room, materiel as article, max(case when pk % 2 = 0 then 'Salle 3' else 'nulle part' end) as target_room_id, min(case when pk % 3 = 0 then 'red bolt' else '' end) as target_material, bool_or(pk % 50 = 0) as is_addition from {b_src} where brand = 'Brand#2' group by 1, 2, 3"
+_SUG_ROOMS = "select distinct job_id % 50 as job_id, concat('id ', piece) as room_id, piece from {b_src}"
+_SUG_INV = "select distinct job_id % 50 as job_id, concat('id ', piece) as room_id, materiel from {b_src} where st = 'O'"
+_SUG_REL = "select job_id % 50 as job_id, piece as room, case when pk % 2 = 0 then materiel else concat(materiel, ' bis') end as article, max(case when pk % 2 = 0 then 'Salle 3' else 'nulle part' end) as target_room_id, min(case when pk % 3 = 0 then 'red bolt' else '' end) as target_material, bool_or(pk % 50 = 0) as is_addition from {b_src} group by 1, 2, 3"
 
 
 @query("doc_suggestions", f"""with g as (select job_id, room, {key('room', 'article')} as mapping_key, {norm('categorie')} as k2, count(*) as q, arg_min(article, row(seq, room, article, materiel_compare, categorie)) as material,
@@ -255,7 +278,7 @@ def doc_suggestions(d):
 
 
 # -- history ---------------------------------------------------------------------------------------------
-@query("history_list", """select job_id, created_at, updated_at, case when excel_name = '' then 'Excel non renseigné' else excel_name end as excel_name, 'PDF non renseigné' as pdf_name, 'done' as job_status,
+@query("history_list", """select row_number() over (order by modified_at desc, job_id) as rank, job_id, created_at, updated_at, case when excel_name = '' then 'Excel non renseigné' else excel_name end as excel_name, 'PDF non renseigné' as pdf_name, 'done' as job_status,
        symboles_detectes, lignes, owner_sub, modified_at from {b_analyses} where owner_sub in ('BUILDING', '')""")
 def history_list(d):
     return history.history_list(d.b_analyses, "BUILDING", allow_legacy=True)

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
+from .ordered import rank_by_range
 
 
 def may_read(owner: str | None, allow_legacy: bool = False) -> Column:
@@ -18,15 +19,16 @@ def may_read(owner: str | None, allow_legacy: bool = False) -> Column:
 
 
 def history_list(analyses: DataFrame, owner: str | None, allow_legacy: bool = False) -> DataFrame:
-    """Readable analyses with defaults filled; sort by ``modified_at`` descending to display."""
+    """Readable analyses with defaults filled; ``rank`` counts from the last modified one."""
     def filled(c: str, default) -> Column:
         return F.coalesce(F.nullif(c, F.lit("")), F.lit(default)).alias(c)
 
-    return analyses.where(may_read(owner, allow_legacy)).select(
+    shown = analyses.where(may_read(owner, allow_legacy)).select(
         "job_id", F.coalesce("created_at", "modified_at").alias("created_at"), "updated_at",
         filled("excel_name", "Excel non renseigné"), filled("pdf_name", "PDF non renseigné"), filled("job_status", "done"),
         F.coalesce("symboles_detectes", F.lit(0)).alias("symboles_detectes"), F.coalesce("lignes", F.lit(0)).alias("lignes"),
         "owner_sub", "modified_at")
+    return rank_by_range(shown, [], [F.col("modified_at").desc_nulls_last(), "job_id"], "rank")
 
 
 def file_name(path) -> Column:

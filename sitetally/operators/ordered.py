@@ -8,7 +8,7 @@ hold about the same number of rows, however the order column is spread.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import written
@@ -16,7 +16,7 @@ from ..session import written
 RANGE = "_range"
 
 
-def in_ranges(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+def in_ranges(df: DataFrame, keys: list[str], order: list[str | Column]) -> DataFrame:
     """df as a written table with ``_range``: ranges follow each other in (keys, order)."""
     return written(df.repartitionByRange(*keys, *order).withColumn(RANGE, F.spark_partition_id()), "ranges")
 
@@ -25,7 +25,7 @@ def _before(*keys: str):
     return Window.partitionBy(*keys).orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
 
 
-def rank_by_range(df: DataFrame, keys: list[str], order: list[str], out: str) -> DataFrame:
+def rank_by_range(df: DataFrame, keys: list[str], order: list[str | Column], out: str) -> DataFrame:
     """``row_number`` per ``keys`` along ``order``, as column ``out``."""
     ranged = in_ranges(df, keys, order)
     numbered = ranged.withColumn("_rank", F.row_number().over(Window.partitionBy(RANGE, *keys).orderBy(*order)))

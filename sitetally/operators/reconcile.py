@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import rank_by_range
 from ..fixed_values import (
     ADDED, MODIFIED, NOT_DETECTED, REPORT_COLUMNS, REPORT_STATUS_ORDER, TO_VALIDATE, TRACE_COUNTED, TRACE_EXCLUDED, UNCHANGED,
 )
@@ -349,6 +350,12 @@ def report_table(comparison: DataFrame) -> DataFrame:
     return comparison.select("job_id", *[F.col(c).alias(title) for c, title in REPORT_COLUMNS])
 
 
+def report_ranks(comparison: DataFrame) -> DataFrame:
+    """The described comparison with ``rang``, the row's place in its job's sheet."""
+    filled = comparison.withColumns({c: F.coalesce(c, F.lit("")) for c in REPORT_ORDER if c != "job_id"})
+    return rank_by_range(filled, ["job_id"], REPORT_ORDER[1:], "rang")
+
+
 def status_counts(comparison: DataFrame) -> DataFrame:
     return comparison.groupBy("job_id", "statut").agg(F.count(F.lit(1)).alias("lignes"))
 

@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def write_by_job(table: DataFrame, path: str, form: str = "parquet", mode: str = "overwrite") -> None:
-    """One folder per job, rows sorted inside it; a hot job spreads over several files.
+def write_by_job(table: DataFrame, path: str, form: str = "parquet", mode: str = "overwrite", order: tuple[str, ...] = ()) -> None:
+    """One folder per job, rows of a file sorted by ``order``; a hot job spreads over several files.
 
-    ``REBALANCE`` lets adaptive execution split the partitions of large jobs.
+    ``REBALANCE`` lets adaptive execution split the partitions of large jobs; a rank column tells the order over all files.
     """
-    table.hint("rebalance", "job_id").write.mode(mode).partitionBy("job_id").format(form).save(path)
+    table.hint("rebalance", "job_id").sortWithinPartitions("job_id", *order).write.mode(mode).partitionBy("job_id").format(form).save(path)
 
 
 def record_rows(sections: dict[str, DataFrame]) -> DataFrame:
