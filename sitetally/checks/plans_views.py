@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import symbols as sym
 from ..operators import spans, spatial
+from ..plans.plan_symbols import CELL_SCALE, PlanSymbols
 from ..session import cut_lineage
 from .registry import greedy, norm_k2, query
 
@@ -96,6 +97,41 @@ def remarks(d):
     return spans.remarks(d.b_spans, spans.page_types(d.b_spans))
 
 
+# -- the whole plan page ----
+_PAGE_DETECTIONS = """select job_id, page, 1000000000 + seq as seq, name as article, 'cat' as categorie, x, y, cast(concat('0.', cast(61 + seq % 9 * 4 as string)) as double) as score from {b_points}"""
+# every second job has flooded cells, here just those of the labels
+_ROOMS_FOR = f"""{_RL}, pc as (select p.job_id, p.page, count(rl.idx) as n_rooms from (select distinct job_id, page from {{b_spans}}) p left join rl on rl.job_id = p.job_id and rl.page = p.page group by 1, 2),
+       pr as (select job_id, arg_max(page, row(n_rooms, -page)) as reference_page from pc group by 1),
+       pg as (select pc.job_id, pc.page, case when n_rooms >= 3 then pc.page else reference_page end as rooms_page from pc join pr using (job_id)),
+       rf as (select pg.job_id, pg.page, idx, name, x, y from pg join rl on rl.job_id = pg.job_id and rl.page = pg.rooms_page)"""
+
+
+@query("plan_symbols", f"""with recursive {_CM}, {_ROOMS_FOR},
+       fd as (select job_id, page, seq, page_type, label, article, categorie, x, y, 'texte' as source, multi, 2.0::double as q from cm
+              union all select d.job_id, d.page, seq, page_type, concat('glyphe (', score, ')'), article, categorie, x, y, 'vision', false, score from ({_PAGE_DETECTIONS}) d join pt using (job_id, page)),
+       po as (select distinct job_id, page, x, y from fd),
+       ne as (select po.*, rf.name, sqrt((rf.x - po.x) * (rf.x - po.x) + (rf.y - po.y) * (rf.y - po.y)) as dist, row_number() over (partition by po.job_id, po.page, po.x, po.y order by dist, rf.idx) as k
+              from po left join rf on rf.job_id = po.job_id and rf.page = po.page),
+       ce as (select job_id, page, cast(floor(x * 0.75) as bigint) as cx, cast(floor(y * 0.75) as bigint) as cy, min(idx) as idx from rf where job_id % 2 = 0 group by 1, 2, 3, 4),
+       wa as (select po.*, ce.idx, row_number() over (partition by po.job_id, po.page, po.x, po.y order by greatest(abs(cx - floor(po.x * 0.75)), abs(cy - floor(po.y * 0.75))), cy, cx) as k
+              from po join ce on ce.job_id = po.job_id and ce.page = po.page and abs(cx - floor(po.x * 0.75)) < 12 and abs(cy - floor(po.y * 0.75)) < 12),
+       pl as (select fd.*, coalesce(rf.name, ne.name, '') as room, round_even(case when rf.name is not null then sqrt((rf.x - fd.x) * (rf.x - fd.x) + (rf.y - fd.y) * (rf.y - fd.y)) else ne.dist end, 1) as room_dist
+              from fd join ne on ne.job_id = fd.job_id and ne.page = fd.page and ne.x = fd.x and ne.y = fd.y and ne.k = 1
+              left join wa on wa.job_id = fd.job_id and wa.page = fd.page and wa.x = fd.x and wa.y = fd.y and wa.k = 1
+              left join rf on rf.job_id = wa.job_id and rf.page = wa.page and rf.idx = wa.idx),
+       {greedy("select *, case when page_type = 'LUMINAIRE' then 64.0 else 25.0 end as reach from pl", "job_id, page, page_type, article", "q desc, seq", "seq x y",
+               "(e.x - r.x) * (e.x - r.x) + (e.y - r.y) * (e.y - r.y) <= r.reach")},
+       de as (select pl.* from pl join (select job_id, page, page_type, article, e.seq as seq from kept) using (job_id, page, page_type, article, seq))
+       select job_id, page, seq, 0 as copy, article, label, room, room_dist, source from de where not multi
+       union all select job_id, page, seq, n, 'PC', concat(label, ' (déployé)'), room, room_dist, 'expansion' from de, range(1, 5) r(n) where multi
+       union all select job_id, page, seq, 1, 'RJ', concat(label, ' (déployé)'), room, room_dist, 'expansion' from de where multi""")
+def plan_symbols(d):
+    plan = PlanSymbols(d.b_spans, _entries(d), d.sql(_PAGE_DETECTIONS))
+    cells = plan.rooms.where("job_id % 2 = 0").groupBy("job_id", "page", *[F.floor(F.col(c) * CELL_SCALE).cast("bigint").alias(c) for c in ("x", "y")]).agg(F.min("idx").alias("idx"))
+    plan.cells = cells
+    return plan.symbols.select("job_id", "page", "seq", "copy", "article", "label", "room", "room_dist", "source")
+
+
 # -- points -------------------------------------------------------------------------------------
 @query("nearest_room", """with q as (select distinct job_id, page, x, y from {b_points}), n as (select q.*, r.name, row_number() over (partition by q.job_id, q.page, q.x, q.y
        order by sqrt((r.x - q.x) * (r.x - q.x) + (r.y - q.y) * (r.y - q.y)), r.idx) as k, sqrt((r.x - q.x) * (r.x - q.x) + (r.y - q.y) * (r.y - q.y)) as d
