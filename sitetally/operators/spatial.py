@@ -189,13 +189,13 @@ def keep_strongest(points: DataFrame, keys: list[str], rank: Column, radius: Col
         rows = todo.withColumn("_g", grids).withColumns({"_cx": at("x", F.col("_g")), "_cy": at("y", F.col("_g"))})
         reach = F.least("_r", F.col("c._r"))
         d2 = (F.col("x") - F.col("c.x")) * (F.col("x") - F.col("c.x")) + (F.col("y") - F.col("c.y")) * (F.col("y") - F.col("c.y"))
-        pairs = near.join(rows, [*keys, "_g", "_cx", "_cy"]).where(
+        pairs = cut_lineage(near.join(rows, [*keys, "_g", "_cx", "_cy"]).where(
             (F.col("_g") == F.least("_level", "_clevel")) & (F.col("_rank") != F.col("c._rank"))
-            & ((d2 <= reach * reach) if inclusive else (d2 < reach * reach)))
-        beaten = pairs.where(F.col("_rank") > F.col("c._rank")).select(*keys, F.col("c._rank").alias("_rank")).distinct()
+            & ((d2 <= reach * reach) if inclusive else (d2 < reach * reach))).select(*keys, "_rank", F.col("c._rank").alias("_by")))
+        beaten = pairs.where("_rank > _by").select(*keys, F.col("_by").alias("_rank")).distinct()
         kept = cut_lineage(best.select(*keys, F.col("c._rank").alias("_rank")).join(beaten, [*keys, "_rank"], "left_anti"))
         kept_parts.append(kept)
-        removed = pairs.where(F.col("_rank") < F.col("c._rank")).select(*keys, "_rank", F.col("c._rank").alias("_by")).join(
+        removed = pairs.where("_rank < _by").join(
             kept.withColumnRenamed("_rank", "_by"), [*keys, "_by"], "left_semi").select(*keys, "_rank").distinct()
         todo = cut_lineage(todo.join(kept, [*keys, "_rank"], "left_anti").join(removed, [*keys, "_rank"], "left_anti"))
         if todo.isEmpty():
