@@ -30,6 +30,8 @@ ERROR = 0.01
 #: Documents from which on a group sets its own fences.
 GROUP_ROWS = 200
 FENCE = 6.0
+#: Groups whose fences go to all tasks; rows of a hot source then stay where they are.
+BROADCAST_GROUPS = 50_000
 #: Metric: share or length, slack beyond the fence, whether low values stand out too.
 METRICS = {"symbol_share": (0.05, False), "dup_line_share": (0.5, False), "mean_word": (2.5, True)}
 
@@ -135,12 +137,14 @@ def judged(measured: DataFrame, lang: str = "row.lang", source: str = "row.sourc
     sketched = cut_lineage(sketch(measured, lang, source))
     bounds = [f"{m}_{end}" for m in METRICS for end in ("high", "low")]
     whole = fences(sketched, []).first()  # one row
-    own = fences(sketched, ["lang", "source"])
+    own = cut_lineage(fences(sketched, ["lang", "source"]))
     by_lang = fences(sketched, ["lang"]).select(F.col("lang").alias("_lang"), F.col("rows").alias("_rows"), *(F.col(b).alias(f"_{b}") for b in bounds))
     chosen = own.join(by_lang, own["lang"].eqNullSafe(by_lang["_lang"]), "left").select(
         F.col("lang").alias("_lang"), F.col("source").alias("_source"),
         *(F.when(F.col("rows") >= group_rows, F.col(b)).when(F.col("_rows") >= group_rows, F.col(f"_{b}")).otherwise(F.lit(whole[b]).cast("double")).alias(f"_{b}") for b in bounds),
     )
+    if own.count() <= BROADCAST_GROUPS:  # a few numbers a group; with more of them Spark shuffles both sides
+        chosen = F.broadcast(chosen)
     rows = measured.withColumn("_l", F.col(lang).cast("string")).withColumn("_s", F.col(source).cast("string"))
     rows = rows.join(chosen, F.col("_l").eqNullSafe(F.col("_lang")) & F.col("_s").eqNullSafe(F.col("_source")), "left")
     inside = F.lit(True)
