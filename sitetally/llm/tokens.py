@@ -14,7 +14,7 @@ TOKENIZER = "word_bpe_49k.json"
 #: Id appended to each document.
 END_ID = 1
 #: Words kept by a worker, in two generations of this many.
-WORD_MEMORY = 700_000
+WORD_MEMORY = 300_000
 
 
 def tokenizer_file(name: str = TOKENIZER) -> str:
@@ -110,7 +110,7 @@ class WordEncoder:
             out.append(b"".join(map(self.words.__getitem__, words)))
             if len(self.words) > self.memory:
                 self.words.old = {}  # else each generation would hold all before
-                self.words = _Words(self._ids, self.code, dict(self.words))
+                self.words = _Words(self._ids, self.code, self.words)
         return out
 
 

@@ -40,7 +40,7 @@ THREAT_WEIGHT, PRIOR_ROWS = 2.6, 5.0
 #: Share of the other clauses' weight (by logarithm) in a document's score.
 FURTHER = 0.5
 #: Words of a worker's memory of looked-up words.
-MEMORY = 300_000
+MEMORY = 150_000
 
 # fixed lists, in English, French, Spanish and German
 THREATS = "kill murder strangle stab tuerai tuerons égorger matarte mataré degollar umbringen abstechen töten".split()
