@@ -53,7 +53,7 @@ def fingerprint(text: bytes, words_each: int = SHINGLE_WORDS, seed: int = SEED)
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = np.array([fingerprint(t) for t in text_bytes(batch.column(1))], "<u8").view("<i8")
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], names=["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], names=[batch.schema.names[0], "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -133,19 +133,29 @@ def hex_fingerprint(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """docs with one row of each component: the one whose doc_id names it.
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """A written table (id, row): each row of docs with a struct of its doc_id and a number of its own."""
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    key = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row_id")).alias("id")
+    return written(docs.select(key, whole), name)
+
+
+def least_row() -> Column:
+    """Aggregate: the id that stands first, by doc_id with nulls last, then by the row's number."""
+    return F.min(F.struct(F.col("id.doc_id").isNull().alias("unnamed"), F.col("id.doc_id").alias("doc_id"), F.col("id.row_id").alias("row_id")))
 
-    Rows that repeat that doc_id are one document: the least row stays. Rows with a null doc_id are one document, too.
-    """
-    found = near_duplicates(docs, radius)
-    same = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    winners = cut_lineage(found.filter(same).groupBy("doc_id").agg(F.count("*").alias("n")))
 
-    def rows(which: str) -> DataFrame:
-        chosen = winners.filter(which).select(F.col("doc_id").alias("_winner"))
-        return docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["_winner"]), "left_semi")
+def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """docs with one row of each component: the one with the least doc_id, null ones last.
 
-    once = rows("n = 1 and doc_id is not null")
-    repeated = rows("n > 1 or doc_id is null").groupBy("doc_id").agg(F.min(F.struct(*(F.col(f"`{c}`") for c in docs.columns))).alias("_row"))
-    return once.unionByName(repeated.select("_row.*"))
+    Components choose among rows, not ids: rows without a doc_id and rows that share one are dropped only for a row of their own component.
+    """
+    prepare(docs.sparkSession)
+    rows = numbered(docs, "simhash-rows")
+    kind = rows.schema["id"].dataType.simpleString()
+    marked = rows.select("id", F.col("row.text").cast("string").alias("text")).mapInArrow(_fingerprint_batches, f"id {kind}, fp long")
+    first = cut_lineage(marked.groupBy("fp").agg(least_row().alias("least")))
+    members = cut_lineage(components(links(first.select("fp"), radius)))
+    rooted = first.join(members, first["fp"] == members["node"], "left").select(F.coalesce("root", "fp").alias("root"), "least")
+    chosen = rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.row_id").alias("_chosen"))
+    return rows.join(chosen, F.col("id.row_id") == F.col("_chosen"), "left_semi").select("row.*")

@@ -90,6 +90,13 @@ def test_keep_one_leaves_one_row_of_each_group(docs):
     assert sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted(groups, key=str)
 
 
+def test_keep_one_chooses_rows_and_not_ids(spark):
+    text = lambda i: " ".join(f"w{i}x{k}" for k in range(40))
+    rows = [(None, text(i)) for i in range(5)] + [(7, text(10)), (7, text(11)), (1, text(12)), (7, text(12)), (None, text(12))]
+    kept = rows_of(near.keep_one(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert Counter(kept) == Counter([*rows[:7], (1, text(12))])
+
+
 # 2 token files
 
 
