@@ -70,3 +70,38 @@ def measures(text: str | None) -> tuple[int, ...]:
     inside = {j for i in range(len(w) - 7) if windows[tuple(w[i : i + 8])] > 1 for j in range(i, i + 8)}
     lines = [x for x in text.split("\n") if words(x)]
     return len(w), sum(map(len, w)), len(re.findall("[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(inside)
+
+
+def shingle_set(text: str | None, each: int = 5) -> frozenset[tuple[str, ...]]:
+    w = words("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    return frozenset(tuple(w[i : i + each]) for i in range(max(1, len(w) - each + 1))) if w else frozenset()
+
+
+def overlap_pairs(texts: list[str | None], similarity: float = 0.8) -> list[tuple[int, int, float]]:
+    """All pairs of distinct shingle sets at the similarity or more, as places in texts with their Jaccard similarity."""
+    sets = [shingle_set(t) for t in texts]
+    at: dict[tuple[str, ...], list[int]] = {}
+    for i, found in enumerate(sets):
+        for s in found:
+            at.setdefault(s, []).append(i)
+    shared = Counter((a, b) for places in at.values() for k, a in enumerate(places) for b in places[k + 1 :])
+    pairs = ((a, b, n / (len(sets[a]) + len(sets[b]) - n)) for (a, b), n in shared.items())
+    return [p for p in pairs if p[2] >= similarity]
+
+
+def kept_places(ids: list[int | None], texts: list[str | None], similarity: float = 0.8) -> list[int]:
+    """Place of the row that stays of each component of near copies: the least id, null last, then the first."""
+    top = list(range(len(texts)))
+
+    def root(i: int) -> int:
+        while top[i] != i:
+            i = top[i]
+        return i
+
+    empty = [i for i, t in enumerate(texts) if not words(t)]
+    for a, b in [*((a, b) for a, b, _ in overlap_pairs(texts, similarity)), *zip(empty, empty[1:])]:
+        top[root(a)] = root(b)
+    groups: dict[int, list[int]] = {}
+    for i in range(len(texts)):
+        groups.setdefault(root(i), []).append(i)
+    return sorted(min(g, key=lambda i: (ids[i] is None, ids[i] or 0, i)) for g in groups.values())

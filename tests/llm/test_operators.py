@@ -9,9 +9,9 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pytest
-from brute import AWKWARD, COLUMNS, component_ids, measures, simhash, words
+from brute import AWKWARD, COLUMNS, component_ids, kept_places, measures, overlap_pairs, shingle_set, simhash, words
 
-from sitetally.llm import chat, extraction, huffman, merkle, mixing, packing, quality, sharding, toxicity
+from sitetally.llm import chat, extraction, huffman, merkle, mixing, overlap, packing, quality, sharding, toxicity
 from sitetally.llm import simhash as near
 from sitetally.llm.queries import LLM_ORACLES, LLM_QUERIES
 from sitetally.llm.tokens import tokenizer_file
@@ -97,6 +97,37 @@ def test_keep_one_chooses_rows_and_not_ids(spark):
     assert Counter(kept) == Counter([*rows[:7], (1, text(12))])
 
 
+def near_copies(seed, n=40):
+    """Texts with copies at a 5-word similarity of 0.7 to 0.95: some words exchanged, by the place of the text."""
+    rng, texts = np.random.default_rng(seed), []
+    for i in range(n):
+        base = [f"v{x}" for x in rng.integers(0, 3000, int(rng.integers(120, 400)))]
+        copy = [*base]
+        for at in rng.choice(len(base), max(1, round(len(base) * (0.005 + 0.03 * i / n))), replace=False):
+            copy[at] = "changed"
+        texts += [" ".join(base), " ".join(copy)]
+    return texts
+
+
+def test_overlap_keeps_what_all_pairs_keep(spark, docs, none):
+    texts = near_copies(5)
+    assert 20 < len(overlap_pairs(texts)) < 40
+    rows = [(None if i % 9 == 0 else 500 - i // 3, t) for i, t in enumerate(texts)]
+    kept = rows_of(overlap.keep_one(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert Counter(kept) == Counter(rows[i] for i in kept_places(*zip(*rows)))
+    awkward = [AWKWARD[i] for i in kept_places([r[0] for r in AWKWARD], [r[1] for r in AWKWARD])]
+    assert Counter(rows_of(overlap.keep_one(docs))) == Counter(awkward)
+    assert rows_of(overlap.keep_one(none)) == []
+
+
+def test_minima_agree_as_often_as_sets_overlap():
+    for a, b, share in overlap_pairs(near_copies(6), 0.5):
+        x, y = (overlap.shingles(near_copies(6)[i].encode()) for i in (a, b))
+        assert len(np.intersect1d(x, y)) / len(np.union1d(x, y)) == pytest.approx(share)
+        assert abs((overlap.minima(x) == overlap.minima(y)).mean() - share) < 0.2
+    assert len(overlap.shingles(b" ")) == 0 and len(overlap.shingles(b"One two")) == len(shingle_set("One two")) == 1
+
+
 # 2 token files
 
 
