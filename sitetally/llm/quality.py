@@ -4,6 +4,10 @@ Base rules are fixed by the caller's contract (too few words, too much repetitio
 held against fences that each (language, source) sets for itself: a quantile sketch per group gives the quartiles, and
 a document stands out if it lies FENCE times the quartile distance, plus a slack, outside of them.
 
+Junk must not set the fence that is to catch it. So a quartile counts no farther from the median than the other one (junk on
+one side then needs half of the group), and a group whose near quartile lies within the fence of its parent (language, then all
+documents) doesn't go beyond that fence: part of it is like the others, so the rest is not just how the source is written.
+
 The sketch counts values by logarithmic bucket (relative error ERROR). It is a table of counts: partial sums merge by
 adding, so it is built with map-side combining, and groups with few documents fall back to the merged sketch of their
 language, or of all documents.
@@ -116,17 +120,22 @@ def sketch(measured: DataFrame, lang: str = "row.lang", source: str = "row.sourc
 
 
 def fences(sketched: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, rows, <metric>_low, <metric>_high) from sketches merged to keys."""
+    """(keys, rows, <metric>_low, <metric>_high) from sketches merged to keys; also <metric>_q1 and _q3, and the fences with mirrored
+    quartiles, <metric>_low_near and _high_near."""
     merged = sketched.groupBy(*keys, "metric", "bucket").agg(F.sum("n").alias("n"))
     ordered = Window.partitionBy(*keys, "metric").orderBy(F.col("bucket").asc_nulls_first())
     cumulated = merged.withColumn("upto", F.sum("n").over(ordered)).withColumn("rows", F.sum("n").over(Window.partitionBy(*keys, "metric")))
     value = F.coalesce(2 * F.pow(F.lit(_GAMMA), F.col("bucket")) / (_GAMMA + 1), F.lit(0.0))
     reached = lambda q: F.min(F.when(F.col("upto") >= q * F.col("rows"), value))
-    quartiles = cumulated.groupBy(*keys, "metric").agg(F.max("rows").alias("rows"), reached(0.25).alias("q1"), reached(0.75).alias("q3"))
+    quartiles = cumulated.groupBy(*keys, "metric").agg(F.max("rows").alias("rows"), reached(0.25).alias("q1"), reached(0.5).alias("q2"), reached(0.75).alias("q3"))
     at = lambda m, c: F.max(F.when(F.col("metric") == m, c))
     spread = FENCE * (F.col("q3") - F.col("q1"))
+    low, high = F.greatest("q1", 2 * F.col("q2") - F.col("q3")), F.least("q3", 2 * F.col("q2") - F.col("q1"))
     columns = []
     for m, (slack, both) in METRICS.items():
+        columns += [at(m, F.col("q1")).alias(f"{m}_q1"), at(m, F.col("q3")).alias(f"{m}_q3")]
+        columns.append(at(m, high + FENCE * (high - F.col("q1")) + slack).alias(f"{m}_high_near"))
+        columns.append((at(m, low - FENCE * (F.col("q3") - low) - slack) if both else F.lit(None).cast("double")).alias(f"{m}_low_near"))
         columns.append(at(m, F.col("q3") + spread + slack).alias(f"{m}_high"))
         columns.append((at(m, F.col("q1") - spread - slack) if both else F.lit(None).cast("double")).alias(f"{m}_low"))
     return quartiles.groupBy(*keys).agg(F.max("rows").alias("rows"), *columns)
@@ -135,13 +144,21 @@ def fences(sketched: DataFrame, keys: list[str]) -> DataFrame:
 def judged(measured: DataFrame, lang: str = "row.lang", source: str = "row.source", group_rows: int = GROUP_ROWS) -> DataFrame:
     """measured (a written table) with base_failed and kept."""
     sketched = cut_lineage(sketch(measured, lang, source))
-    bounds = [f"{m}_{end}" for m in METRICS for end in ("high", "low")]
+    bounds = [(m, end) for m in METRICS for end in ("high", "low")]
     whole = fences(sketched, []).first()  # one row
     own = cut_lineage(fences(sketched, ["lang", "source"]))
-    by_lang = fences(sketched, ["lang"]).select(F.col("lang").alias("_lang"), F.col("rows").alias("_rows"), *(F.col(b).alias(f"_{b}") for b in bounds))
+    needed = ["rows", *(f"{m}_{c}" for m in METRICS for c in ("q1", "q3", "high_near", "low_near"))]
+    by_lang = fences(sketched, ["lang"]).select(F.col("lang").alias("_lang"), *(F.col(c).alias(f"_{c}") for c in needed))
+
+    def fence(m: str, end: str, prefix: str, parent: Column) -> Column:
+        near = F.col(f"{prefix}{m}_{end}_near")
+        like = F.col(f"{prefix}{m}_q1") <= parent if end == "high" else F.col(f"{prefix}{m}_q3") >= parent
+        closer = F.least(near, parent) if end == "high" else F.greatest(near, parent)
+        return F.when(F.col(f"{prefix}rows") >= group_rows, F.when(like, closer).otherwise(near)).otherwise(parent)
+
     chosen = own.join(by_lang, own["lang"].eqNullSafe(by_lang["_lang"]), "left").select(
         F.col("lang").alias("_lang"), F.col("source").alias("_source"),
-        *(F.when(F.col("rows") >= group_rows, F.col(b)).when(F.col("_rows") >= group_rows, F.col(f"_{b}")).otherwise(F.lit(whole[b]).cast("double")).alias(f"_{b}") for b in bounds),
+        *(fence(m, end, "", fence(m, end, "_", F.lit(whole[f"{m}_{end}_near"]).cast("double"))).alias(f"_{m}_{end}") for m, end in bounds),
     )
     if own.count() <= BROADCAST_GROUPS:  # a few numbers a group; with more of them Spark shuffles both sides
         chosen = F.broadcast(chosen)

@@ -178,6 +178,20 @@ def test_quality_fences_follow_each_group(spark):
     assert len(kept) == 602
 
 
+@pytest.mark.parametrize("percent", [30, 50, 70])
+def test_junk_does_not_set_its_own_fence(spark, percent):
+    words_of = lambda i: " ".join(f"w{(i * 7 + k) % 991}" for k in range(30))
+    symbols, lines = (lambda i: words_of(i).replace(" ", "# ", 10 + i % 19)), (lambda i: "\n".join([f"again {i}"] * 5 + [words_of(i)]))
+    junk = lambda i: i % 100 < percent
+    rows = [(i, symbols(i) if junk(i) else words_of(i), "en", "hashes") for i in range(400)]
+    rows += [(1000 + i, lines(i) if junk(i) else words_of(i), "en", "lines") for i in range(400)]
+    rows += [(2000 + i, words_of(i), "en", "plain") for i in range(1200)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    found = quality.judge(frame).select("doc_id", "kept", "base_failed").collect()
+    assert not any(r["base_failed"] for r in found)
+    assert {r["doc_id"] for r in found if not r["kept"]} == {i for i, *_ in rows if i < 2000 and junk(i % 1000)}
+
+
 def test_sketched_quantiles_are_near(spark):
     values = np.random.default_rng(3).lognormal(1, 1, 4000)
     rows = [("en", "s", "mean_word", int(np.ceil(np.log(v) / np.log(quality._GAMMA))), 1) for v in values]
