@@ -4,7 +4,8 @@ A page is cut into blocks at block-level tags. Blocks inside elements that are n
 elements whose class or id says so) are left out at once. In the first pass the other blocks are classed by link density, by
 stop-word density and by length: good, bad, or undecided when short or without stop words. In the second pass an undecided
 block takes the label of the nearest decided one of its region, and that of the region if there is none. Regions are the
-article or main elements; where a page has such text, nothing outside of them is kept.
+article or main elements; where they hold as much good text as the rest of the page, nothing outside of them is kept. A form that holds one
+of them, or most of the page's stop words, is not left out.
 """
 
 from __future__ import annotations
@@ -57,6 +58,11 @@ _HOLDS_P = frozenset("article aside blockquote body button caption dd details di
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"'=]|=\s*"[^"]*"|=\s*'[^']*'|[="'])*+)(?:>|\Z)""", re.S)
 _NAMES = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+#: Marks what a page has or lacks, not what an element is: "with-sidebar", "no-sidebar".
+_PREFIXES = ("with-", "with_", "no-", "no_", "has-", "has_")
+#: Page builders set these on elements of any content; what else such an element is called decides.
+_WHOLE = frozenset("widget search".split())
+_FORM_END, _HAS_REGION = re.compile("</form", re.I), re.compile(r"<(?:article|main)\b", re.I)
 _SPACE = re.compile(r"\s+")
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -76,6 +82,26 @@ class _Place:
     linked: bool
 
 
+def _named_chrome(value: str) -> bool:
+    """Whether a class or id has a chrome name as a token, or at an end of one (site-footer, cookie-notice)."""
+    for token in value.split():
+        parts = re.split(r"[^a-z]+", token)
+        if token in _CHROME_NAMES - _WHOLE or not token.startswith(_PREFIXES) and not _CHROME_NAMES.isdisjoint({parts[0], parts[-1]} - _WHOLE):
+            return True
+    return False
+
+
+def _stops(markup: str) -> int:
+    return sum(w in STOP_WORDS for w in _LETTERS.findall(_TOKEN.sub(" ", markup).lower()))
+
+
+def _holds_page(page: str, at: int) -> bool:
+    """Whether the form that opens before `at` is the frame of the page."""
+    end = _FORM_END.search(page, at)
+    held = page[at : end.start() if end else len(page)]
+    return bool(_HAS_REGION.search(held)) or 2 * _stops(held) > _stops(page) > 0
+
+
 def _is_chrome(tag: str, attributes: str, inside: _Place) -> bool:
     if tag in _CHROME or (tag == "header" and not inside.region):
         return True
@@ -84,7 +110,7 @@ def _is_chrome(tag: str, attributes: str, inside: _Place) -> bool:
         if name.lower() == "role":
             if value.strip() in _CHROME_ROLES:
                 return True
-        elif tag not in ("body", "html", *_REGIONS) and not _CHROME_NAMES.isdisjoint(re.split(r"[^a-z]+", value)):
+        elif tag not in ("body", "html", *_REGIONS) and _named_chrome(value):
             return not (inside.region and "header" in value)
         elif tag == "article" and "comment" in value:
             return True
@@ -156,7 +182,10 @@ def blocks(page: str) -> list[Block]:
         if tag in _REGIONS and not (tag == "article" and region and inside.chrome):
             regions += 1
             region = regions
-        stack.append(_Place(tag, inside.chrome or _is_chrome(tag, token[3], inside), region, inside.linked or tag == "a"))
+        chrome = inside.chrome or _is_chrome(tag, token[3], inside)
+        if tag == "form" and chrome and not inside.chrome:
+            chrome = not _holds_page(page, at)
+        stack.append(_Place(tag, chrome, region, inside.linked or tag == "a"))
     add(page[at:])
     flush()
     return out
@@ -198,11 +227,12 @@ def second_pass(found: list[Block]) -> list[bool]:
 
 
 def main_text(page: str) -> str:
-    """The blocks labelled good, joined by an empty line; those of article or main elements only, if any has some."""
+    """The blocks labelled good, joined by an empty line; those of article or main elements only, if they hold as much good text as the rest."""
     found = blocks(page)
     kept = [b for b, good in zip(found, second_pass(found), strict=True) if good]
     inner = [b for b in kept if b.region]
-    return "\n\n".join(b.text for b in inner or kept)
+    good = [sum(len(b.text) for b in kept if bool(b.region) == inside and first_pass(b)) for inside in (True, False)]
+    return "\n\n".join(b.text for b in (inner if inner and good[0] >= good[1] else kept))
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

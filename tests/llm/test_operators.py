@@ -489,3 +489,19 @@ def test_extraction_leaves_chrome_out(spark):
     found = rows_of(extraction.extract_pages(frame))
     assert len(found) == 5 and sum(n for *_, n in found) == 30_000 * 3 - 2 + 1
     assert rows_of(extraction.extract_pages(frame.limit(0))) == []
+
+
+LONG_TEXT = "The long text of the article is here and it goes on for a while, as is the way of all the articles."
+
+
+@pytest.mark.parametrize("name", ["class='content with-sidebar'", "class='no-sidebar'", "class='widget Blog'", "class=elementor-widget-text-editor", "id=search-result"])
+def test_names_that_only_mention_chrome_keep_their_text(name):
+    page = f"<body><div {name}><p>{LONG_TEXT}</p></div><div class='site-footer'><p>{LONG_TEXT} 2</p></div></body>"
+    assert extraction.main_text(page) == LONG_TEXT
+
+
+def test_page_wide_forms_and_teasers_keep_the_body():
+    assert extraction.main_text(f"<body><form><div><p>{LONG_TEXT}</p></div></form></body>") == LONG_TEXT
+    assert extraction.main_text(f"<body><form><main><p>{LONG_TEXT}</p></main></form><form><p>the name of a user</p></form></body>") == LONG_TEXT
+    page = f"<body><div><p>{LONG_TEXT}</p><p>{LONG_TEXT} 2</p></div><article><p>{LONG_TEXT} 3</p></article></body>"
+    assert extraction.main_text(page).startswith(f"{LONG_TEXT}\n\n{LONG_TEXT} 2")
