@@ -7,7 +7,7 @@ import uuid
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from . import chat, extraction, huffman, merkle, mixing, packing, quality, sharding, simhash, toxicity
+from . import chat, extraction, huffman, merkle, mixing, packing, phrases, quality, repeats, sharding, simhash, toxicity, whitening
 from .common import table
 from .tokens import tokenizer_file
 
@@ -64,9 +64,24 @@ def op10_extraction(spark, sf_dir):
     return extraction.extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op11_repeats(spark, sf_dir):
+    kept = repeats.without_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op12_whitening(spark, sf_dir):
+    # null where the exact sum is beyond 64 bits
+    return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+def op13_phrases(spark, sf_dir):
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 LLM_QUERIES = {
     "op1_simhash": op1_simhash, "op2_token_files": op2_token_files, "op3_quality": op3_quality, "op4_fingerprint": op4_fingerprint, "op5_packing": op5_packing,
     "op6_sharding": op6_sharding, "op7_toxicity": op7_toxicity, "op8_mixing": op8_mixing, "op9_chat": op9_chat, "op10_extraction": op10_extraction,
+    "op11_repeats": op11_repeats, "op12_whitening": op12_whitening, "op13_phrases": op13_phrases,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -88,4 +103,45 @@ select conv_id, count(*) as n_turns,
   sum(chars)::bigint as formatted_chars
 from sized group by conv_id
 """
-LLM_ORACLES = {"op9_chat": _OP9_SQL}
+_OP11_SQL = r"""
+with docs as (
+  select row_number() over (order by doc_id nulls last) as d, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]'), lambda x: x <> '') as w
+  from documents
+), windows as (
+  select d, s, array_to_string(w[s:s + 19], ' ') as words from (select d, w, unnest(range(1, len(w) - 18)) as s from docs)
+), later as (
+  select d, s from (select d, s, row_number() over (partition by words order by d, s) as k from windows) where k > 1
+), gone as (
+  select distinct d, unnest(range(s, s + 20)) as i from later
+), kept as (
+  select d, string_agg(word, ' ' order by i) as text from (select d, unnest(w) as word, unnest(range(1, len(w) + 1)) as i from docs) anti join gone using (d, i) group by d
+)
+select docs.doc_id, len(w)::bigint as n_words, (select count(*) from gone where gone.d = docs.d) as n_removed, sha256(coalesce(kept.text, '')) as kept_sha256
+from docs left join kept using (d)
+"""
+_OP13_SQL = r"""
+with pieces as (
+  select coalesce(lang, 'und') as lang,
+    unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as p
+  from documents
+), split as (select lang, list_filter(string_split_regex(p, '[\x20\x09]'), lambda x: x <> '') as w from pieces),
+places as (select lang, w, unnest(range(1, len(w) + 1)) as i from split),
+f as (
+  select lang, k, array_to_string(w[i:i + k - 1], ' ') as phrase, count(*) as f
+  from places, (values (1), (2), (3)) as sizes(k) where i + k - 1 <= len(w) group by all
+), n as (select lang, sum(f)::bigint as n from f where k = 1 group by lang),
+c as (select lang, k, phrase, f as a, string_split(phrase, ' ') as w from f where k > 1 and f >= 10),
+longer as (
+  select lang, phrase, max(a) as a from (select lang, a, array_to_string(w[j:j + 1], ' ') as phrase from c, (values (1), (2)) as t(j) where k = 3) group by all
+), cuts as (
+  select c.*, j, array_to_string(c.w[1:j], ' ') as first, array_to_string(c.w[j + 1:], ' ') as rest
+  from c left join longer using (lang, phrase), (values (1), (2)) as t(j)
+  where j < k and (longer.a is null or 100 * longer.a < 50 * c.a)
+), scored as (
+  select cuts.lang, cuts.phrase, a, j, x.f as l, y.f as r, ((1000000::hugeint * a * a) // (x.f::hugeint * y.f))::bigint as score
+  from cuts join f x on x.lang = cuts.lang and x.phrase = first and x.k = j join f y on y.lang = cuts.lang and y.phrase = rest and y.k = cuts.k - j
+), lowest as (select * from scored qualify row_number() over (partition by lang, phrase order by score, j) = 1)
+select lang, rank, phrase, a, l, r, n, score
+from (select *, row_number() over (partition by lang order by score desc, a desc, encode(phrase)) as rank from lowest) join n using (lang) where rank <= 2000
+"""
+LLM_ORACLES = {"op9_chat": _OP9_SQL, "op11_repeats": _OP11_SQL, "op13_phrases": _OP13_SQL}
