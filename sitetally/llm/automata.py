@@ -8,18 +8,14 @@ incremental construction from sorted input), which makes shards of mostly rare n
 from __future__ import annotations
 
 import numpy as np
-import zstandard
+
+from .blobs import pack, unpack
 
 #: Words on a path; word number 0 stands for the end of a shorter path.
 DEPTH = 3
 _BITS = 21
 
 
-def _narrow(values: np.ndarray) -> np.ndarray:
-    top = int(values.max(initial=0))
-    return values.astype("<u1" if top < 1 << 8 else "<u2" if top < 1 << 16 else "<u4" if top < 1 << 32 else "<u8")
-
-
 def heads(*sorted_keys: np.ndarray) -> np.ndarray:
     """Places where a run of equal keys begins."""
     begins = np.ones(len(sorted_keys[0]), bool)
@@ -93,20 +89,12 @@ class CountAutomaton:
         owner = np.array(owners, np.int64)
         inside = np.concatenate([np.arange(starts[s], starts[s] + sizes[s]) for s in owners]) if owners else np.zeros(0, np.int64)
         parts = [g[first, 0], np.diff(np.append(np.searchsorted(second, first), len(second))), g[second, 1], state, degree[owner], g[inside, 2], c[inside]]
-        text = b"\n".join(self.words)
-        narrow = [_narrow(p) for p in parts]
-        header = np.array([len(self.words), len(text), *(v for p in narrow for v in (len(p), p.itemsize))], "<i8")
-        return zstandard.ZstdCompressor(level=1).compress(header.tobytes() + text + b"".join(p.tobytes() for p in narrow))
+        return pack(parts, b"\n".join(self.words))
 
     @classmethod
     def from_bytes(cls, data: bytes) -> CountAutomaton:
-        raw = zstandard.ZstdDecompressor().decompress(data)
-        header = np.frombuffer(raw, "<i8", 16).tolist()
-        at = 16 * 8 + header[1]
-        words, parts = raw[128:at].split(b"\n"), []
-        for n, size in zip(header[2::2], header[3::2], strict=True):
-            parts.append(np.frombuffer(raw, f"<u{size}", n, at).astype(np.int64))
-            at += n * size
+        columns, text = unpack(data)
+        words, parts = text.split(b"\n"), [c.astype(np.int64) for c in columns]
         first, fan, second, state, degree, third, weight = parts
         begin = np.cumsum(degree) - degree
         sizes = degree[state]

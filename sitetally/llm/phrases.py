@@ -28,6 +28,8 @@ COVERED_PERCENT = 50
 #: Positions of a shard, and n-grams of a range: what a task holds at once.
 SHARD = 1 << 20
 RANGE = 1 << 21
+#: A range is crowded from this many times RANGE on.
+CROWDED = 4
 SEED = 45
 #: Bytes a word takes at least on average, with its separator: only sets the number of ranges.
 WORD_BYTES = 6
@@ -147,7 +149,7 @@ def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT, shard: int = SHAR
     held = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = max(1, round(held / WORD_BYTES / range_paths))
     automata = written(rows.mapInArrow(_shards(ranges, shard), "lang string, range long, paths long, automaton binary"), "automata")
-    sizes = automata.groupBy("lang", "range").agg(F.sum("paths").alias("paths")).filter(F.col("paths") > 4 * range_paths)
+    sizes = automata.groupBy("lang", "range").agg(F.sum("paths").alias("paths")).filter(F.col("paths") > CROWDED * range_paths)
     crowded = cut_lineage(sizes.select("lang", "range", F.ceil(F.col("paths") / range_paths).cast("long").alias("parts")))
     whole = automata.join(crowded, ["lang", "range"], "left_anti").select("lang", "range", F.lit(-1).cast("long").alias("part"), "automaton")
     parts = automata.join(crowded, ["lang", "range"]).select("lang", "range", "parts", "automaton").mapInArrow(

@@ -6,7 +6,7 @@ by doc_id (null last), then start.
 Anchors are runs of words at the positions p of a document with p mod PERIOD in a difference cover: a set whose differences
 give every remainder. Whatever the two starts of a repeated window, some anchor inside lies at a cover position of both.
 So only 4 of 13 positions are hashed and compared, and a window without a repeated anchor needs no further look. The others
-extend to hashes of the whole window (128 bits), and the least (doc_id, start) of each hash stays.
+extend to hashes of the whole window (112 bits), and the least (doc_id, start) of each hash stays.
 
 Copies of a whole text are found first: one of them takes part, the others go whole.
 """
@@ -20,9 +20,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blobs import pack, unpack
 from .common import cut_lineage, prepare, text_bytes, text_or_empty
 from .skew import lookup, marks, with_mark
 
@@ -32,6 +33,12 @@ LONGEST_PERIOD = 21
 SEED = 44
 #: Anchors or windows that a task holds to merge equal ones before they are shuffled.
 HELD = 1 << 20
+#: Anchors or windows of a bucket, which a task compares at once; windows to expect for a repeated anchor, bytes of a word: these set the number of buckets.
+BUCKET = 1 << 20
+WINDOWS_EACH = 4
+WORD_BYTES = 6
+#: Bits that anchors and the second hash of windows do without: anchors have 48, windows 64 + 48.
+DROPPED_BITS = 16
 #: Order of documents without an id: after all others.
 LAST = (1 << 63) - 1
 
@@ -77,12 +84,6 @@ def anchor_places(n_words: int, window: int) -> np.ndarray:
     return places[places + length <= n_words] if n_words >= window else np.zeros(0, np.int64)
 
 
-def _own_key(*parts: np.ndarray) -> np.ndarray:
-    """A key of its own for a row whose fate is known, so that such rows spread over all tasks."""
-    mixed = sum((p.astype(np.int64).view(np.uint64) * f for p, f in zip(parts, _factors(9, len(parts)), strict=True)), np.uint64(1))
-    return mixed ^ (mixed >> np.uint64(29))
-
-
 def _heads(*sorted_keys: np.ndarray) -> np.ndarray:
     """True where a run of equal keys begins."""
     begins = np.ones(len(sorted_keys[0]), bool)
@@ -92,28 +93,76 @@ def _heads(*sorted_keys: np.ndarray) -> np.ndarray:
     return begins
 
 
-def _out(columns: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-    arrays = {n: a.view(np.int64) if a.dtype == np.uint64 else a for n, a in columns.items()}
-    for at in range(0, len(next(iter(arrays.values()))), 1 << 16):
-        yield pa.RecordBatch.from_pydict({n: pa.array(a[at : at + (1 << 16)]) for n, a in arrays.items()})
-
+def _runs(sorted_key: np.ndarray) -> Iterator[tuple[int, int]]:
+    begins = np.flatnonzero(_heads(sorted_key)).tolist() if len(sorted_key) else []
+    return zip(begins, [*begins[1:], len(sorted_key)], strict=True)
 
-def _merged_anchors(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-    """One row per held hash; further rows of a hash are known to repeat and take keys of their own."""
-    if held:
-        key, ref, place = (np.concatenate(c) for c in zip(*held, strict=True))
-        order = np.argsort(key, kind="stable")
-        key, ref, place = key[order], ref[order], place[order]
-        begins = _heads(key)
-        group = np.cumsum(begins) - 1
-        known = np.bincount(group)[group] > 1
-        key = np.where(begins, key, _own_key(ref, place))
-        yield from _out({"key": key, "ref": ref, "place": place, "known": known})
 
+def _dealt(buckets: int, docs: list[np.ndarray], keys: list[np.ndarray], doc: np.ndarray, place: np.ndarray, known: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Held rows in order of their first key, dealt to buckets by ranges of it, each bucket's rows packed with their documents.
 
-def _anchors(window: int):
+    Rows that are known to be repeated need not meet others: they are dealt evenly, so a hot key fills no bucket.
+    """
+    ranged = ((keys[0] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    bucket = np.where(known, (doc + place) % buckets, ranged)
+    order = np.lexsort((known, bucket))
+    out: dict[str, list] = {"bucket": [], "rows": [], "data": []}
+    for a, b in _runs(bucket[order]):
+        inside = order[a:b]
+        met, told = inside[~known[inside]], inside[known[inside]]
+        used, number = np.unique(doc[np.concatenate([met, told])], return_inverse=True)
+        columns = [*(k[met] for k in keys), number, place[met], place[told], *(c[used].view(np.uint64) for c in docs)]
+        out["bucket"].append(int(bucket[inside[0]]))
+        out["rows"].append(b - a)
+        out["data"].append(pack(columns))
+    yield pa.RecordBatch.from_pydict({"bucket": pa.array(out["bucket"], pa.int64()), "rows": pa.array(out["rows"], pa.int64()), "data": pa.array(out["data"], pa.binary())})
+
+
+def _gathered(data: list[bytes], n_keys: int, n_docs: int) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray, np.ndarray]:
+    """The rows of a bucket: keys, documents' columns, places, and whether they are known (those come without keys: 0)."""
+    keys, docs, places, known = [[] for _ in range(n_keys)], [[] for _ in range(n_docs)], [], []
+    for blob in data:
+        columns = unpack(blob)[0]
+        number, met, told = (c.astype(np.int64) for c in columns[n_keys : n_keys + 3])
+        for k in range(n_keys):
+            keys[k].append(np.append(columns[k], np.zeros(len(told), np.uint64)))
+        for k in range(n_docs):
+            docs[k].append(columns[n_keys + 3 + k].view(np.int64)[number])
+        places.append(np.append(met, told))
+        known.append(np.append(np.zeros(len(met), bool), np.ones(len(told), bool)))
+    return [np.concatenate(k) for k in keys], [np.concatenate(d) for d in docs], np.concatenate(places), np.concatenate(known)
+
+
+def _by_document(docs: list[np.ndarray], places: np.ndarray, names: list[str]) -> pa.Table:
+    """One row a document of the bucket, with its places."""
+    order = np.lexsort((places, *docs[::-1]))
+    docs, places = [d[order] for d in docs], places[order]
+    begins = np.flatnonzero(_heads(*docs)) if len(places) else np.zeros(0, np.int64)
+    lists = pa.ListArray.from_arrays(pa.array(np.append(begins, len(places)), pa.int32()), pa.array(places, pa.int64()))
+    return pa.table([*(pa.array(d[begins], pa.int64()) for d in docs), lists], names=[*names, "places"])
+
+
+def _anchors(window: int, buckets: int):
     length = plan_of(window)[2]
 
+    def merged(held: list[tuple[int, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        """One row per held hash meets others; further rows of a hash are known to repeat, and so is the first."""
+        if held:
+            refs = np.array([h[0] for h in held], np.int64)
+            doc = np.repeat(np.arange(len(held)), [len(h[1]) for h in held])
+            key, place = np.concatenate([h[1] for h in held]) >> np.uint64(DROPPED_BITS), np.concatenate([h[2] for h in held])
+            key <<= np.uint64(DROPPED_BITS)
+            order = np.argsort(key, kind="stable")
+            key, doc, place = key[order], doc[order], place[order]
+            begins = _heads(key)
+            group = np.cumsum(begins) - 1
+            repeated = np.bincount(group)[group] > 1
+            # the first row of a repeated hash goes both ways: it tells others and is known itself
+            twice = np.flatnonzero(begins & repeated)
+            known = np.append(~begins, np.ones(len(twice), bool))
+            key, doc, place = (np.append(c, c[twice]) for c in (key, doc, place))
+            yield from _dealt(buckets, [refs], [key], doc, place, known)
+
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for batch in batches:
@@ -122,16 +171,26 @@ def _anchors(window: int):
                 if len(words) < window:
                     continue
                 places = anchor_places(len(words), window)
-                held.append((run_hashes(word_hashes(words), places, length, 0), np.full(len(places), ref, np.int64), places))
+                held.append((ref, run_hashes(word_hashes(words), places, length, 0), places))
                 n += len(places)
                 if n >= HELD:
-                    yield from _merged_anchors(held)
+                    yield from merged(held)
                     held, n = [], 0
-        yield from _merged_anchors(held)
+        yield from merged(held)
 
     return found
 
 
+def _met_anchors(table: pa.Table) -> pa.Table:
+    """(ref, places) of a bucket's anchors that occur more than once."""
+    (key,), (ref,), place, known = _gathered(table.column("data").to_pylist(), 1, 1)
+    asked = np.flatnonzero(~known)
+    order = asked[np.argsort(key[asked], kind="stable")]
+    group = np.cumsum(_heads(key[order])) - 1 if len(order) else np.zeros(0, np.int64)
+    repeated = np.append(order[np.bincount(group)[group] > 1] if len(order) else order, np.flatnonzero(known))
+    return _by_document([ref[repeated]], place[repeated], ["ref"])
+
+
 def candidate_starts(n_words: int, places: np.ndarray, window: int) -> np.ndarray:
     """Starts of the windows that hold one of the anchors at `places`."""
     period = plan_of(window)[0]
@@ -141,21 +200,21 @@ def candidate_starts(n_words: int, places: np.ndarray, window: int) -> np.ndarra
     return np.flatnonzero(np.cumsum(change)[: max(0, n_words - window + 1)] > 0)
 
 
-def _merged_windows(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-    """The first held row of each window; later ones are known to go and take keys of their own."""
-    if held:
-        columns = [np.concatenate(c) for c in zip(*held, strict=True)]
-        order = np.lexsort(columns[::-1])
-        key, check, at, ref, start = (c[order] for c in columns)
-        begins = _heads(key, check)
-        first = np.flatnonzero(begins)[np.cumsum(begins) - 1]
-        known = ~((at == at[first]) & (ref == ref[first]) & (start == start[first]))
-        key, check = (np.where(known, _own_key(at, ref, start), c) for c in (key, check))
-        sent = begins | known
-        yield from _out({n: c[sent] for n, c in {"key": key, "check": check, "at": at, "ref": ref, "start": start, "known": known}.items()})
-
+def _windows(window: int, buckets: int):
+    def merged(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        """The first held row of each window meets others; later ones are known to go."""
+        if held:
+            at, ref = (np.array([h[i] for h in held], np.int64) for i in (0, 1))
+            doc = np.repeat(np.arange(len(held)), [len(h[2]) for h in held])
+            key, check, start = (np.concatenate([h[i] for h in held]) for i in (2, 3, 4))
+            order = np.lexsort((start, ref[doc], at[doc], check, key))
+            key, check, doc, start = key[order], check[order], doc[order], start[order]
+            begins = _heads(key, check)
+            first = np.flatnonzero(begins)[np.cumsum(begins) - 1] if len(key) else np.zeros(0, np.int64)
+            known = ~((at[doc] == at[doc[first]]) & (ref[doc] == ref[doc[first]]) & (start == start[first]))
+            sent = begins | known
+            yield from _dealt(buckets, [at, ref], [key[sent], check[sent]], doc[sent], start[sent], known[sent])
 
-def _windows(window: int):
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for batch in batches:
@@ -166,17 +225,29 @@ def _windows(window: int):
                 repeated = np.array([x for x in p if x < len(words)], np.int64)
                 starts = candidate_starts(len(words), repeated, window)
                 hashes = word_hashes(words)
-                keys = (run_hashes(hashes, starts, window, number) for number in (1, 2))
-                held.append((*keys, np.full(len(starts), a, np.int64), np.full(len(starts), r, np.int64), starts))
+                check = run_hashes(hashes, starts, window, 2) >> np.uint64(DROPPED_BITS)
+                held.append((a, r, run_hashes(hashes, starts, window, 1), check, starts))
                 n += len(starts)
                 if n >= HELD:
-                    yield from _merged_windows(held)
+                    yield from merged(held)
                     held, n = [], 0
-        yield from _merged_windows(held)
+        yield from merged(held)
 
     return found
 
 
+def _later_windows(table: pa.Table) -> pa.Table:
+    """(at, ref, places) of a bucket's windows that aren't the first of their words."""
+    (key, check), (at, ref), start, known = _gathered(table.column("data").to_pylist(), 2, 2)
+    asked = np.flatnonzero(~known)
+    order = asked[np.lexsort((start[asked], ref[asked], at[asked], check[asked], key[asked]))]
+    begins = _heads(key[order], check[order]) if len(order) else np.zeros(0, bool)
+    first = order[np.flatnonzero(begins)[np.cumsum(begins) - 1]] if len(order) else order
+    later = (at[order] != at[first]) | (ref[order] != ref[first]) | (start[order] != start[first])
+    gone = np.append(order[later], np.flatnonzero(known))
+    return _by_document([at[gone], ref[gone]], start[gone], ["at", "ref"])
+
+
 def covered(n_words: int, starts: list[int], window: int) -> np.ndarray:
     """Which words lie in one of the windows."""
     change = np.zeros(n_words + window + 1, np.int64)
@@ -222,26 +293,27 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     rows = rows.select("doc_id", F.coalesce("doc_id", F.lit(LAST)).alias("at"), F.xxhash64("doc_id", "text").alias("ref"), "text")
     order = F.struct("at", "ref")
 
-    ids = cut_lineage(rows.select("at", "ref", F.unhex(F.md5("text")).alias("same")))
+    ids = cut_lineage(rows.select("at", "ref", F.unhex(F.md5("text")).alias("same"), F.octet_length("text").alias("bytes")))
     first = cut_lineage(ids.groupBy("same").agg(F.min(order).alias("first"), F.count("*").alias("n")))
     copies = lookup(ids, first.filter("n > 1"), ["same"]).filter(order > F.col("first")).select("at", "ref").distinct()
     heads = cut_lineage(marks(first, F.col("first.ref")))
     # a copy that shares the mark of a first text takes part, and loses its windows to that text
     singles = with_mark(rows, F.col("ref"), heads, "_head").filter("_head")
 
-    anchors = singles.select("ref", "text").mapInArrow(_anchors(window), "key long, ref long, place long, known boolean")
-    meeting = Window.partitionBy("key")
-    met = anchors.withColumn("_met", F.max("known").over(meeting) | (F.count("*").over(meeting) > 1))
+    packed = "bucket long, rows long, data binary"
+    held = ids.agg(F.sum("bytes")).first()[0] or 0
+    buckets = 1 + int(held / WORD_BYTES * len(plan_of(window)[1]) / plan_of(window)[0] / BUCKET)
+    anchors = singles.select("ref", "text").mapInArrow(_anchors(window, buckets), packed)
+    met = anchors.groupBy("bucket").applyInArrow(_met_anchors, "ref long, places array<long>")
     # a document's own anchors
-    places = cut_lineage(met.filter("_met").groupBy("ref").agg(F.collect_list("place").alias("places")))
+    places = cut_lineage(met.groupBy("ref").agg(F.flatten(F.collect_list("places")).alias("places")))
+    buckets = 1 + (places.agg(F.sum(F.size("places"))).first()[0] or 0) * WINDOWS_EACH // BUCKET
     asked = with_mark(singles, F.col("ref"), cut_lineage(marks(places, F.col("ref"))), "_asked").filter("_asked")
-    repeated = asked.select("at", "ref", "text").join(places, "ref").select("at", "ref", "places", "text").mapInArrow(
-        _windows(window), "key long, check long, at long, ref long, start long, known boolean")
-    place = F.struct("at", "ref", "start")
-    later = repeated.withColumn("_first", F.min(place).over(Window.partitionBy("key", "check"))).filter(F.col("known") | (place > F.col("_first")))
+    windows = asked.select("at", "ref", "text").join(places, "ref").select("at", "ref", "places", "text").mapInArrow(_windows(window, buckets), packed)
+    later = windows.groupBy("bucket").applyInArrow(_later_windows, "at long, ref long, places array<long>")
     # a document's own windows
     gone = cut_lineage(
-        later.groupBy("at", "ref").agg(F.collect_list("start").alias("starts")).withColumn("whole", F.lit(False))
+        later.groupBy("at", "ref").agg(F.flatten(F.collect_list("places")).alias("starts")).withColumn("whole", F.lit(False))
         .unionByName(copies.withColumns({"starts": F.lit(None).cast("array<long>"), "whole": F.lit(True)}))
         .groupBy("at", "ref").agg(F.max("starts").alias("starts"), F.max("whole").alias("whole")))
     losing = with_mark(rows, F.col("ref"), cut_lineage(marks(gone, F.col("ref"))), "_loses")

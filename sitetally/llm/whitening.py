@@ -114,6 +114,8 @@ def _collected(rows: DataFrame, d: int) -> np.ndarray:
 
 def components_of(covariance: np.ndarray, limit: int = COMPONENTS) -> tuple[np.ndarray, np.ndarray]:
     """The first eigenvalues, falling, and their unit eigenvectors as columns; each vector's largest entry is positive."""
+    if not covariance.size:
+        return np.zeros(0), covariance
     values, vectors = np.linalg.eigh(covariance)
     values, vectors = values[::-1][:limit], vectors[:, ::-1][:, :limit]
     signs = np.sign(vectors[np.abs(vectors).argmax(0), np.arange(vectors.shape[1])])
