@@ -6,16 +6,22 @@ pages count from 1 and ``seq`` is the drawing order.
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..fixed_values import (
     LEVEL_PATTERN, NOT_A_ROOM_NAME, NUMERIC_LABEL_PATTERN, PAGE_TYPE_OTHER, PAGE_TYPES, SURFACE_PATTERN, TITLE_SIZE,
 )
+from ..functions.patterns import pattern_heads
 from ..functions.text import norm_span, strip
+from ..session import cut_lineage, ship_package
 
 PAGE = ["job_id", "page"]
 NAME_REACH = 40.0
+#: Groups of texts over which entries without a required start are spread.
+SPREAD = 16
 
 
 def page_types(spans: DataFrame) -> DataFrame:
@@ -84,33 +90,56 @@ def room_pages(spans: DataFrame, rooms: DataFrame) -> DataFrame:
         F.when(F.col("n_rooms") >= 3, F.col("page")).otherwise(F.col("reference_page")).alias("rooms_page"))
 
 
+def _from_start(pattern: str | Column) -> Column:
+    return F.concat(F.lit("(?i)^(?:"), pattern, F.lit(")"))
+
+
+def catalog_candidates(texts: DataFrame, entries: DataFrame) -> DataFrame:
+    """Pairs of a text (page_type, text) and a text entry of its page type whose pattern may match at the start.
+
+    Entries are indexed by the letters their patterns require at the start. A text looks up its own first letters, one lookup
+    per length of head in use, so it meets the entries that can match and those whose patterns require nothing. The latter meet
+    every text; they are spread over SPREAD groups of texts.
+    """
+    ship_package(texts.sparkSession)
+    headed = cut_lineage(entries.select("pattern").distinct().withColumn("head", F.explode(pattern_heads("pattern"))))
+    indexed = entries.join(headed, "pattern")
+    lengths = indexed.groupBy("page_type").agg(F.collect_set(F.length("head")).alias("_lengths"))  # at most HEAD_LETTERS + 1 numbers
+    folded = F.translate("text", ascii_uppercase, ascii_lowercase)
+    probes = texts.join(lengths, "page_type").withColumn("_n", F.explode("_lengths")).where(F.col("_n") <= F.length("text")).select(
+        "page_type", "text", F.substring(folded, F.lit(1), F.col("_n")).alias("head"))
+    group = F.when(F.col("head") == "", F.pmod(F.hash("text"), F.lit(SPREAD))).otherwise(0)
+    groups = F.when(F.col("head") == "", F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0)))
+    return probes.withColumn("_group", group).join(indexed.withColumn("_group", F.explode(groups)), ["page_type", "head", "_group"]).drop("head", "_group")
+
+
 def catalog_match(spans: DataFrame, types: DataFrame, catalog: DataFrame) -> DataFrame:
     """First text entry of the page's type whose bounds hold and whose pattern matches at the start.
 
-    The catalogue of a page type travels as one array, so each span is looked at
-    once and nothing is regrouped.
+    Patterns are tried on distinct texts only, and only where the index lets them. The matching entries of a text travel
+    as one array back to its spans, which test their bounds.
     """
     def within(value: Column, low: Column, high: Column) -> Column:
         return (low.isNull() | (value >= low)) & (high.isNull() | (value <= high))
 
-    entries = catalog.where("kind = 'text'").groupBy("page_type").agg(F.array_sort(F.collect_list(F.struct(
-        "ord", "pattern", "article", "categorie", "min_font_size", "max_font_size", "min_x", "max_x", "min_y", "max_y",
-        F.map_entries("expands").alias("expands")))).alias("entries"))
+    limits = ["min_font_size", "max_font_size", "min_x", "max_x", "min_y", "max_y"]
+    entries = catalog.where("kind = 'text'").select(
+        "page_type", "ord", "pattern", "article", "categorie", *limits, F.map_entries("expands").alias("expands"))
+    typed = spans.join(types, PAGE)
+    texts = typed.join(entries.select("page_type").distinct(), "page_type", "left_semi").select("page_type", "text").distinct()
+    hits = catalog_candidates(texts, entries).where(F.rlike(F.col("text"), _from_start(F.col("pattern"))))
+    number = F.call_function("regexp_extract", F.col("text"), _from_start(F.col("pattern")), F.lit(1))
+    article = F.when(F.contains(F.col("article"), F.lit("{0}")), F.replace(F.col("article"), F.lit("{0}"), number)).otherwise(F.col("article"))
+    matching = hits.groupBy("page_type", "text").agg(F.array_sort(F.collect_list(F.struct(
+        "ord", "pattern", article.alias("article"), "categorie", *limits, "expands"))).alias("entries"))
 
     def fits(e: Column) -> Column:
-        return (
-            within(F.col("size"), e["min_font_size"], e["max_font_size"]) & within(F.col("x"), e["min_x"], e["max_x"])
-            & within(F.col("y"), e["min_y"], e["max_y"])
-            & F.rlike(F.col("text"), F.concat(F.lit("(?i)^(?:"), e["pattern"], F.lit(")")))
-        )
-
-    hit = F.get(F.filter("entries", fits), F.lit(0))
-    group = F.call_function("regexp_extract", F.col("text"), F.concat(F.lit("(?i)^(?:"), F.col("hit.pattern"), F.lit(")")), F.lit(1))
-    article = F.when(F.contains(F.col("hit.article"), F.lit("{0}")), F.replace(F.col("hit.article"), F.lit("{0}"), group)).otherwise(
-        F.col("hit.article"))
+        return (within(F.col("size"), e["min_font_size"], e["max_font_size"]) & within(F.col("x"), e["min_x"], e["max_x"])
+                & within(F.col("y"), e["min_y"], e["max_y"]))
+
     return (
-        spans.join(types, PAGE).join(entries, "page_type").withColumn("hit", hit).where("hit is not null")
-        .select("job_id", "page", "seq", "page_type", F.col("text").alias("label"), article.alias("article"),
+        typed.join(matching, ["page_type", "text"]).withColumn("hit", F.get(F.filter("entries", fits), F.lit(0))).where("hit is not null")
+        .select("job_id", "page", "seq", "page_type", F.col("text").alias("label"), F.col("hit.article").alias("article"),
                 F.col("hit.categorie").alias("categorie"), "x", "y", F.lit("texte").alias("source"), F.lit(1.0).alias("confidence"),
                 F.col("hit.expands").alias("expands"))
     )

@@ -15,11 +15,18 @@ from pyspark.sql import functions as F
 from ..fixed_values import LEGEND_MARGIN_PT, RENDER_ZOOM
 from ..functions.text import py_round
 from ..session import cut_lineage, ship_package
+from .components import components
 
 PAGE = ["job_id", "page"]
 ZONE_CELL = 128.0
 NEAR_CELL = 16.0
-TILE = 64
+# cells of a tile's side: for flooding, and for searches around a cell
+TILE = 128
+CELLS = 64
+# cells that a room names at a time
+WISHES = 8
+# spots of a cluster that one scan decides at most
+SCANNED = 20_000
 # stands for radius 0 where equal points are neighbours
 POINT = 1e-9
 
@@ -153,40 +160,86 @@ def anchor_companions(anchors: DataFrame, candidates: DataFrame, reach: float =
 
 # -- greedy removal of neighbours -------------------------------------------------------------
 
-def keep_strongest(points: DataFrame, keys: list[str], rank: Column, radius: Column, inclusive: bool) -> DataFrame:
-    """Rows a greedy scan keeps: by falling ``rank``, unless a kept row lies within the smaller radius.
+def _level() -> Column:
+    return F.floor(F.log2("_r")).cast("int")
+
+
+def _side(level: Column) -> Column:
+    """Cell side of a level of radii: two rows in one cell are always neighbours."""
+    return F.pow(F.lit(2.0), level) / math.sqrt(2)
+
+
+def _at(c: str | Column, level: Column) -> Column:
+    return F.floor((F.col(c) if isinstance(c, str) else c) / _side(level)).cast("bigint")
 
-    ``rank`` must differ between rows. Without a positive radius a row has no
-    neighbours, unless ``inclusive`` makes those of its very point count. The scan becomes rounds: a row that
-    outranks every undecided neighbour is kept and removes its neighbours.
-    Cells are so small that two rows in one cell are always neighbours, hence
-    only the best row of a cell can be kept in a round, and a round compares
-    each row with at most one row per nearby cell.
+
+def _clusters(todo: DataFrame, keys: list[str]) -> DataFrame:
+    """todo with ``_cluster``: rows that can decide about each other share one.
+
+    Rows of a cell are neighbours of each other. Cells are linked where the boxes around their rows come within reach, so a
+    cluster may hold more than one group of neighbours, never a part of one.
     """
-    whole = points.withColumns({"_rank": rank, "_r": F.coalesce(radius.cast("double"), F.lit(0.0))})
-    alone = F.lit(False) if inclusive else F.col("_r") <= 0
-    marked = whole.where(~alone).withColumn("_r", F.greatest("_r", F.lit(POINT)))
-    top = marked.groupBy(*keys, "x", "y", "_r").agg(F.max("_rank").alias("_rank"))
-    todo = top.withColumn("_level", F.floor(F.log2("_r")).cast("int"))
-    todo = cut_lineage(todo)
+    lowest = todo.agg(F.min("_level")).first()[0]
+    own = {"_ox": _at("x", F.col("_level")), "_oy": _at("y", F.col("_level"))}
+    placed = todo.withColumns(own).withColumn("_node", F.struct(*keys, "_level", "_ox", "_oy"))
+    grids = F.explode(F.sequence(F.lit(0 if lowest is None else lowest), F.col("_level")))
+    boxes = placed.withColumn("_g", grids).groupBy(*keys, "_node", "_level", "_g", _at("x", F.col("_g")).alias("_cx"), _at("y", F.col("_g")).alias("_cy")).agg(
+        F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.max("_r").alias("r"))
+    boxes = cut_lineage(boxes)
+    around = [F.explode(F.sequence(F.col(c) - 3, F.col(c) + 3)).alias(c) for c in ("_cx", "_cy")]
+    near = boxes.where("_g = _level").select(*keys, "_g", F.col("_node").alias("a"), F.struct("x0", "x1", "y0", "y1", "r").alias("p"), around[0], "_cy")
+    near = near.select(*keys, "_g", "a", "p", "_cx", around[1])
+    met = near.join(boxes.withColumnRenamed("_node", "b"), [*keys, "_g", "_cx", "_cy"])
+
+    def gap(c: str) -> Column:
+        return F.greatest(F.lit(0.0), F.col(f"{c}0") - F.col(f"p.{c}1"), F.col(f"p.{c}0") - F.col(f"{c}1"))
+
+    reach = F.least("r", "p.r") * (1 + 1e-9)
+    links = met.where((F.col("a") != F.col("b")) & (gap("x") * gap("x") + gap("y") * gap("y") <= reach * reach)).select("a", "b")
+    roots = components(links).withColumnRenamed("node", "_node")
+    return placed.join(roots, "_node", "left").withColumn("_cluster", F.coalesce("root", "_node")).drop("root", "_node", "_ox", "_oy")
+
+
+def _scan(inclusive: bool):
+    """The greedy scan of a cluster: rows by ``_order``, each against kept rows near it, in a grid per level of radii."""
+    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_order")
+        grids: dict[int, dict[tuple[int, int], list[tuple[float, float, float]]]] = {}
+        kept = []
+        for x, y, r, level in zip(pdf["x"].tolist(), pdf["y"].tolist(), pdf["_r"].tolist(), pdf["_level"].tolist()):
+            free = True
+            for other, cells in grids.items():
+                side = 2.0 ** (other + 1)
+                cx, cy = math.floor(x / side), math.floor(y / side)
+                for cell in ((cx + i, cy + j) for i in (-1, 0, 1) for j in (-1, 0, 1)):
+                    for px, py, pr in cells.get(cell, ()):
+                        d2, reach = (px - x) * (px - x) + (py - y) * (py - y), min(r, pr)
+                        if d2 < reach * reach or (inclusive and d2 == reach * reach):
+                            free = False
+            kept.append(free)
+            if free:
+                side = 2.0 ** (level + 1)
+                grids.setdefault(level, {}).setdefault((math.floor(x / side), math.floor(y / side)), []).append((x, y, r))
+        return pdf[kept][["_cluster", "_order"]]
+
+    return scan
+
+
+def _in_rounds(todo: DataFrame, keys: list[str], inclusive: bool) -> DataFrame:
+    """(keys, _rank) of the rows a scan keeps, for clusters of any size: a row that outranks every undecided neighbour is kept
+    and removes its neighbours. Only the best row of a cell can be kept in a round, so a round compares each row with at most
+    one row per nearby cell."""
     lowest = todo.agg(F.min("_level")).first()[0]
     kept_parts = []
     while lowest is not None:
-        def side(level: Column) -> Column:
-            return F.pow(F.lit(2.0), level) / math.sqrt(2)
-
-        def at(c: str, level: Column) -> Column:
-            return F.floor(F.col(c) / side(level)).cast("bigint")
-
         own = F.col("_level")
-        best = todo.groupBy(*keys, "_level", at("x", own).alias("_ox"), at("y", own).alias("_oy")).agg(
+        best = todo.groupBy(*keys, "_level", _at("x", own).alias("_ox"), _at("y", own).alias("_oy")).agg(
             F.max(F.struct("_rank", "x", "y", "_r")).alias("c"))
         grids = F.explode(F.sequence(F.lit(lowest), F.col("_level")))
-        near = best.withColumn("_g", grids).select(*keys, "_g", F.col("_level").alias("_clevel"), "c", F.explode(F.sequence(
-            F.floor(F.col("c.x") / side(F.col("_g"))).cast("bigint") - 3, F.floor(F.col("c.x") / side(F.col("_g"))).cast("bigint") + 3)).alias("_cx"))
-        near = near.withColumn("_cy", F.explode(F.sequence(
-            F.floor(F.col("c.y") / side(F.col("_g"))).cast("bigint") - 3, F.floor(F.col("c.y") / side(F.col("_g"))).cast("bigint") + 3)))
-        rows = todo.withColumn("_g", grids).withColumns({"_cx": at("x", F.col("_g")), "_cy": at("y", F.col("_g"))})
+        cx, cy = (_at(F.col(f"c.{c}"), F.col("_g")) for c in ("x", "y"))
+        near = best.withColumn("_g", grids).select(*keys, "_g", F.col("_level").alias("_clevel"), "c", F.explode(F.sequence(cx - 3, cx + 3)).alias("_cx"))
+        near = near.withColumn("_cy", F.explode(F.sequence(cy - 3, cy + 3)))
+        rows = todo.withColumn("_g", grids).withColumns({"_cx": _at("x", F.col("_g")), "_cy": _at("y", F.col("_g"))})
         reach = F.least("_r", F.col("c._r"))
         d2 = (F.col("x") - F.col("c.x")) * (F.col("x") - F.col("c.x")) + (F.col("y") - F.col("c.y")) * (F.col("y") - F.col("c.y"))
         pairs = cut_lineage(near.join(rows, [*keys, "_g", "_cx", "_cy"]).where(
@@ -200,13 +253,39 @@ def keep_strongest(points: DataFrame, keys: list[str], rank: Column, radius: Col
         todo = cut_lineage(todo.join(kept, [*keys, "_rank"], "left_anti").join(removed, [*keys, "_rank"], "left_anti"))
         if todo.isEmpty():
             break
-    free = whole.where(alone).drop("_rank", "_r")
-    if not kept_parts:
-        return free
-    survivors = kept_parts[0]
+    survivors = todo.select(*keys, "_rank").limit(0) if not kept_parts else kept_parts[0]
     for part in kept_parts[1:]:
         survivors = survivors.unionByName(part)
-    return free.unionByName(marked.join(survivors, [*keys, "_rank"], "left_semi").drop("_rank", "_r"))
+    return survivors
+
+
+def keep_strongest(points: DataFrame, keys: list[str], rank: Column, radius: Column, inclusive: bool, scanned: int = SCANNED) -> DataFrame:
+    """Rows a greedy scan keeps: by falling ``rank``, unless a kept row lies within the smaller radius.
+
+    ``rank`` must differ between rows. Without a positive radius a row has no neighbours, unless ``inclusive`` makes those of its
+    very point count. Clusters of rows that can decide about each other are found first. Each one of up to ``scanned`` spots is
+    scanned by itself; larger ones are decided in rounds.
+    """
+    ship_package(points.sparkSession)
+    whole = points.withColumns({"_rank": rank, "_r": F.coalesce(radius.cast("double"), F.lit(0.0))})
+    alone = F.lit(False) if inclusive else F.col("_r") <= 0
+    marked = whole.where(~alone).withColumn("_r", F.greatest("_r", F.lit(POINT)))
+    top = marked.groupBy(*keys, "x", "y", "_r").agg(F.max("_rank").alias("_rank"))
+    clustered = cut_lineage(_clusters(cut_lineage(top.withColumn("_level", _level())), keys))
+    sizes = clustered.groupBy("_cluster").agg(F.count(F.lit(1)).alias("_n"))
+    several = cut_lineage(clustered.join(sizes.where("_n > 1"), "_cluster"))
+    single = clustered.join(sizes.where("_n = 1"), "_cluster", "left_semi").select(*keys, "_rank")
+    ordered = several.where(F.col("_n") <= scanned).withColumn(
+        "_order", F.row_number().over(Window.partitionBy("_cluster").orderBy(F.desc("_rank"))))
+    kind = clustered.schema["_cluster"].dataType.simpleString()
+    chosen = ordered.select("_cluster", "_order", "x", "y", "_r", "_level").groupBy("_cluster").applyInPandas(
+        _scan(inclusive), f"_cluster {kind}, _order int")
+    survivors = single.unionByName(ordered.join(chosen, ["_cluster", "_order"], "left_semi").select(*keys, "_rank"))
+    crowded = several.where(F.col("_n") > scanned).drop("_cluster", "_n")
+    if not crowded.isEmpty():
+        survivors = survivors.unionByName(_in_rounds(cut_lineage(crowded), keys, inclusive))
+    kept = marked.join(survivors, [*keys, "_rank"], "left_semi").drop("_rank", "_r")
+    return whole.where(alone).drop("_rank", "_r").unionByName(kept)
 
 
 def remove_duplicate_symbols(symbols: DataFrame, quality: Column) -> DataFrame:
@@ -222,126 +301,222 @@ def suppress_overlaps(detections: DataFrame) -> DataFrame:
     return keep_strongest(detections, PAGE, rank, F.lit(0.7) * F.col("size"), inclusive=False)
 
 
+# -- tiles of cells ------------------------------------------------------------------------------
+
+def _packed_tiles(cells: DataFrame, side: int) -> DataFrame:
+    """(job_id, page, tx, ty, mask): the cells of each tile as bits of a side x side square, row by row."""
+    place = F.pmod("y", F.lit(side)) * side + F.pmod("x", F.lit(side))
+    return cells.select(*PAGE, _cell("x", side).alias("tx"), _cell("y", side).alias("ty"), place.cast("bigint").alias("place")).groupBy(
+        *PAGE, "tx", "ty").agg(F.bitmap_construct_agg("place").alias("mask"))
+
+
+def _unpacked(mask: bytes, side: int) -> np.ndarray:
+    bits = np.unpackbits(np.frombuffer(mask, np.uint8), bitorder="little")
+    return bits[: side * side].reshape(side, side).astype(bool)
+
+
+def _ring_order(radius: int) -> list[tuple[int, int]]:
+    """Offsets (dy, dx) less than radius away, ring by ring, row by row inside a ring."""
+    span = range(1 - radius, radius)
+    return sorted(((dy, dx) for dy in span for dx in span), key=lambda o: (max(map(abs, o)), *o))
+
+
+def _first_cells(asked: DataFrame, tiles: DataFrame, radius: int, count: int) -> DataFrame:
+    """For each row of asked (job_id, page, x, y, skip): the next ``count`` cells of the tiles around it in ring order, after ``skip`` of
+    them, as rows with ``rank`` (from skip + 1) and the cell (cx, cy).
+
+    A row meets the tiles that its search reaches, at most four, and looks at their bits; a cell it finds is the only other row made.
+    """
+    def search(points: pd.DataFrame, masks: pd.DataFrame) -> pd.DataFrame:
+        columns = {c: [] for c in ("job_id", "page", "x", "y", "skip", "rank", "cx", "cy")}
+        if len(points) and len(masks):
+            tx, ty = int(points["tx"].iloc[0]), int(points["ty"].iloc[0])
+            area = np.zeros((3 * CELLS, 3 * CELLS), bool)
+            for other_x, other_y, mask in zip(masks["ox"], masks["oy"], masks["mask"]):
+                j, i = (other_x - tx + 1) * CELLS, (other_y - ty + 1) * CELLS
+                area[i:i + CELLS, j:j + CELLS] = _unpacked(mask, CELLS)
+            xs, ys = points["x"].to_numpy(), points["y"].to_numpy()
+            px, py = xs - (tx - 1) * CELLS, ys - (ty - 1) * CELLS
+            skip, found = points["skip"].to_numpy(), np.zeros(len(points), np.int64)
+            open_ = np.arange(len(points))
+            for dy, dx in _ring_order(radius):
+                hit = open_[area[py[open_] + dy, px[open_] + dx]]
+                found[hit] += 1
+                told = hit[found[hit] > skip[hit]]
+                for c, v in (("x", xs), ("y", ys), ("skip", skip), ("rank", found), ("cx", xs + dx), ("cy", ys + dy)):
+                    columns[c].append(v[told])
+                if len(told):
+                    open_ = open_[found[open_] < skip[open_] + count]
+                    if not len(open_):
+                        break
+        out = pd.DataFrame({c: np.concatenate(v) if v else np.zeros(0, np.int64) for c, v in columns.items() if c not in PAGE})
+        return out.assign(**{c: points[c].iloc[0] if len(points) else 0 for c in PAGE})[list(columns)]
+
+    ship_package(asked.sparkSession)
+    if 2 * (radius - 1) > CELLS:
+        raise ValueError("a search reaches two tiles a side at most")
+    home = ["tx", "ty"]
+
+    def reached(c: str) -> Column:
+        return F.explode(F.array_distinct(F.array(*(F.floor((F.col(c) + d) / CELLS).cast("bigint") for d in (1 - radius, radius - 1)))))
+
+    placed = asked.withColumns({"tx": _cell("x", CELLS), "ty": _cell("y", CELLS)})
+    near = placed.select(*PAGE, *home, reached("x").alias("ox"), "y").select(*PAGE, *home, "ox", reached("y").alias("oy")).distinct()
+    masks = near.join(tiles.withColumnsRenamed({"tx": "ox", "ty": "oy"}), [*PAGE, "ox", "oy"])
+    masks = masks.toDF(*masks.columns)  # columns of its own beside those of placed
+    kinds = {c: placed.schema[c].dataType.simpleString() for c in PAGE}
+    return placed.groupBy(*PAGE, *home).cogroup(masks.groupBy(*PAGE, *home)).applyInPandas(
+        search, f"job_id {kinds['job_id']}, page {kinds['page']}, x bigint, y bigint, skip bigint, rank bigint, cx bigint, cy bigint")
+
+
 # -- flooding room labels over free cells ----------------------------------------------------------
 
 def place_seeds(rooms: DataFrame, cells: DataFrame, radius: int = 15) -> DataFrame:
     """Starting cell of each room: the nearest free cell no earlier room took.
 
-    Every room names its cells in ring order; a cell goes to the lowest ``idx``
-    asking; the others move on to their next cell until nobody has to.
+    Every room asks for its first free cell in ring order; a cell goes to the lowest ``idx`` asking; the others ask for their
+    next one until nobody has to. Rooms name their cells WISHES at a time, further ones only when all of those went to others.
     ``rooms(job_id, page, idx, x, y)`` in cells, ``cells(job_id, page, x, y)`` the free ones.
     """
-    offsets = F.explode(F.sequence(F.lit(1 - radius), F.lit(radius - 1)))
-    ring = F.greatest(F.abs("dx"), F.abs("dy"))
-    around = rooms.withColumn("dy", offsets).withColumn("dx", offsets).select(
-        *PAGE, "idx", (F.col("x") + F.col("dx")).alias("x"), (F.col("y") + F.col("dy")).alias("y"),
-        F.struct(ring.alias("ring"), "dy", "dx").alias("choice"))
-    wishes = cut_lineage(around.join(cells.select(*PAGE, "x", "y"), [*PAGE, "x", "y"]))
+    tiles = cut_lineage(_packed_tiles(cells.distinct(), CELLS))
+    room = [*PAGE, "idx"]
+    # rooms on one spot name the same cells, and each earlier one takes a cell that the later ones would have named before
+    same_spot = Window.partitionBy(*PAGE, "x", "y").orderBy("idx")
+    asking = rooms.select(*room, F.col("x").cast("bigint").alias("x"), F.col("y").cast("bigint").alias("y")).withColumn(
+        "skip", (F.row_number().over(same_spot) - 1).cast("bigint"))
+
+    def wishes_of(asked: DataFrame) -> DataFrame:
+        found = _first_cells(asked.select(*PAGE, "x", "y", "skip").distinct(), tiles, radius, WISHES)
+        return asked.join(found, [*PAGE, "x", "y", "skip"]).select(*room, "rank", "skip", F.col("cx").alias("x"), F.col("cy").alias("y"))
+
+    wishes = cut_lineage(wishes_of(asking))
     lost = None
     while True:
-        open_wishes = wishes if lost is None else wishes.join(lost, [*PAGE, "idx", "x", "y"], "left_anti")
-        asks = open_wishes.groupBy(*PAGE, "idx").agg(F.min(F.struct("choice", "x", "y")).alias("a")).select(
-            *PAGE, "idx", F.col("a.x").alias("x"), F.col("a.y").alias("y"))
+        open_wishes = wishes if lost is None else wishes.join(lost, [*room, "rank"], "left_anti")
+        asks = open_wishes.groupBy(*room).agg(F.min(F.struct("rank", "x", "y", "skip")).alias("a")).select(*room, "a.*")
         winners = asks.groupBy(*PAGE, "x", "y").agg(F.min("idx").alias("winner"))
-        refused = asks.join(winners, [*PAGE, "x", "y"]).where("idx <> winner").select(*PAGE, "idx", "x", "y")
-        refused = cut_lineage(refused)
+        refused = cut_lineage(asks.join(winners, [*PAGE, "x", "y"]).where("idx <> winner").select(*room, "rank", "skip"))
         if refused.isEmpty():
-            return asks
+            return asks.select(*room, "x", "y")
         lost = refused if lost is None else cut_lineage(lost.unionByName(refused))
+        # whose last named cell is gone names more; a room that has fewer than WISHES left has named all
+        spent = refused.where(F.col("rank") == F.col("skip") + WISHES).select(*room, F.col("rank").alias("skip"))
+        if not spent.isEmpty():
+            further = wishes_of(asking.drop("skip").join(spent, room))
+            wishes = cut_lineage(wishes.unionByName(further))
 
 
-def _relax_tile(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Spread (steps, idx) inside one tile until nothing changes.
+def _spread(free: np.ndarray, cells: np.ndarray, steps: np.ndarray, idx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Least (steps, idx) of every free cell of a square from cells (flat places) that have some, going up, down, left and right.
 
-    A tile has few labels: numbered in order, they fit beside the steps into one number that sorts the same way.
+    Wave by wave: each wave writes the cells it reaches first, so the work grows with the cells.
     """
-    far = np.iinfo(np.int64).max // 2
-    x0, y0 = int(pdf["x"].min()), int(pdf["y"].min())
-    xs, ys = (pdf["x"] - x0).to_numpy(), (pdf["y"] - y0).to_numpy()
-    known = pdf["idx"].notna().to_numpy()
-    labels, place = np.unique(pdf["idx"][known].astype(np.int64), return_inverse=True)
-    kinds = max(len(labels), 1)
-    start = np.full(len(pdf), far, dtype=np.int64)
-    start[known] = pdf["steps"][known].astype(np.int64).to_numpy() * kinds + place
-    value = np.full((int(ys.max()) + 3, int(xs.max()) + 3), far, dtype=np.int64)
-    free = np.zeros(value.shape, dtype=bool)
-    free[ys + 1, xs + 1] = True
-    value[ys + 1, xs + 1] = start
-    while True:
-        best = value.copy()
-        for moved in (value[:-2, 1:-1], value[2:, 1:-1], value[1:-1, :-2], value[1:-1, 2:]):
-            np.minimum(best[1:-1, 1:-1], moved + kinds, out=best[1:-1, 1:-1])
-        best = np.where(free & (best < far), best, far)
-        if np.array_equal(best, value):
-            break
-        value = best
-    found = value[ys + 1, xs + 1]
-    reached = found < far
-    idx = pd.array(labels[found[reached] % kinds] if len(labels) else [], dtype="Int64")
-    out = pdf.assign(steps=pd.array([pd.NA] * len(pdf), dtype="Int64"), idx=pd.array([pd.NA] * len(pdf), dtype="Int64"))
-    out.loc[reached, "steps"] = found[reached] // kinds
-    out.loc[reached, "idx"] = idx
-    return out
+    side = free.shape[1] + 2
+    open_ = np.zeros((free.shape[0] + 2, side), bool)
+    open_[1:-1, 1:-1] = free
+    open_ = open_.ravel()
+    none = np.iinfo(np.int64).max
+    at_step, label = np.full(len(open_), -1), np.full(len(open_), none)
+    order = np.argsort(steps, kind="stable")
+    cells, steps, idx = (cells // free.shape[1] + 1) * side + cells % free.shape[1] + 1, steps[order], idx[order]
+    cells = cells[order]
+    begins = np.flatnonzero(np.diff(steps, prepend=steps[0] - 1)) if len(steps) else np.zeros(0, np.int64)
+    groups = [(int(steps[b]), cells[b:e], idx[b:e]) for b, e in zip(begins, [*begins[1:], len(steps)])][::-1]
+    wave, now = np.zeros(0, np.int64), 0
+    while len(wave) or groups:
+        if not len(wave):
+            now = groups[-1][0]
+        reached, offered = wave, label[wave] if len(wave) else np.zeros(0, np.int64)
+        if len(wave):
+            reached = np.concatenate([wave - 1, wave + 1, wave - side, wave + side])
+            offered = np.tile(offered, 4)
+        if groups and groups[-1][0] == now:
+            _, more, labels = groups.pop()
+            reached, offered = np.append(reached, more), np.append(offered, labels)
+        new = open_[reached] & (at_step[reached] < 0)
+        reached, offered = reached[new], offered[new]
+        np.minimum.at(label, reached, offered)
+        wave = np.unique(reached)
+        at_step[wave] = now
+        now += 1
+    inside = np.s_[1:-1, 1:-1]
+    return at_step.reshape(-1, side)[inside], label.reshape(-1, side)[inside]
 
 
 def flood(cells: DataFrame, seeds: DataFrame) -> DataFrame:
     """Label of the room nearest on foot for every reachable free cell; the lowest ``idx`` wins a tie.
 
-    Tiles of bounded size are solved alone; then labels that improve a cell
-    across a tile edge start the next round, in the tiles they touch only.
-    Pages that nothing improves are set aside and not written again.
+    Cells are packed into tiles, a row each. Rounds carry only the cells along tile edges: a tile that a label enters on a
+    shorter way is solved from its seeds and edges, and offers its edges to its neighbours. The number of rounds is that of tiles on
+    the longest shortest way. The insides of tiles are made once, when no edge changes any more.
     """
     ship_package(cells.sparkSession)
-    tile = {"tx": F.floor(F.col("x") / TILE).cast("bigint"), "ty": F.floor(F.col("y") / TILE).cast("bigint")}
-    tiles = [*PAGE, "tx", "ty"]
-    start = seeds.groupBy(*PAGE, "x", "y").agg(F.min("idx").cast("bigint").alias("idx"))
-    state = cells.select(*PAGE, F.col("x").cast("bigint").alias("x"), F.col("y").cast("bigint").alias("y")).distinct().join(
-        start, [*PAGE, "x", "y"], "left").withColumns(tile).select(
-        *tiles, "x", "y", F.when(F.col("idx").isNotNull(), F.lit(0)).cast("bigint").alias("steps"), "idx")
-    schema = state.schema
-    touched = state.where("idx is not null").select(*tiles).distinct()
-    state, done = cut_lineage(state), []
+    tile, place = [*PAGE, "tx", "ty"], F.pmod("y", F.lit(TILE)) * TILE + F.pmod("x", F.lit(TILE))
+    kinds = {c: cells.schema[c].dataType.simpleString() for c in PAGE}
+    head = f"job_id {kinds['job_id']}, page {kinds['page']}, tx bigint, ty bigint"
+    start = seeds.select(*PAGE, _cell("x", TILE).alias("tx"), _cell("y", TILE).alias("ty"), place.cast("bigint").alias("place"),
+                         F.lit(0).cast("bigint").alias("steps"), F.col("idx").cast("bigint").alias("idx"))
+    # a blocked cell spreads nothing: tiles drop it
+    tiles = cut_lineage(_packed_tiles(cells.select(*PAGE, "x", "y").distinct(), TILE))
+
+    def solve(known: pd.DataFrame, masks: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        if not len(known) or not len(masks):
+            return None
+        free = _unpacked(masks["mask"].iloc[0], TILE)
+        best = known.sort_values(["place", "steps", "idx"]).drop_duplicates("place")
+        best = best[free.ravel()[best["place"].to_numpy()]]
+        return free, *_spread(free, *(best[c].to_numpy() for c in ("place", "steps", "idx")))
+
+    def edges(known: pd.DataFrame, masks: pd.DataFrame) -> pd.DataFrame:
+        """What the tile offers its neighbours: their cell beside each edge cell, one step on."""
+        columns = {c: [np.zeros(0, np.int64)] for c in ("tx", "ty", "place", "steps", "idx")}
+        solved = solve(known, masks)
+        if solved is not None:
+            _, steps, label = solved
+            tx, ty = (int(masks[c].iloc[0]) for c in ("tx", "ty"))
+            along = np.arange(TILE)
+            for dx, dy, own, there in ((-1, 0, np.s_[:, 0], along * TILE + TILE - 1), (1, 0, np.s_[:, -1], along * TILE),
+                                       (0, -1, np.s_[0, :], (TILE - 1) * TILE + along), (0, 1, np.s_[-1, :], along)):
+                reached = steps[own] >= 0
+                n = int(reached.sum())
+                for c, v in (("tx", np.full(n, tx + dx)), ("ty", np.full(n, ty + dy)), ("place", there[reached]), ("steps", steps[own][reached] + 1), ("idx", label[own][reached])):
+                    columns[c].append(v)
+        out = pd.DataFrame({c: np.concatenate(v) for c, v in columns.items()})
+        return out.assign(**{c: masks[c].iloc[0] if len(masks) else 0 for c in PAGE})[[*tile, "place", "steps", "idx"]]
+
+    def fill(known: pd.DataFrame, masks: pd.DataFrame) -> pd.DataFrame:
+        solved = solve(known, masks)
+        if solved is None:
+            return pd.DataFrame({c: [] for c in (*PAGE, "x", "y", "idx", "steps")})
+        _, steps, label = solved
+        y, x = np.nonzero(steps >= 0)
+        return pd.DataFrame({**{c: masks[c].iloc[0] for c in PAGE}, "x": x + int(masks["tx"].iloc[0]) * TILE, "y": y + int(masks["ty"].iloc[0]) * TILE,
+                             "idx": label[y, x], "steps": steps[y, x]})
+
+    known = cut_lineage(start.groupBy(*tile, "place").agg(F.min(F.struct("steps", "idx")).alias("best")))
+    touched = known.select(*tile).distinct()
     while True:
-        active = state.join(touched, tiles, "left_semi").groupBy(*tiles).applyInPandas(_relax_tile, schema)
-        state = cut_lineage(state.join(touched, tiles, "left_anti").unionByName(active))
-        edge = state.where("idx is not null").where(
-            F.expr(f"x % {TILE} in (0, {TILE - 1}) or y % {TILE} in (0, {TILE - 1})"))
-        new = F.struct((F.col("steps") + 1).alias("steps"), "idx").alias("new")
-        moves = edge.select(*PAGE, F.col("tx").alias("_tx"), F.col("ty").alias("_ty"), new, F.explode(F.array(*[
-            F.struct((F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y")) for dx, dy in ((1, 0), (-1, 0), (0, 1), (0, -1))
-        ])).alias("to")).select(*PAGE, "_tx", "_ty", "new", "to.x", "to.y").withColumns(tile).where("tx <> _tx or ty <> _ty")
-        offers = moves.groupBy(*PAGE, "x", "y").agg(F.min("new").alias("new"))
-        improves = F.col("idx").isNull() | (F.col("new") < F.struct("steps", "idx"))
-        better = cut_lineage(state.join(offers, [*PAGE, "x", "y"]).where(improves).select(*tiles, "x", "y", "new"))
-        open_pages = better.select(*PAGE).distinct()
-        done.append(state.join(open_pages, PAGE, "left_anti"))
+        sources = known.join(touched, tile, "left_semi").select(*tile, "place", "best.steps", "best.idx")
+        offers = sources.groupBy(*tile).cogroup(tiles.join(touched, tile, "left_semi").groupBy(*tile)).applyInPandas(
+            edges, f"{head}, place bigint, steps bigint, idx bigint")
+        offered = offers.join(tiles.select(*tile), tile, "left_semi").groupBy(*tile, "place").agg(F.min(F.struct("steps", "idx")).alias("offer"))
+        better = cut_lineage(offered.join(known, [*tile, "place"], "left").where("best is null or offer < best").select(*tile, "place", F.col("offer").alias("best")))
         if better.isEmpty():
             break
-        state = state.join(open_pages, PAGE, "left_semi").join(better, [*tiles, "x", "y"], "left").select(
-            *tiles, "x", "y", F.coalesce("new.steps", "steps").alias("steps"), F.coalesce("new.idx", "idx").alias("idx"))
-        touched = better.select(*tiles).distinct()
-    whole = done[0]
-    for part in done[1:]:
-        whole = whole.unionByName(part)
-    return whole.where("idx is not null").select(*PAGE, "x", "y", "idx", "steps")
+        known = cut_lineage(known.join(better, [*tile, "place"], "left_anti").unionByName(better))
+        touched = better.select(*tile).distinct()
+    sources = known.select(*tile, "place", "best.steps", "best.idx")
+    return sources.groupBy(*tile).cogroup(tiles.groupBy(*tile)).applyInPandas(
+        fill, f"job_id {kinds['job_id']}, page {kinds['page']}, x bigint, y bigint, idx bigint, steps bigint")
 
 
 def ring_lookup(points: DataFrame, labelled: DataFrame, radius: int = 12) -> DataFrame:
     """Label of the first labelled cell around a cell, ring by ring, row by row inside a ring.
 
-    Distinct cells only; the wide rings are searched for cells the narrow ones leave open.
+    Distinct cells only. A cell finds its labelled cell in the bits of the tiles around it, then looks its label up.
     ``points(job_id, page, x, y)`` and ``labelled(job_id, page, x, y, idx)`` in cells.
     """
-    def search(cells: DataFrame, first: int, last: int) -> DataFrame:
-        offsets = F.explode(F.sequence(F.lit(-last), F.lit(last)))
-        ring = F.greatest(F.abs("dx"), F.abs("dy"))
-        asked = cells.withColumn("dy", offsets).withColumn("dx", offsets).where(ring >= first).select(
-            *PAGE, F.col("x").alias("px"), F.col("y").alias("py"), (F.col("x") + F.col("dx")).alias("x"),
-            (F.col("y") + F.col("dy")).alias("y"), F.struct(ring.alias("ring"), "dy", "dx").alias("choice"))
-        return asked.join(labelled.select(*PAGE, "x", "y", "idx"), [*PAGE, "x", "y"]).groupBy(*PAGE, "px", "py").agg(
-            F.min_by("idx", "choice").alias("idx")).select(*PAGE, F.col("px").alias("x"), F.col("py").alias("y"), "idx")
-
-    spots = points.select(*PAGE, "x", "y").distinct()
-    near = search(spots, 0, 2)
-    far = search(spots.join(near, [*PAGE, "x", "y"], "left_anti"), 3, radius - 1)
-    return near.unionByName(far)
+    spots = points.select(*PAGE, F.col("x").cast("bigint").alias("x"), F.col("y").cast("bigint").alias("y")).distinct().withColumn("skip", F.lit(0).cast("bigint"))
+    found = _first_cells(spots, _packed_tiles(labelled.select(*PAGE, "x", "y").distinct(), CELLS), radius, 1)
+    at = labelled.select(*PAGE, F.col("x").alias("cx"), F.col("y").alias("cy"), "idx")
+    return found.join(at, [*PAGE, "cx", "cy"]).select(*PAGE, "x", "y", "idx")

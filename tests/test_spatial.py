@@ -111,3 +111,69 @@ def test_polygons_count_crossings(spark):
     points = spark.createDataFrame([(1, 1, 5.0, 8.0), (1, 1, 1.0, 8.0), (1, 1, 5.0, 4.0), (1, 1, 11.0, 1.0)], "job_id int, page int, x double, y double")
     got = {(r.x, r.y) for r in spatial.zone_assign(points, zones).collect()}
     assert got == {(1.0, 8.0), (5.0, 4.0)}
+
+
+def _greedy(points, inclusive):
+    """points: (rank, x, y, r), all of one page; ranks kept by the plain scan."""
+    kept = []
+    for rank, x, y, r in sorted(points, reverse=True):
+        near = lambda k: (k[1] - x) ** 2 + (k[2] - y) ** 2
+        if not any(near(k) < min(r, k[3]) ** 2 or (inclusive and near(k) == min(r, k[3]) ** 2) for k in kept):
+            kept.append((rank, x, y, r))
+    return {k[0] for k in kept}
+
+
+def test_a_long_run_takes_no_rounds_and_large_clusters_equal_the_scan(spark, monkeypatch):
+    schema = "k int, rank int, x double, y double, r double"
+    run = [(1, 5000 - i, i * 3.0, 0.0, 4.0) for i in range(5000)]  # each one is outranked by the one before it
+    rng = random.Random(8)
+    mixed = [(2, i, rng.uniform(-60, 60), rng.uniform(-60, 60), rng.choice([0.3, 1.0, 5.0, 17.0, 64.0])) for i in range(700)]
+    df = spark.createDataFrame(run + mixed, schema)
+    rounds = []
+    plain = spatial._in_rounds
+    monkeypatch.setattr(spatial, "_in_rounds", lambda *a: (rounds.append(1), plain(*a))[1])
+    for inclusive, scanned in ((True, 20_000), (False, 20_000), (False, 50)):
+        got = {(r.k, r["rank"]) for r in spatial.keep_strongest(df if scanned > 50 else df.where("k = 2"), ["k"], F.col("rank"), F.col("r"), inclusive, scanned).collect()}
+        want = {(2, x) for x in _greedy([p[1:] for p in mixed], inclusive)} | ({(1, x) for x in range(5000, 0, -2)} if scanned > 50 else set())
+        assert got == want and len(rounds) == (scanned == 50)
+
+
+def test_flood_of_a_labyrinth_with_few_rounds_a_tile(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "TILE", 16)
+    side = 48  # one long way, winding through all tiles
+    free = {(x, y) for y in range(side) for x in range(side) if y % 2 == 0 or x == (side - 1 if y % 4 == 1 else 0)}
+    rng = random.Random(2)
+    loose = {(x, y) for x in range(100, 100 + side) for y in range(-20, 20) if rng.random() < 0.6}
+    seeds = {7: (0, 0), 3: (side - 1, 24), 5: (101, -20), 9: (130, 3), 4: (131, 3)}
+    loose |= set(seeds.values()) - free
+    want = {}
+    for idx, seed in seeds.items():
+        for cell, n in _waves(free | loose, seed).items():
+            want[cell] = min(want.get(cell, (1 << 60, 0)), (n, idx))
+    cells = spark.createDataFrame([(1, 1, x, y) for x, y in free | loose], "job_id bigint, page int, x bigint, y bigint")
+    starts = spark.createDataFrame([(1, 1, i, x, y) for i, (x, y) in seeds.items()], "job_id bigint, page int, idx bigint, x bigint, y bigint")
+    assert {(r.x, r.y): (r.steps, r.idx) for r in spatial.flood(cells, starts).collect()} == want
+
+
+def test_seeds_and_ring_lookup_equal_the_definition(spark):
+    """Crowded rooms go through all their cells, negative cells and tile edges included."""
+    rng = random.Random(6)
+    free = {(x, y) for x in range(-70, 70) for y in range(-12, 12) if rng.random() < 0.02}
+    rooms = [(i, *rng.choice([(-64, 0), (-1, -2), (0, 0), (3, 1), (63, 2)])) for i in range(80)]
+    order = spatial._ring_order(15)
+    assert order[:4] == [(0, 0), (-1, -1), (-1, 0), (-1, 1)] and len(order) == 29 * 29
+    taken, want = set(), {}
+    for idx, x, y in rooms:
+        cell = next(((x + dx, y + dy) for dy, dx in order if (x + dx, y + dy) in free - taken), None)
+        if cell:
+            want[idx] = cell
+            taken.add(cell)
+    cells = spark.createDataFrame([(1, 1, x, y) for x, y in free], "job_id bigint, page int, x bigint, y bigint")
+    asked = spark.createDataFrame([(1, 1, *r) for r in rooms] + [(2, 1, 0, 0, 0)], "job_id bigint, page int, idx bigint, x bigint, y bigint")
+    assert {r.idx: (r.x, r.y) for r in spatial.place_seeds(asked, cells).collect()} == want and len(want) < 80
+    labels = {c: i for i, c in enumerate(sorted(free))}
+    labelled = spark.createDataFrame([(1, 1, x, y, i) for (x, y), i in labels.items()], "job_id bigint, page int, x bigint, y bigint, idx int")
+    spots = [(rng.randrange(-90, 90), rng.randrange(-30, 30)) for _ in range(300)]
+    found = {(r.x, r.y): r.idx for r in spatial.ring_lookup(spark.createDataFrame([(1, 1, *s) for s in spots], "job_id bigint, page int, x bigint, y bigint"), labelled).collect()}
+    expected = {s: next((labels[s[0] + dx, s[1] + dy] for dy, dx in spatial._ring_order(12) if (s[0] + dx, s[1] + dy) in labels), None) for s in spots}
+    assert found == {s: i for s, i in expected.items() if i is not None}
