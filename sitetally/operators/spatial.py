@@ -5,7 +5,9 @@ Joins go over grid cells; no step compares all points of a page with each other.
 
 from __future__ import annotations
 
+import heapq
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -18,7 +20,9 @@ from ..session import cut_lineage, ship_package
 from .components import components
 
 PAGE = ["job_id", "page"]
-ZONE_CELL = 128.0
+# edges that cross one cell of a zone's cover, and the least side of a cell (a power of two)
+EDGES = 16
+FINEST = -6
 NEAR_CELL = 16.0
 # cells of a tile's side: for flooding, and for searches around a cell
 TILE = 128
@@ -105,26 +109,98 @@ def in_polygon(x: Column, y: Column, points: Column) -> Column:
     return F.aggregate(crossings, F.lit(0), lambda n, c: n + c) % 2 == 1
 
 
+def _cover_cell(level: int, cx: int, cy: int, p: np.ndarray, q: np.ndarray, edges: np.ndarray) -> tuple[bool, list[float], np.ndarray, np.ndarray]:
+    """What decides inside one cell of side 2**level: whether a ray from it to the right crosses an odd number of the edges that count
+    for every point of the cell; heights, each of which counts for the points below it; the edges to be tested; the edges
+    that matter to parts of the cell. Edge i leads from point i - 1 to point i; ``edges`` are those that may matter.
+
+    Edges wholly right of the cell count by their ends alone. An end that two of them share counts twice, hence not at all, so
+    in the cell's range of y just the ends beside tested edges are left.
+    """
+    side = 2.0 ** level
+    x0, y0, x1, y1 = cx * side, cy * side, (cx + 1) * side, (cy + 1) * side
+    margin = 1e-9 * max(1.0, abs(x0), abs(x1))
+    a, b = p[edges], q[edges]
+    near = (np.maximum(a[:, 1], b[:, 1]) >= y0) & (np.minimum(a[:, 1], b[:, 1]) <= y1) & (np.maximum(a[:, 0], b[:, 0]) >= x0 - margin)
+    edges, right = edges[near], np.minimum(a[near, 0], b[near, 0]) > x1 + margin
+    ends, times = np.unique(np.concatenate([edges[right], (edges[right] - 1) % len(p)]), return_counts=True)
+    heights = p[ends[times % 2 == 1], 1]
+    return bool((heights >= y1).sum() % 2), heights[(heights > y0) & (heights < y1)].tolist(), edges[~right], edges
+
+
+def _covers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Cells of a quadtree that hold a part of each zone. Cells that most edges cross are split first, as long as there are about
+    as few cells as edges."""
+    for pdf in batches:
+        out = []
+        for row in pdf.itertuples(index=False):
+            p = np.array([row.xs, row.ys], float).T.reshape(-1, 2)
+            if not len(p) or not np.isfinite(p).all():
+                continue
+            q, whole = np.roll(p, 1, axis=0), np.arange(len(p))
+            level = max(FINEST, math.ceil(math.log2(max(float(np.ptp(p[:, 0])), float(np.ptp(p[:, 1])), 2.0 ** FINEST))))
+            low, high = np.floor(p.min(0) / 2.0 ** level).astype(int), np.floor(p.max(0) / 2.0 ** level).astype(int)
+            heap = []
+
+            def add(level: int, cx: int, cy: int, edges: np.ndarray) -> None:
+                odd, heights, tested, inner = _cover_cell(level, cx, cy, p, q, edges)
+                if odd or len(tested) or heights:
+                    heapq.heappush(heap, (-len(tested), level, cx, cy, odd, heights, tested, inner))
+
+            for cx in range(low[0], high[0] + 1):
+                for cy in range(low[1], high[1] + 1):
+                    add(level, cx, cy, whole)
+            final, budget = [], 2 * len(p) + 64
+            while heap and -heap[0][0] > EDGES and len(heap) + len(final) < budget:
+                _, level, cx, cy, *cell = heapq.heappop(heap)
+                if level == FINEST:
+                    final.append((level, cx, cy, *cell))
+                    continue
+                for i in (0, 1):
+                    for j in (0, 1):
+                        add(level - 1, 2 * cx + i, 2 * cy + j, cell[-1])
+            for level, cx, cy, odd, heights, tested, _ in final + [c[1:] for c in heap]:
+                out.append((*row[:9], level, cx, cy, odd, heights, np.hstack([p[tested], q[tested]]).tolist()))
+        yield pd.DataFrame(out, columns=[*pdf.columns[:9], "level", "cx", "cy", "odd", "heights", "edges"])
+
+
+def _part(name: str):
+    return lambda point: point[name].cast("double")
+
+
+def zone_cover(zones: DataFrame) -> DataFrame:
+    """(job_id, page, zy, zx, zid, name, bx, by, ...) to cells: level, cx, cy and what decides inside each of them."""
+    ship_package(zones.sparkSession)
+    box = bounds(F.col("points"))
+    flat = zones.select(
+        *PAGE, F.col("y").alias("zy"), F.col("x").alias("zx"), F.col("id").alias("zid"), "name", box["x"].alias("bx"), box["y"].alias("by"),
+        F.array(box["x"] + box["w"], box["y"] + box["h"]).alias("far"),
+        *(F.transform("points", _part(c)).alias(f"{c}s") for c in ("x", "y"))).where("size(xs) > 0")
+    head = ", ".join(f"{c} {flat.schema[c].dataType.simpleString()}" for c in flat.columns[:9])
+    return flat.mapInPandas(_covers, f"{head}, level int, cx bigint, cy bigint, odd boolean, heights array<double>, edges array<array<double>>")
+
+
 def zone_assign(points: DataFrame, zones: DataFrame, locked_only: bool = True) -> DataFrame:
     """Name of the first zone, in (y, x) order of its page, around each distinct point.
 
-    ``zones(job_id, page, id, name, x, y, points, locked)``. Points outside all zones are absent.
+    ``zones(job_id, page, id, name, x, y, points, locked)``. Points outside all zones are absent. A zone is covered by cells of a
+    quadtree; a point meets the cells around it, one a level, and tests the few edges that cross them (as ``in_polygon`` does all).
     """
-    used = zones.where("locked") if locked_only else zones
-    box = bounds(F.col("points"))
-    cover = used.select(
-        *PAGE, F.struct("y", "x", "id").alias("zone_order"), "name", "points",
-        *[v.alias(f"b{k}") for k, v in box.items()],
-    ).withColumn("cx", F.explode(F.sequence(_cell("bx", ZONE_CELL), F.floor((F.col("bx") + F.col("bw")) / ZONE_CELL)))).withColumn(
-        "cy", F.explode(F.sequence(_cell("by", ZONE_CELL), F.floor((F.col("by") + F.col("bh")) / ZONE_CELL))))
-    spots = points.select(*PAGE, F.col("x").alias("px"), F.col("y").alias("py")).distinct().withColumns(
-        {"cx": _cell("px", ZONE_CELL), "cy": _cell("py", ZONE_CELL)})
+    cover = cut_lineage(zone_cover(zones.where("locked") if locked_only else zones))
+    levels = F.array(*(F.lit(r["level"]) for r in cover.select("level").distinct().collect())).cast("array<int>")  # powers of two: a few dozen at most
+    spots = points.select(*PAGE, F.col("x").alias("px"), F.col("y").alias("py")).distinct().withColumn("level", F.explode(levels))
+    spots = spots.withColumns({c: F.floor(F.col(p) / F.pow(F.lit(2.0), "level")).cast("bigint") for c, p in (("cx", "px"), ("cy", "py"))})
+    x, y = F.col("px"), F.col("py")
+
+    def crossed(e: Column) -> Column:
+        return ((e[1] > y) != (e[3] > y)) & (x < (e[2] - e[0]) * (y - e[1]) / F.when(e[3] == e[1], F.lit(1e-9)).otherwise(e[3] - e[1]) + e[0])
+
+    passed = F.size(F.filter("edges", crossed)) + F.size(F.filter("heights", lambda h: h > y)) + F.col("odd").cast("int")
     inside = (
-        spots.join(cover, [*PAGE, "cx", "cy"])
-        .where(F.col("px").between(F.col("bx"), F.col("bx") + F.col("bw")) & F.col("py").between(F.col("by"), F.col("by") + F.col("bh")))
-        .where(in_polygon(F.col("px"), F.col("py"), F.col("points")))
+        spots.join(cover, [*PAGE, "level", "cx", "cy"])
+        .where(x.between(F.col("bx"), F.col("far")[0]) & y.between(F.col("by"), F.col("far")[1]) & (passed % 2 == 1))
     )
-    return inside.groupBy(*PAGE, "px", "py").agg(F.min_by("name", "zone_order").alias("zone")).select(
+    return inside.groupBy(*PAGE, "px", "py").agg(F.min_by("name", F.struct("zy", "zx", "zid")).alias("zone")).select(
         *PAGE, F.col("px").alias("x"), F.col("py").alias("y"), F.coalesce("zone", F.lit("")).alias("zone"))
 
 

@@ -177,3 +177,30 @@ def test_seeds_and_ring_lookup_equal_the_definition(spark):
     found = {(r.x, r.y): r.idx for r in spatial.ring_lookup(spark.createDataFrame([(1, 1, *s) for s in spots], "job_id bigint, page int, x bigint, y bigint"), labelled).collect()}
     expected = {s: next((labels[s[0] + dx, s[1] + dy] for dy, dx in spatial._ring_order(12) if (s[0] + dx, s[1] + dy) in labels), None) for s in spots}
     assert found == {s: i for s, i in expected.items() if i is not None}
+
+
+def _inside(x, y, shape):
+    odd = False
+    for (px, py), (qx, qy) in zip(shape, [shape[-1], *shape[:-1]]):
+        if (py > y) != (qy > y) and x < (qx - px) * (y - py) / ((qy - py) or 1e-9) + px:
+            odd = not odd
+    return odd
+
+
+def test_zones_with_many_edges_equal_the_plain_test_with_few_edges_a_point(spark):
+    import math
+    rng = random.Random(12)
+    turns = [2 * math.pi * i / 10_000 for i in range(10_000)]
+    wide = [(4000 * math.cos(a) * (1 + 0.05 * math.sin(90 * a)) + 5000, 300 * math.sin(a) * (1 + 0.2 * math.sin(63 * a)) + 400) for a in turns]
+    comb = [(0.0, 0.0), *(p for i in range(60) for p in ((i * 5.0, 90.0 - i), (i * 5.0 + 2, 3.0))), (310.0, 0.0)]
+    star = [(50 + 40 * math.cos(2.4 * i), 50 + 40 * math.sin(2.4 * i)) for i in range(25)]
+    shapes = {"wide": (1, wide), "comb": (2, comb), "star": (3, star), "flat": (3, [(0.0, 5.0), (9.0, 5.0)]), "none": (3, [])}
+    zones = spark.createDataFrame([(j, 1, n, n, 0.0, 0.0, s, True) for n, (j, s) in shapes.items()],
+                                  "job_id int, page int, id string, name string, x double, y double, points array<struct<x:double,y:double>>, locked boolean")
+    spots = [(1, rng.uniform(800, 9200), rng.uniform(0, 800)) for _ in range(300)] + [(2, rng.uniform(-5, 315), rng.choice([0.0, 3.0, 45.0, rng.uniform(0, 90)])) for _ in range(300)]
+    spots += [(3, float(rng.randrange(0, 100)), float(rng.randrange(0, 100))) for _ in range(300)] + [(1, *p) for p in wide[::500]] + [(2, *p) for p in comb[::9]]
+    got = {(r.job_id, r.x, r.y): r.zone for r in spatial.zone_assign(spark.createDataFrame([(j, 1, x, y) for j, x, y in spots], "job_id int, page int, x double, y double"), zones).collect()}
+    want = {(j, x, y): n for j, x, y in spots for n, (k, s) in shapes.items() if j == k and s and _inside(x, y, s)}
+    assert got == want and 300 < len(want) < 850
+    cover = spatial.zone_cover(zones).agg(F.max(F.size("edges")), F.max(F.size("heights")), F.count("*")).first()
+    assert cover[0] <= 40 and cover[1] <= 80 and cover[2] < 12_000
