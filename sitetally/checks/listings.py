@@ -6,8 +6,10 @@ from ..operators import options, reconcile
 from ..operators.document import option_search as search_options
 from ..operators.document import scope_choices as list_scope_choices
 from ..operators.overlay import safe_rooms
-from ..session import cut_lineage
+from ..operators.search import OptionIndex
+from ..session import cut_lineage, shared_folder
 from ..sources import sheets
+from ..sources.job_store import JobStore
 from .registry import broken, norm, query, room, scope, scope_label
 
 
@@ -274,6 +276,30 @@ def option_search(d):
     return search_options(rows, " SALLÉ ", suggested="NATION_3 Salle 3 n 3 Europe")
 
 
+_SEARCHED = (" SALLÉ ", "n 3", "e", "nation 1 salle")
+
+
+@query("option_index", f"""with o as (select job_id, room_id as value, arg_min(room_label, first_seen) as label, min(first_seen) as ord from {{b_ident}} group by 1, 2)
+       select q, job_id, value, label from o, (values {', '.join(f"('{q}')" for q in _SEARCHED)}) as t(q) where contains({norm('label')}, {norm('q')})""")
+def option_index(d):
+    rows = options.rooms(options.identities(_listing(d))).select("job_id", F.col("first_seen.row_idx").alias("ord"), F.col("room_id").alias("value"), F.col("room_label").alias("label"))
+    index = OptionIndex.build(rows, shared_folder(d.spark, "option-index"))
+    found = [index.search(q).select(F.lit(q).alias("q"), "job_id", "value", "label") for q in _SEARCHED]
+    return found[0].union(found[1]).union(found[2]).union(found[3])
+
+
+# stored, then jobs with broken references stored again without them, then those of one level deleted
+@query("job_store", """select job_id, row_idx, materiel, quantite from {b_listing} where niveau <> 'ASIA' and materiel <> '#REF!'""")
+def job_store(d):
+    listing = d.b_listing.select("job_id", "niveau", "row_idx", "materiel", "quantite")
+    store = JobStore(d.spark, shared_folder(d.spark, "job-store"))
+    store.write(listing, ("row_idx",))
+    broken_jobs = listing.where("materiel = '#REF!'").select("job_id").distinct()
+    store.write(listing.join(broken_jobs, "job_id", "left_semi").where("materiel <> '#REF!'"), ("row_idx",), replaced=broken_jobs)
+    store.delete(listing.where("niveau = 'ASIA'").select("job_id"))
+    return store.read().select("job_id", "row_idx", "materiel", "quantite")
+
+
 @query("scope_choices", f"""with r as (select job_id, scope_id, count(distinct room_id) as n_rooms from {{b_ident}} group by 1, 2),
        o as (select job_id, scope_id, count(distinct materiel) as own from {{b_lst}} where {_valid()} and niveau < 'B' group by 1, 2),
        c as (select job_id, scope_id, count(distinct materiel) as cmp from {{b_lst}} where materiel <> '' and categorie = 'ECONOMY' group by 1, 2)

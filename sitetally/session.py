@@ -18,11 +18,16 @@ def use_checkpoint_dir(spark: SparkSession) -> None:
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{warehouse}/sitetally-checkpoints")
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path on the storage that all machines share."""
+    use_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write a table into the shared checkpoint folder and read it back: a cut that also serves as a columnar copy."""
     spark = df.sparkSession
-    use_checkpoint_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    path = shared_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -100,3 +100,41 @@ def test_level_is_the_first_text_above_the_header(spark):
     frame = spark.createDataFrame(rows, "job_id int, sheet_idx int, sheet string, row_idx bigint, cells array<string>")
     found = sheet_headers(frame).first()
     assert (found.header_row, found.sheet_level) == (11, "R+3")
+
+
+def test_a_job_store_touches_the_files_of_a_job_only(spark, tmp_path, monkeypatch):
+    from sitetally.sources import job_store
+
+    monkeypatch.setattr(job_store, "FILE_ROWS", 2000)
+    store = job_store.JobStore(spark, str(tmp_path / "store"))
+    assert store.read() is None and store.read_job(1) is None
+    jobs = spark.range(20_000).select(F.when(F.col("id") < 9000, 7).otherwise(F.col("id") % 5000).alias("job_id"), "id", F.lit("a").alias("v"))
+    store.write(jobs, ("id",))
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "store/data").rglob("*.parquet")}
+    assert len(before) == 10 and sorted(r["id"] for r in store.read_job(7).collect()) == [*range(9000), 10007, 15007]
+    assert len(store.read_job(4321).inputFiles()) <= 2 and len(store.read_job(7).inputFiles()) < 7
+    again = spark.createDataFrame([(7, 1, "b"), (4321, 2, "b")], "job_id int, id long, v string")
+    store.write(again.select(F.col("job_id"), "id", "v"), replaced=spark.createDataFrame([(7,), (12,)], "job_id int"))
+    store.delete(spark.createDataFrame([(13,)], "job_id int"))
+    assert {p: p.stat().st_mtime_ns for p in before} == before
+    assert rows_of(store.read_job(7), "id", "v") == [(1, "b")] and rows_of(store.read_job(4321), "id", "v") == [(2, "b")]
+    assert store.read_job(12).count() == store.read_job(13).count() == store.read_job(99_999).count() == 0
+    want = sorted([(r["job_id"], r["id"], "a") for r in jobs.collect() if r["job_id"] not in (7, 12, 13, 4321)] + [(7, 1, "b"), (4321, 2, "b")])
+    assert rows_of(store.read(), "job_id", "id", "v") == want
+    fresh = store.compact()
+    assert rows_of(fresh.read(), "job_id", "id", "v") == want and rows_of(fresh.read_job(7), "v") == [("b",)]
+
+
+def test_posting_lists_find_what_a_scan_finds(spark, tmp_path):
+    from sitetally.functions.text import norm_token
+    from sitetally.operators.search import OptionIndex
+
+    labels = ["Salle 1", "SALLÉ 12", "salle à manger", "Grande  salle", "lassé", "s a l l e", "", None, "ab", "a", "aaaa", "12-3"]
+    rows = [(j, i, "" if i == 4 and j == 1 else f"v{i}", label) for j in (1, 2) for i, label in enumerate(labels)] + [(1, 99, "v0", "later label of v0")]
+    options = spark.createDataFrame(rows, "job_id int, ord int, value string, label string")
+    index = OptionIndex.build(options, str(tmp_path / "index"))
+    plain = {(r.job_id, r.value): r.plain for r in index.options().select("job_id", "value", norm_token("label").alias("plain")).collect()}
+    assert len(plain) == 23
+    for query in ("salle", " SALLÉ ", "a", "ll", "12", "2 3", "salle 1", "aaa", "zzz", "", "é", "salle salle"):
+        wanted = spark.range(1).select(norm_token(F.lit(query.strip())).alias("q")).first()["q"]
+        assert rows_of(index.search(query), "job_id", "value") == sorted(k for k, v in plain.items() if wanted == "" or wanted in (v or ""))
