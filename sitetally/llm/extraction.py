@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,6 +24,8 @@ from .common import prepare
 
 #: Share of linked characters from which on a block is bad, and share of stop words that a good block has.
 LINK_DENSITY, STOP_DENSITY = 0.5, 0.2
+#: Share of link characters that a long block may have to stand without stop words.
+FEW_LINKS = 0.2
 #: Characters of a block long enough to be decided.
 LONG = 70
 
@@ -91,15 +94,22 @@ def _named_chrome(value: str) -> bool:
     return False
 
 
-def _stops(markup: str) -> int:
-    return sum(w in STOP_WORDS for w in _LETTERS.findall(_TOKEN.sub(" ", markup).lower()))
+class _Outline:
+    """Where a page has stop words, ends of forms, and article or main elements; each is looked for once."""
 
+    def __init__(self, page: str):
+        plain = _TOKEN.sub(lambda m: " " * len(m[0]), page)
+        self.stops = [m.start() for m in _LETTERS.finditer(plain) if m[0].lower() in STOP_WORDS]
+        self.ends = [m.start() for m in _FORM_END.finditer(page)]
+        self.regions = [m.start() for m in _HAS_REGION.finditer(page)]
+        self.size = len(page)
 
-def _holds_page(page: str, at: int) -> bool:
-    """Whether the form that opens before `at` is the frame of the page."""
-    end = _FORM_END.search(page, at)
-    held = page[at : end.start() if end else len(page)]
-    return bool(_HAS_REGION.search(held)) or 2 * _stops(held) > _stops(page) > 0
+    def frames_page(self, at: int) -> bool:
+        """Whether the form that opens before `at` is the frame of the page."""
+        after = bisect_left(self.ends, at)
+        end = self.ends[after] if after < len(self.ends) else self.size
+        held = bisect_left(self.stops, end) - bisect_left(self.stops, at)
+        return bisect_left(self.regions, end) > bisect_left(self.regions, at) or 2 * held > len(self.stops) > 0
 
 
 def _is_chrome(tag: str, attributes: str, inside: _Place) -> bool:
@@ -123,6 +133,7 @@ def blocks(page: str) -> list[Block]:
     out: list[Block] = []
     pieces: list[str] = []
     linked = regions = 0
+    outline: _Outline | None = None
 
     def flush() -> None:
         nonlocal linked
@@ -184,7 +195,8 @@ def blocks(page: str) -> list[Block]:
             region = regions
         chrome = inside.chrome or _is_chrome(tag, token[3], inside)
         if tag == "form" and chrome and not inside.chrome:
-            chrome = not _holds_page(page, at)
+            outline = outline or _Outline(page)
+            chrome = not outline.frames_page(at)
         stack.append(_Place(tag, chrome, region, inside.linked or tag == "a"))
     add(page[at:])
     flush()
@@ -203,13 +215,26 @@ def first_pass(block: Block) -> bool | None:
     return True if words and stops >= STOP_DENSITY * len(words) else None
 
 
+def _long(block: Block) -> bool:
+    return len(block.text) >= LONG and block.linked < FEW_LINKS * len(block.text)
+
+
 def second_pass(found: list[Block]) -> list[bool]:
-    """Labels of all blocks: undecided ones take that of the nearest decided block of their region, the good one of two
-    as near; without one they are good, as chrome is out already."""
+    """Labels of all blocks. Undecided short ones take the label of the nearest decided block of their region, the good one of two as
+    near; long ones with few links are only bad between bad ones on both sides.
+
+    Stop words may say nothing about a page (another language, code, lists): in a region where they make no block good, its long
+    blocks with few links are good, and without any of those all undecided ones are, as chrome is out already.
+    """
     labels = [first_pass(b) for b in found]
     members: dict[int, list[int]] = {}
     for i, b in enumerate(found):
         members.setdefault(b.region, []).append(i)
+    for places in members.values():
+        if not any(labels[i] for i in places):
+            long = [i for i in places if labels[i] is None and _long(found[i])]
+            for i in long or [i for i in places if labels[i] is None]:
+                labels[i] = True
     out = [bool(x) for x in labels]
     for places in members.values():
         near: list[list[tuple[int, bool]]] = [[] for _ in places]
@@ -222,7 +247,8 @@ def second_pass(found: list[Block]) -> list[bool]:
                     near[k].append((abs(k - last), not labels[places[last]]))
         for k, i in enumerate(places):
             if labels[i] is None:
-                out[i] = not min(near[k])[1] if near[k] else True
+                both_bad = len(near[k]) == 2 and all(bad for _, bad in near[k])
+                out[i] = not both_bad if _long(found[i]) else not min(near[k])[1] if near[k] else True
     return out
 
 
@@ -231,7 +257,8 @@ def main_text(page: str) -> str:
     found = blocks(page)
     kept = [b for b, good in zip(found, second_pass(found), strict=True) if good]
     inner = [b for b in kept if b.region]
-    good = [sum(len(b.text) for b in kept if bool(b.region) == inside and first_pass(b)) for inside in (True, False)]
+    decided = [b for b in kept if first_pass(b)] or kept
+    good = [sum(len(b.text) for b in decided if bool(b.region) == inside) for inside in (True, False)]
     return "\n\n".join(b.text for b in (inner if inner and good[0] >= good[1] else kept))
 
 

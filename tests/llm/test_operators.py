@@ -505,3 +505,36 @@ def test_page_wide_forms_and_teasers_keep_the_body():
     assert extraction.main_text(f"<body><form><main><p>{LONG_TEXT}</p></main></form><form><p>the name of a user</p></form></body>") == LONG_TEXT
     page = f"<body><div><p>{LONG_TEXT}</p><p>{LONG_TEXT} 2</p></div><article><p>{LONG_TEXT} 3</p></article></body>"
     assert extraction.main_text(page).startswith(f"{LONG_TEXT}\n\n{LONG_TEXT} 2")
+
+
+MORE = "<p><a href=x>Czytaj dalej</a></p>"
+POLISH = ["W ubiegłym tygodniu mieszkańcy spotkali się z władzami miasta, żeby porozmawiać o planach budowy nowej szkoły podstawowej.",
+          "Burmistrz zapowiedział, że prace rozpoczną się wiosną, a pierwsze klasy powstaną już za dwa lata, jeśli pogoda na to pozwoli."]
+FINNISH = ["Kaupunginvaltuusto hyväksyi eilen suunnitelman, jonka mukaan vanha satama-alue muutetaan puistoksi seuraavien kolmen vuoden aikana."]
+TURKISH = ["Belediye meclisi dün akşam yapılan toplantıda eski liman bölgesinin üç yıl içinde büyük bir parka dönüştürülmesine karar verdi."]
+CZECH = ["Městské zastupitelstvo včera schválilo plán, podle kterého se starý přístav během příštích tří let promění v rozsáhlý veřejný park."]
+CODE = ["Release 2.1", "Fixed crash on start.", "x = load(1) print(x)"]
+ITEMS = ["Eggs", "Flour", "Sugar", "200 g butter"]
+
+
+@pytest.mark.parametrize("parts", [["Nowa szkoła", *POLISH], FINNISH, TURKISH, CZECH, CODE, ITEMS])
+@pytest.mark.parametrize("at", ["before", "inside", "behind", "around"])
+def test_articles_without_stop_words_stay_whole_beside_links(parts, at):
+    body = [f"<p>{p}</p>" for p in parts]
+    if at in ("before", "around"):
+        body.insert(0, MORE)
+    if at == "inside":
+        body.insert(1 + len(body) // 2, MORE)
+    if at in ("behind", "around"):
+        body.append(MORE)
+    for page in ("".join(body), f"<main>{''.join(body)}</main>"):
+        assert extraction.main_text(page) == "\n\n".join(parts)
+
+
+def test_forms_of_a_page_are_looked_at_once():
+    import time
+
+    page = "<p>the text of a page</p>" + "<form action=x><p>some words of a form</p></form>" * 4000
+    began = time.perf_counter()
+    assert extraction.main_text(page) == "the text of a page"
+    assert time.perf_counter() - began < 5
