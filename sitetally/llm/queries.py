@@ -41,8 +41,8 @@ def op5_packing(spark, sf_dir):
 
 
 def op6_sharding(spark, sf_dir):
-    tree, grown = sharding.uniform_tree(SHARDS), sharding.uniform_tree(SHARDS + 1)
-    found = sharding.shard_documents(table(spark, sf_dir, "documents"), tree, grown)
+    tree = sharding.uniform_tree(SHARDS)
+    found = sharding.shard_documents(table(spark, sf_dir, "documents"), tree, sharding.grow(tree))
     return found.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
@@ -107,16 +107,19 @@ _OP11_SQL = r"""
 with docs as (
   select row_number() over (order by doc_id nulls last) as d, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]'), lambda x: x <> '') as w
   from documents
+), words as (
+  select d, unnest(w) as word, unnest(range(1, len(w) + 1)) as i from docs
 ), windows as (
-  select d, s, array_to_string(w[s:s + 19], ' ') as words from (select d, w, unnest(range(1, len(w) - 18)) as s from docs)
+  select d, i as s, string_agg(word, ' ') over w20 as words from words
+  window w20 as (partition by d order by i rows between current row and 19 following) qualify count(*) over w20 = 20
 ), later as (
   select d, s from (select d, s, row_number() over (partition by words order by d, s) as k from windows) where k > 1
 ), gone as (
   select distinct d, unnest(range(s, s + 20)) as i from later
 ), kept as (
-  select d, string_agg(word, ' ' order by i) as text from (select d, unnest(w) as word, unnest(range(1, len(w) + 1)) as i from docs) anti join gone using (d, i) group by d
+  select d, count(*) as n, string_agg(word, ' ' order by i) as text from words anti join gone using (d, i) group by d
 )
-select docs.doc_id, len(w)::bigint as n_words, (select count(*) from gone where gone.d = docs.d) as n_removed, sha256(coalesce(kept.text, '')) as kept_sha256
+select docs.doc_id, len(w)::bigint as n_words, (len(w) - coalesce(kept.n, 0))::bigint as n_removed, sha256(coalesce(kept.text, '')) as kept_sha256
 from docs left join kept using (d)
 """
 _OP13_SQL = r"""
@@ -124,11 +127,13 @@ with pieces as (
   select coalesce(lang, 'und') as lang,
     unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as p
   from documents
-), split as (select lang, list_filter(string_split_regex(p, '[\x20\x09]'), lambda x: x <> '') as w from pieces),
-places as (select lang, w, unnest(range(1, len(w) + 1)) as i from split),
+), split as (select lang, row_number() over () as p, list_filter(string_split_regex(p, '[\x20\x09]'), lambda x: x <> '') as w from pieces),
+words as (select lang, p, unnest(w) as w1, unnest(range(1, len(w) + 1)) as i from split),
+places as (select lang, w1, lead(w1) over piece as w2, lead(w1, 2) over piece as w3 from words window piece as (partition by p order by i)),
 f as (
-  select lang, k, array_to_string(w[i:i + k - 1], ' ') as phrase, count(*) as f
-  from places, (values (1), (2), (3)) as sizes(k) where i + k - 1 <= len(w) group by all
+  select lang, k, phrase, count(*) as f
+  from (select lang, 1 as k, w1 as phrase from places union all select lang, 2, w1 || ' ' || w2 from places where w2 is not null
+        union all select lang, 3, w1 || ' ' || w2 || ' ' || w3 from places where w3 is not null) group by all
 ), n as (select lang, sum(f)::bigint as n from f where k = 1 group by lang),
 c as (select lang, k, phrase, f as a, string_split(phrase, ' ') as w from f where k > 1 and f >= 10),
 longer as (

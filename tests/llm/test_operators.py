@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from brute import AWKWARD, COLUMNS, component_ids, kept_places, measures, overlap_pairs, shingle_set, simhash, words
 
 from sitetally.llm import chat, extraction, huffman, merkle, mixing, overlap, packing, quality, sharding, toxicity
@@ -306,14 +307,28 @@ def test_shards_move_into_the_new_one_only(spark, docs, none, texts):
 def test_any_growth_and_weights_follow_the_law(spark):
     ids = spark.range(6000).withColumnRenamed("id", "doc_id")
     for n in (1, 5, 8, 11):
-        both = sharding.with_shard(sharding.with_shard(ids, "doc_id", sharding.uniform_tree(n), "a"), "doc_id", sharding.uniform_tree(n + 1), "b")
+        tree = sharding.uniform_tree(n)
+        both = sharding.with_shard(ids, "doc_id", tree, "a", sharding.grow(tree), "b")
         assert both.filter(f"a <> b and b <> {n}").count() == 0
-    tree = sharding.uniform_tree(6)
-    heavy = [sharding.Shard(s.region, s.rack, s.number, 3.0 if s.number == 2 else 1.0) for s in tree]
-    both = sharding.with_shard(sharding.with_shard(ids, "doc_id", tree, "a"), "doc_id", heavy, "b")
-    assert both.filter("a <> b and b <> 2").count() == 0
-    share = both.filter("b = 2").count() / 6000
-    assert abs(share - 3 / 8) < 0.03
+        assert abs(both.filter(f"b = {n}").count() / 6000 - 1 / (n + 1)) < 0.03
+    assert sharding.grow(sharding.uniform_tree(16)) == sharding.uniform_tree(17)
+
+
+def test_movement_stays_in_the_subtrees_whose_weights_change(spark):
+    """One shard gets heavier: nothing moves between other regions, nor between racks of the region that weigh what they weighed."""
+    ids = spark.range(12_000).withColumnRenamed("id", "doc_id")
+    tree = sharding.uniform_tree(24)
+    heavy = [sharding.Shard(s.region, s.rack, s.number, 5.0 if s.number == 2 else 1.0) for s in tree]
+    both = sharding.with_shard(ids, "doc_id", tree, "a", heavy, "b").withColumns({"ra": F.expr("a div 8"), "rb": F.expr("b div 8")})
+    moved = both.filter("a <> b")
+    assert moved.count() > 500 and moved.filter("ra <> 0 and rb <> 0").count() == 0
+    # a document that stays in the heavier rack moves to the heavier shard only; the other rack of the region gets none from there
+    assert moved.filter("ra = 0 and rb = 0 and a div 4 = b div 4 and b <> 2").count() == 0
+    assert moved.filter("a div 4 = 0 and b div 4 <> 0").count() == 0
+    assert abs(both.filter("b = 2").count() / 12_000 - 5 / 28) < 0.02
+    # the draws of both trees are those of each alone
+    alone = sharding.with_shard(both, "doc_id", heavy, "c")
+    assert alone.filter("b <> c").count() == 0
 
 
 # 7 toxicity
