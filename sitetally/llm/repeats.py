@@ -133,13 +133,32 @@ def _gathered(data: list[bytes], n_keys: int, n_docs: int) -> tuple[list[np.ndar
     return [np.concatenate(k) for k in keys], [np.concatenate(d) for d in docs], np.concatenate(places), np.concatenate(known)
 
 
-def _by_document(docs: list[np.ndarray], places: np.ndarray, names: list[str]) -> pa.Table:
-    """One row a document of the bucket, with its places."""
-    order = np.lexsort((places, *docs[::-1]))
-    docs, places = [d[order] for d in docs], places[order]
-    begins = np.flatnonzero(_heads(*docs)) if len(places) else np.zeros(0, np.int64)
-    lists = pa.ListArray.from_arrays(pa.array(np.append(begins, len(places)), pa.int32()), pa.array(places, pa.int64()))
-    return pa.table([*(pa.array(d[begins], pa.int64()) for d in docs), lists], names=[*names, "places"])
+def _sent_home(buckets: int, docs: list[np.ndarray], places: np.ndarray) -> pa.Table:
+    """(bucket, data): places with their documents, packed by ranges of the documents' hashes."""
+    home = ((docs[-1].view(np.uint64) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    order = np.lexsort((places, *docs[::-1], home))
+    out: dict[str, list] = {"bucket": [], "data": []}
+    for a, b in _runs(home[order]):
+        inside = order[a:b]
+        begins = _heads(*(d[inside] for d in docs))
+        out["bucket"].append(int(home[inside[0]]))
+        out["data"].append(pack([np.cumsum(begins) - 1, places[inside], *(d[inside][begins].view(np.uint64) for d in docs)]))
+    return pa.table({"bucket": pa.array(out["bucket"], pa.int64()), "data": pa.array(out["data"], pa.binary())})
+
+
+def _by_document(names: list[str]):
+    """One row a document, with its places; all of a document's come home to one bucket."""
+    def found(table: pa.Table) -> pa.Table:
+        parts = [unpack(b)[0] for b in table.column("data").to_pylist()]
+        places = np.concatenate([p[1] for p in parts]).view(np.int64)
+        docs = [np.concatenate([p[2 + k][p[0].astype(np.int64)] for p in parts]).view(np.int64) for k in range(len(names))]
+        order = np.lexsort((places, *docs[::-1]))
+        docs, places = [d[order] for d in docs], places[order]
+        begins = np.flatnonzero(_heads(*docs))
+        lists = pa.ListArray.from_arrays(pa.array(np.append(begins, len(places)), pa.int32()), pa.array(places, pa.int64()))
+        return pa.table([*(pa.array(d[begins], pa.int64()) for d in docs), lists], names=[*names, "places"])
+
+    return found
 
 
 def _anchors(window: int, buckets: int):
@@ -181,14 +200,17 @@ def _anchors(window: int, buckets: int):
     return found
 
 
-def _met_anchors(table: pa.Table) -> pa.Table:
-    """(ref, places) of a bucket's anchors that occur more than once."""
-    (key,), (ref,), place, known = _gathered(table.column("data").to_pylist(), 1, 1)
-    asked = np.flatnonzero(~known)
-    order = asked[np.argsort(key[asked], kind="stable")]
-    group = np.cumsum(_heads(key[order])) - 1 if len(order) else np.zeros(0, np.int64)
-    repeated = np.append(order[np.bincount(group)[group] > 1] if len(order) else order, np.flatnonzero(known))
-    return _by_document([ref[repeated]], place[repeated], ["ref"])
+def _met_anchors(buckets: int):
+    """Places of a bucket's anchors that occur more than once."""
+    def found(table: pa.Table) -> pa.Table:
+        (key,), (ref,), place, known = _gathered(table.column("data").to_pylist(), 1, 1)
+        asked = np.flatnonzero(~known)
+        order = asked[np.argsort(key[asked], kind="stable")]
+        group = np.cumsum(_heads(key[order])) - 1 if len(order) else np.zeros(0, np.int64)
+        repeated = np.append(order[np.bincount(group)[group] > 1] if len(order) else order, np.flatnonzero(known))
+        return _sent_home(buckets, [ref[repeated]], place[repeated])
+
+    return found
 
 
 def candidate_starts(n_words: int, places: np.ndarray, window: int) -> np.ndarray:
@@ -236,16 +258,19 @@ def _windows(window: int, buckets: int):
     return found
 
 
-def _later_windows(table: pa.Table) -> pa.Table:
-    """(at, ref, places) of a bucket's windows that aren't the first of their words."""
-    (key, check), (at, ref), start, known = _gathered(table.column("data").to_pylist(), 2, 2)
-    asked = np.flatnonzero(~known)
-    order = asked[np.lexsort((start[asked], ref[asked], at[asked], check[asked], key[asked]))]
-    begins = _heads(key[order], check[order]) if len(order) else np.zeros(0, bool)
-    first = order[np.flatnonzero(begins)[np.cumsum(begins) - 1]] if len(order) else order
-    later = (at[order] != at[first]) | (ref[order] != ref[first]) | (start[order] != start[first])
-    gone = np.append(order[later], np.flatnonzero(known))
-    return _by_document([at[gone], ref[gone]], start[gone], ["at", "ref"])
+def _later_windows(buckets: int):
+    """Starts of a bucket's windows that aren't the first of their words."""
+    def found(table: pa.Table) -> pa.Table:
+        (key, check), (at, ref), start, known = _gathered(table.column("data").to_pylist(), 2, 2)
+        asked = np.flatnonzero(~known)
+        order = asked[np.lexsort((start[asked], ref[asked], at[asked], check[asked], key[asked]))]
+        begins = _heads(key[order], check[order]) if len(order) else np.zeros(0, bool)
+        first = order[np.flatnonzero(begins)[np.cumsum(begins) - 1]] if len(order) else order
+        later = (at[order] != at[first]) | (ref[order] != ref[first]) | (start[order] != start[first])
+        gone = np.append(order[later], np.flatnonzero(known))
+        return _sent_home(buckets, [at[gone], ref[gone]], start[gone])
+
+    return found
 
 
 def covered(n_words: int, starts: list[int], window: int) -> np.ndarray:
@@ -304,16 +329,15 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     held = ids.agg(F.sum("bytes")).first()[0] or 0
     buckets = 1 + int(held / WORD_BYTES * len(plan_of(window)[1]) / plan_of(window)[0] / BUCKET)
     anchors = singles.select("ref", "text").mapInArrow(_anchors(window, buckets), packed)
-    met = anchors.groupBy("bucket").applyInArrow(_met_anchors, "ref long, places array<long>")
-    # a document's own anchors
-    places = cut_lineage(met.groupBy("ref").agg(F.flatten(F.collect_list("places")).alias("places")))
+    met = anchors.groupBy("bucket").applyInArrow(_met_anchors(buckets), "bucket long, data binary")
+    places = cut_lineage(met.groupBy("bucket").applyInArrow(_by_document(["ref"]), "ref long, places array<long>"))
     buckets = 1 + (places.agg(F.sum(F.size("places"))).first()[0] or 0) * WINDOWS_EACH // BUCKET
     asked = with_mark(singles, F.col("ref"), cut_lineage(marks(places, F.col("ref"))), "_asked").filter("_asked")
     windows = asked.select("at", "ref", "text").join(places, "ref").select("at", "ref", "places", "text").mapInArrow(_windows(window, buckets), packed)
-    later = windows.groupBy("bucket").applyInArrow(_later_windows, "at long, ref long, places array<long>")
-    # a document's own windows
+    later = windows.groupBy("bucket").applyInArrow(_later_windows(buckets), "bucket long, data binary")
+    starts = later.groupBy("bucket").applyInArrow(_by_document(["at", "ref"]), "at long, ref long, places array<long>")
     gone = cut_lineage(
-        later.groupBy("at", "ref").agg(F.flatten(F.collect_list("places")).alias("starts")).withColumn("whole", F.lit(False))
+        starts.withColumnRenamed("places", "starts").withColumn("whole", F.lit(False))
         .unionByName(copies.withColumns({"starts": F.lit(None).cast("array<long>"), "whole": F.lit(True)}))
         .groupBy("at", "ref").agg(F.max("starts").alias("starts"), F.max("whole").alias("whole")))
     losing = with_mark(rows, F.col("ref"), cut_lineage(marks(gone, F.col("ref"))), "_loses")
