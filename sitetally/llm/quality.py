@@ -141,9 +141,9 @@ def fences(sketched: DataFrame, keys: list[str]) -> DataFrame:
     return quartiles.groupBy(*keys).agg(F.max("rows").alias("rows"), *columns)
 
 
-def judged(measured: DataFrame, lang: str = "row.lang", source: str = "row.source", group_rows: int = GROUP_ROWS) -> DataFrame:
-    """measured (a written table) with base_failed and kept."""
-    sketched = cut_lineage(sketch(measured, lang, source))
+def judged(measured: DataFrame, lang: str = "row.lang", source: str = "row.source", group_rows: int = GROUP_ROWS, sketched: DataFrame | None = None) -> DataFrame:
+    """measured with base_failed and kept. It is read for the sketch and for the verdicts: pass a written table, or the sketch."""
+    sketched = cut_lineage(sketch(measured, lang, source) if sketched is None else sketched)
     bounds = [(m, end) for m in METRICS for end in ("high", "low")]
     whole = fences(sketched, []).first()  # one row
     own = cut_lineage(fences(sketched, ["lang", "source"]))
@@ -183,6 +183,9 @@ def judge(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of docs that are kept, with their columns."""
+    """The rows of docs that are kept, with their columns; rows are judged as by `judge`.
+
+    Texts are measured twice, for the sketch and for the verdicts, so that no copy of them has to be written.
+    """
     prepare(docs.sparkSession)
-    return judged(written(measures(docs, docs.columns), "quality-rows")).filter("kept").select("row.*")
+    return judged(measures(docs, docs.columns), sketched=sketch(measures(docs, ["lang", "source"]))).filter("kept").select("row.*")
