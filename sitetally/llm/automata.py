@@ -30,8 +30,12 @@ def summed(grams: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     if not len(grams):
         return grams, counts
     if int(grams.max()) < 1 << _BITS:
-        packed = (grams[:, 0] << np.int64(2 * _BITS)) | (grams[:, 1] << np.int64(_BITS)) | grams[:, 2]
+        packed = grams[:, 0].astype(np.int64)
+        for k in range(1, DEPTH):
+            packed <<= _BITS
+            packed |= grams[:, k]
         order = np.argsort(packed, kind="stable")
+        del packed
     else:
         order = np.lexsort(grams.T[::-1])
     grams, counts = grams[order], counts[order]
@@ -51,7 +55,7 @@ class CountAutomaton:
         used, numbers = np.unique(np.append(grams.ravel(), 0), return_inverse=True)
         kept = [words[i] for i in used.tolist()]
         order = sorted(range(len(kept)), key=kept.__getitem__)
-        rank = np.empty(len(kept), np.int64)
+        rank = np.empty(len(kept), np.int32)
         rank[order] = np.arange(len(kept))
         return cls([kept[i] for i in order], *summed(rank[numbers[:-1]].reshape(-1, DEPTH), counts))
 
@@ -60,8 +64,13 @@ class CountAutomaton:
         """One automaton with the weights of all added up."""
         words = sorted(set().union(*(p.words for p in parts), {b""}))
         number = {w: i for i, w in enumerate(words)}
-        grams = [np.fromiter(map(number.__getitem__, p.words), np.int64, len(p.words))[p.grams] for p in parts]
-        return cls(words, *summed(np.concatenate(grams), np.concatenate([p.counts for p in parts])))
+        counts, grams = np.concatenate([p.counts for p in parts]), np.empty((sum(len(p.grams) for p in parts), DEPTH), np.int32)
+        at = 0
+        for p in parts:
+            grams[at : at + len(p.grams)] = np.fromiter(map(number.__getitem__, p.words), np.int32, len(p.words))[p.grams]
+            at += len(p.grams)
+            p.grams = grams[:0]  # its numbers are in the whole now
+        return cls(words, *summed(grams, counts))
 
     def prefixes(self, length: int) -> tuple[np.ndarray, np.ndarray]:
         """Sorted prefixes of exactly `length` words and their weights: sums over the paths through them."""
@@ -95,10 +104,13 @@ class CountAutomaton:
     def from_bytes(cls, data: bytes) -> CountAutomaton:
         columns, text = unpack(data)
         words, parts = text.split(b"\n"), [c.astype(np.int64) for c in columns]
+        del columns
         first, fan, second, state, degree, third, weight = parts
         begin = np.cumsum(degree) - degree
         sizes = degree[state]
         ends = np.cumsum(sizes)
         inside = np.repeat(begin[state] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
-        grams = np.stack([np.repeat(np.repeat(first, fan), sizes), np.repeat(second, sizes), third[inside]], axis=1)
+        grams = np.empty((len(inside), DEPTH), np.int32)
+        for k, column in enumerate((np.repeat(np.repeat(first, fan), sizes), np.repeat(second, sizes), third[inside])):
+            grams[:, k] = column
         return cls(words, grams, weight[inside])

@@ -2,7 +2,7 @@
 
 Each task sorts the n-grams of a shard of its documents and builds count automata, one per language and prefix range. Every
 position gives one path, its word and up to two more of its piece, so a single automaton holds the counts of all shorter phrases
-as sums over prefixes. The automata of a range are united and their weights added; candidates leave a range with the
+as sums over prefixes. Single words, which would need all ranges, have automata of their own. The automata of a range are united and their weights added; candidates leave a range with the
 weights of their prefixes. The parts of a candidate are looked up by composing candidates with the counts of their first and last
 words: a join on the words that both share, hot words apart.
 """
@@ -26,8 +26,10 @@ TOP = 2000
 #: A phrase goes if one that holds it occurs at least this often in a hundred of its own occurrences.
 COVERED_PERCENT = 50
 #: Positions of a shard, and n-grams of a range: what a task holds at once.
-SHARD = 1 << 20
+SHARD = 1 << 21
 RANGE = 1 << 21
+#: Crowded ranges whose list goes to all tasks; with more of them Spark shuffles both sides.
+BROADCAST_RANGES = 50_000
 #: A range is crowded from this many times RANGE on.
 CROWDED = 4
 SEED = 45
@@ -51,7 +53,7 @@ class _Numbers(dict):
 
 def paths(sequence: np.ndarray) -> np.ndarray:
     """One path a position of a sequence of word numbers (0: end of a piece): the word and the next ones of its piece."""
-    padded = np.append(sequence, np.zeros(DEPTH - 1, np.int64))
+    padded = np.append(sequence, np.zeros(DEPTH - 1, sequence.dtype))
     grams = np.stack([padded[k : k + len(sequence)] for k in range(DEPTH)], axis=1)
     for k in range(1, DEPTH):
         grams[grams[:, k - 1] == 0, k] = 0
@@ -81,14 +83,21 @@ def _cut(automaton: CountAutomaton, place: np.ndarray) -> Iterator[tuple[int, Co
 
 def _shards(ranges: int, shard: int):
     def flush(langs: dict[str, tuple[_Numbers, list[np.ndarray]]]) -> Iterator[pa.RecordBatch]:
-        for lang, (numbers, held) in langs.items():
-            grams = paths(np.concatenate(held))
-            words = [b"" if w == _END else w for w in numbers]
-            whole = CountAutomaton(words, *summed(grams, np.ones(len(grams), np.int64)))
-            cut = list(_cut(whole, prefix_ranges(_word_hashes(words), whole.grams, ranges)))
+        for lang in list(langs):
+            numbers, held = langs.pop(lang)
+            words, sequence = [b"" if w == _END else w for w in numbers], np.concatenate(held)
+            del held
+            counts = np.bincount(sequence, minlength=len(words))
+            counts[0] = 0
+            single = np.zeros((int((counts > 0).sum()), DEPTH), np.int32)
+            single[:, 0] = np.flatnonzero(counts)
+            grams = paths(sequence)
+            hashes, cut = _word_hashes(words), []
+            for kind, whole in ((1, CountAutomaton(words, single, counts[counts > 0])), (DEPTH, CountAutomaton(words, *summed(grams, np.ones(len(grams), np.int64))))):
+                cut += [(kind, r, x) for r, x in _cut(whole, prefix_ranges(hashes, whole.grams, ranges))]
             yield pa.RecordBatch.from_pydict({
-                "lang": pa.array([lang] * len(cut), pa.string()), "range": pa.array([r for r, _ in cut], pa.int64()),
-                "paths": pa.array([len(x.grams) for _, x in cut], pa.int64()), "automaton": pa.array([x.to_bytes() for _, x in cut], pa.binary())})
+                "lang": pa.array([lang] * len(cut), pa.string()), "kind": pa.array([k for k, _, _ in cut], pa.int32()), "range": pa.array([r for _, r, _ in cut], pa.int64()),
+                "paths": pa.array([len(x.grams) for _, _, x in cut], pa.int64()), "automaton": pa.array([x.to_bytes() for _, _, x in cut], pa.binary())})
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs: dict[str, tuple[_Numbers, list[np.ndarray]]] = {}
@@ -98,7 +107,7 @@ def _shards(ranges: int, shard: int):
                 if lang not in langs:
                     langs[lang] = _Numbers({_END: 0}), []
                 numbers, held = langs[lang]
-                held.append(np.array([*map(numbers.__getitem__, tokens(text)), 0], np.int64))
+                held.append(np.array([*map(numbers.__getitem__, tokens(text)), 0], np.int32))
                 n += len(held[-1])
                 if n >= shard:
                     yield from flush(langs)
@@ -122,14 +131,17 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _united(min_count: int):
     def found(table: pa.Table) -> pa.Table:
-        """Counts of a range: words as they are (a word has many ranges), phrases from min_count on, in crowded ranges pairs as they are."""
+        """Counts of a range: words, or phrases of two words and more, from min_count on; of a crowded range pairs as they are.
+
+        The count of all words of a range of words comes as size 0.
+        """
         whole = CountAutomaton.union([CountAutomaton.from_bytes(b) for b in table.column("automaton").to_pylist()])
-        crowded = table.column("part")[0].as_py() >= 0
-        sizes, phrases, counts = [], [], []
-        for size in range(1, DEPTH + 1):
+        crowded, words = table.column("part")[0].as_py() >= 0, table.column("kind")[0].as_py() == 1
+        sizes, phrases, counts = ([0], [""], [int(whole.counts.sum())]) if words else ([], [], [])
+        for size in (1,) if words else range(2, DEPTH + 1):
             prefixes, weights = whole.prefixes(size)
-            least = 1 if size == 1 or (crowded and size < DEPTH) else min_count
-            prefixes, weights = prefixes[weights >= least], weights[weights >= least]
+            frequent = weights >= (1 if crowded and size < DEPTH else min_count)
+            prefixes, weights = prefixes[frequent], weights[frequent]
             phrases += [b" ".join([whole.words[i] for i in p]).decode() for p in prefixes.tolist()]
             counts += weights.tolist()
             sizes += [size] * len(weights)
@@ -140,7 +152,7 @@ def _united(min_count: int):
 
 
 def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT, shard: int = SHARD, range_paths: int = RANGE) -> DataFrame:
-    """(lang, size, phrase, f): counts of all words, and of phrases of 2 to DEPTH words that occur min_count times or more.
+    """(lang, size, phrase, f): counts of words and of phrases of 2 to DEPTH words that occur min_count times or more; size 0: of all words.
 
     A range that holds far more paths than the others (a hot pair of words) is cut by its last words.
     """
@@ -148,15 +160,18 @@ def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT, shard: int = SHAR
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), text_or_empty().cast("string").alias("text"))
     held = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = max(1, round(held / WORD_BYTES / range_paths))
-    automata = written(rows.mapInArrow(_shards(ranges, shard), "lang string, range long, paths long, automaton binary"), "automata")
-    sizes = automata.groupBy("lang", "range").agg(F.sum("paths").alias("paths")).filter(F.col("paths") > CROWDED * range_paths)
-    crowded = cut_lineage(sizes.select("lang", "range", F.ceil(F.col("paths") / range_paths).cast("long").alias("parts")))
-    whole = automata.join(crowded, ["lang", "range"], "left_anti").select("lang", "range", F.lit(-1).cast("long").alias("part"), "automaton")
-    parts = automata.join(crowded, ["lang", "range"]).select("lang", "range", "parts", "automaton").mapInArrow(
-        _split, "lang string, range long, part long, automaton binary")
-    counted = whole.unionByName(parts).groupBy("lang", "range", "part").applyInArrow(_united(min_count), "lang string, size int, phrase string, f long")
+    automata = written(rows.mapInArrow(_shards(ranges, shard), "lang string, kind int, range long, paths long, automaton binary"), "automata")
+    sizes = automata.filter(F.col("kind") > 1).groupBy("lang", "kind", "range").agg(F.sum("paths").alias("paths")).filter(F.col("paths") > CROWDED * range_paths)
+    crowded = cut_lineage(sizes.select("lang", "kind", "range", F.ceil(F.col("paths") / range_paths).cast("long").alias("parts")))
+    key = ["lang", "kind", "range"]
+    if crowded.count() <= BROADCAST_RANGES:  # a few numbers a range
+        crowded = F.broadcast(crowded)
+    whole = automata.join(crowded, key, "left_anti").select(*key, F.lit(-1).cast("long").alias("part"), "automaton")
+    parts = automata.join(crowded, key).select("lang", "range", "parts", "automaton").mapInArrow(
+        _split, "lang string, range long, part long, automaton binary").select("lang", F.lit(DEPTH).alias("kind"), "range", "part", "automaton")
+    counted = whole.unionByName(parts).groupBy(*key, "part").applyInArrow(_united(min_count), "lang string, size int, phrase string, f long")
     summed_up = counted.groupBy("lang", "size", "phrase").agg(F.sum("f").alias("f"))
-    return written(summed_up.filter((F.col("size") == 1) | (F.col("f") >= min_count)), "phrases")
+    return written(summed_up.filter((F.col("size") == 0) | (F.col("f") >= min_count)), "phrases")
 
 
 def compose(candidates: DataFrame, counts: DataFrame) -> DataFrame:
@@ -181,8 +196,8 @@ def collocations(docs: DataFrame, min_count: int = MIN_COUNT, top: int = TOP, co
     a candidate gives no rows, nor does an empty table. Repeated rows count as often as they come; other columns are not read.
     """
     counts = phrase_counts(docs, min_count, **sizes)
-    totals = counts.filter("size = 1").groupBy("lang").agg(F.sum("f").alias("n"))
-    frequent = counts.filter(F.col("f") >= min_count)
+    totals = counts.filter("size = 0").select("lang", F.col("f").alias("n"))
+    frequent = counts.filter("size > 0")
     candidates = frequent.filter("size > 1")
     words = F.split("phrase", " ")
     longer = candidates.filter("size = 3").select("lang", F.explode(F.array(*(F.array_join(F.slice(words, i, 2), " ") for i in (1, 2)))).alias("phrase"), F.col("f").alias("_longer"))
