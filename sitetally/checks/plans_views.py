@@ -99,7 +99,7 @@ def remarks(d):
 
 # -- the whole plan page ----
 _PAGE_DETECTIONS = """select job_id, page, 1000000000 + seq as seq, name as article, 'cat' as categorie, x, y, cast(concat('0.', cast(61 + seq % 9 * 4 as string)) as double) as score from {b_points}"""
-# every second job has flooded cells, here just those of the labels
+# corridors around the labels of a page, with gaps
 _ROOMS_FOR = f"""{_RL}, pc as (select p.job_id, p.page, count(rl.idx) as n_rooms from (select distinct job_id, page from {{b_spans}}) p left join rl on rl.job_id = p.job_id and rl.page = p.page group by 1, 2),
        pr as (select job_id, arg_max(page, row(n_rooms, -page)) as reference_page from pc group by 1),
        pg as (select pc.job_id, pc.page, case when n_rooms >= 3 then pc.page else reference_page end as rooms_page from pc join pr using (job_id)),
@@ -112,7 +112,21 @@ _ROOMS_FOR = f"""{_RL}, pc as (select p.job_id, p.page, count(rl.idx) as n_rooms
        po as (select distinct job_id, page, x, y from fd),
        ne as (select po.*, rf.name, sqrt((rf.x - po.x) * (rf.x - po.x) + (rf.y - po.y) * (rf.y - po.y)) as dist, row_number() over (partition by po.job_id, po.page, po.x, po.y order by dist, rf.idx) as k
               from po left join rf on rf.job_id = po.job_id and rf.page = po.page),
-       ce as (select job_id, page, cast(floor(x * 0.75) as bigint) as cx, cast(floor(y * 0.75) as bigint) as cy, min(idx) as idx from rf where job_id % 2 = 0 group by 1, 2, 3, 4),
+       rc as (select job_id, page, idx, cast(floor(x * 0.75) as bigint) as x, cast(floor(y * 0.75) as bigint) as y, row_number() over (partition by job_id, page order by idx) as n from rf),
+       gr as (select distinct job_id, page, x, y from (select job_id, page, x + d as x, y from rc, range(-9, 10) r(d) union all select job_id, page, x, y + d from rc, range(-9, 10) r(d)) where (x * 7 + y * 13) % 11 <> 0),
+       ca as (select rc.job_id, rc.page, n, idx, list(struct_pack(x := gr.x, y := gr.y) order by greatest(abs(gr.x - rc.x), abs(gr.y - rc.y)), gr.y - rc.y, gr.x - rc.x) as wishes
+              from rc left join gr on gr.job_id = rc.job_id and gr.page = rc.page and abs(gr.x - rc.x) < 15 and abs(gr.y - rc.y) < 15 group by 1, 2, 3, 4),
+       tk as (select job_id, page, n, [struct_pack(idx := idx, c := wishes[1])] as taken from ca where n = 1
+         union all select ca.job_id, ca.page, ca.n, list_append(tk.taken, struct_pack(idx := ca.idx, c := list_filter(ca.wishes, lambda w: not list_contains(list_transform(tk.taken, lambda t: t.c), w))[1]))
+         from tk join ca on ca.job_id = tk.job_id and ca.page = tk.page and ca.n = tk.n + 1),
+       se as (select job_id, page, t.c.x as x, t.c.y as y, 0 as steps, t.idx as idx from (select job_id, page, unnest(taken) as t from (select * from tk qualify row_number() over (partition by job_id, page order by n desc) = 1)) where t.c.x is not null),
+       fl(job_id, page, x, y, steps, idx) using key (job_id, page, x, y) as (select * from se
+         union select n.job_id, n.page, n.x, n.y, min(n.steps), arg_min(n.idx, row(n.steps, n.idx))
+         from (select fl.job_id, fl.page, fl.x + dx as x, fl.y + dy as y, fl.steps + 1 as steps, fl.idx from fl, (values (1, 0), (-1, 0), (0, 1), (0, -1)) r(dx, dy)) n
+           join gr on gr.job_id = n.job_id and gr.page = n.page and gr.x = n.x and gr.y = n.y
+           left join recurring.fl k on k.job_id = n.job_id and k.page = n.page and k.x = n.x and k.y = n.y
+         where k.steps is null or row(n.steps, n.idx) < row(k.steps, k.idx) group by 1, 2, 3, 4),
+       ce as (select job_id, page, x as cx, y as cy, idx from fl),
        wa as (select po.*, ce.idx, row_number() over (partition by po.job_id, po.page, po.x, po.y order by greatest(abs(cx - floor(po.x * 0.75)), abs(cy - floor(po.y * 0.75))), cy, cx) as k
               from po join ce on ce.job_id = po.job_id and ce.page = po.page and abs(cx - floor(po.x * 0.75)) < 12 and abs(cy - floor(po.y * 0.75)) < 12),
        pl as (select fd.*, coalesce(rf.name, ne.name, '') as room, round_even(case when rf.name is not null then sqrt((rf.x - fd.x) * (rf.x - fd.x) + (rf.y - fd.y) * (rf.y - fd.y)) else ne.dist end, 1) as room_dist
@@ -127,8 +141,10 @@ _ROOMS_FOR = f"""{_RL}, pc as (select p.job_id, p.page, count(rl.idx) as n_rooms
        union all select job_id, page, seq, 1, 'RJ', concat(label, ' (déployé)'), room, room_dist, 'expansion' from de where multi""")
 def plan_symbols(d):
     plan = PlanSymbols(d.b_spans, _entries(d), d.sql(_PAGE_DETECTIONS))
-    cells = plan.rooms.where("job_id % 2 = 0").groupBy("job_id", "page", *[F.floor(F.col(c) * CELL_SCALE).cast("bigint").alias(c) for c in ("x", "y")]).agg(F.min("idx").alias("idx"))
-    plan.cells = cells
+    arms = F.explode(F.sequence(F.lit(-9), F.lit(9)))
+    spots = plan.rooms.select("job_id", "page", *(F.floor(F.col(c) * CELL_SCALE).cast("bigint").alias(c) for c in ("x", "y")), arms.alias("d"))
+    cells = spots.select("job_id", "page", F.col("x") + F.col("d"), "y").union(spots.select("job_id", "page", "x", F.col("y") + F.col("d"))).toDF("job_id", "page", "x", "y")
+    plan.grid = cells.where("(x * 7 + y * 13) % 11 <> 0").distinct()
     return plan.symbols.select("job_id", "page", "seq", "copy", "article", "label", "room", "room_dist", "source")
 
 

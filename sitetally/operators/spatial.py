@@ -26,7 +26,9 @@ FINEST = -6
 NEAR_CELL = 16.0
 # cells of a tile's side: for flooding, and for searches around a cell
 TILE = 128
-CELLS = 64
+CELLS = 128
+# points whose surroundings are looked at together
+CHUNK = 1024
 # cells that a room names at a time
 WISHES = 8
 # spots of a cluster that one scan decides at most
@@ -413,18 +415,14 @@ def _first_cells(asked: DataFrame, tiles: DataFrame, radius: int, count: int) ->
                 area[i:i + CELLS, j:j + CELLS] = _unpacked(mask, CELLS)
             xs, ys = points["x"].to_numpy(), points["y"].to_numpy()
             px, py = xs - (tx - 1) * CELLS, ys - (ty - 1) * CELLS
-            skip, found = points["skip"].to_numpy(), np.zeros(len(points), np.int64)
-            open_ = np.arange(len(points))
-            for dy, dx in _ring_order(radius):
-                hit = open_[area[py[open_] + dy, px[open_] + dx]]
-                found[hit] += 1
-                told = hit[found[hit] > skip[hit]]
-                for c, v in (("x", xs), ("y", ys), ("skip", skip), ("rank", found), ("cx", xs + dx), ("cy", ys + dy)):
-                    columns[c].append(v[told])
-                if len(told):
-                    open_ = open_[found[open_] < skip[open_] + count]
-                    if not len(open_):
-                        break
+            skip, (dy, dx) = points["skip"].to_numpy(), np.array(_ring_order(radius)).T
+            for at in range(0, len(points), CHUNK):
+                part = slice(at, at + CHUNK)
+                there = area[py[part, None] + dy, px[part, None] + dx]
+                found = np.cumsum(there, axis=1)
+                i, k = np.nonzero(there & (found > skip[part, None]) & (found <= skip[part, None] + count))
+                for c, v in (("x", xs[part][i]), ("y", ys[part][i]), ("skip", skip[part][i]), ("rank", found[i, k]), ("cx", xs[part][i] + dx[k]), ("cy", ys[part][i] + dy[k])):
+                    columns[c].append(v)
         out = pd.DataFrame({c: np.concatenate(v) if v else np.zeros(0, np.int64) for c, v in columns.items() if c not in PAGE})
         return out.assign(**{c: points[c].iloc[0] if len(points) else 0 for c in PAGE})[list(columns)]
 
