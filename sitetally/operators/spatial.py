@@ -11,8 +11,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ..fixed_values import LEGEND_MARGIN_PT, RENDER_ZOOM
 from ..functions.text import py_round
@@ -27,6 +29,9 @@ NEAR_CELL = 16.0
 # cells of a tile's side: for flooding, and for searches around a cell
 TILE = 128
 CELLS = 128
+# boxes around anchors that one group holds, and pairs of a box and a candidate that are looked at together
+ANCHORS = 100_000
+LOOKED = 1 << 22
 # points whose surroundings are looked at together
 CHUNK = 1024
 # cells that a room names at a time
@@ -41,6 +46,11 @@ def _cell(c: str, side) -> Column:
     return F.floor(F.col(c) / F.lit(side)).cast("bigint")
 
 
+def _dealt(df: DataFrame, keys: list[str]) -> DataFrame:
+    """df by keys in as many partitions as shuffles have: Python's work on few bytes isn't left to one task."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 # -- nearest label -------------------------------------------------------------------------
 
 def nearest_room(points: DataFrame, rooms: DataFrame, finest: float = NEAR_CELL) -> DataFrame:
@@ -218,22 +228,50 @@ def anchor_companions(anchors: DataFrame, candidates: DataFrame, reach: float =
     """Best-scoring candidate of each template around each anchor, if good enough.
 
     ``anchors(job_id, page, anchor_id, x, y)``, ``candidates(job_id, page, template, x, y, score)`` in pixels.
+    A box and the candidates it may hold meet once, in the box's home cell: a candidate goes to the up to four homes whose boxes can
+    reach it. There the candidates of a template are looked at from the best one down, until each box has one.
     """
+    ship_package(anchors.sparkSession)
     low = {c: F.greatest(F.lit(0), (F.col(c) - reach).cast("int")) for c in ("x", "y")}
     high = {c: (F.col(c) + reach).cast("int") for c in ("x", "y")}
-    wide = anchors.select(*PAGE, "anchor_id", low["x"].alias("x0"), high["x"].alias("x1"), low["y"].alias("y0"), high["y"].alias("y1"))
-    side = 2 * reach
-    wide = wide.where("x1 > x0 and y1 > y0").withColumn(
-        "cx", F.explode(F.sequence(_cell("x0", side), _cell("x1", side)))).withColumn(
-        "cy", F.explode(F.sequence(_cell("y0", side), _cell("y1", side))))
-    placed = candidates.where(F.col("score") >= threshold).withColumns({"cx": _cell("x", side), "cy": _cell("y", side)})
+    boxes = anchors.select(*PAGE, "anchor_id", low["x"].alias("x0"), high["x"].alias("x1"), low["y"].alias("y0"), high["y"].alias("y1"))
+    side, home = 2 * reach + 1, [*PAGE, "hx", "hy"]
+    boxes = boxes.where("x1 > x0 and y1 > y0 and job_id is not null and page is not null").withColumns({"hx": _cell("x0", side), "hy": _cell("y0", side)})
+    spots = candidates.where(F.col("score") >= threshold).groupBy(*PAGE, "template", "x", "y").agg(F.max("score").alias("score"))
+    for c in ("x", "y"):
+        spots = spots.withColumn(f"h{c}", F.explode(F.array(_cell(c, side) - 1, _cell(c, side))))
+    # a home with very many boxes is dealt to several groups, each with all of its candidates
+    crowded = cut_lineage(boxes.groupBy(*home).agg(F.ceil(F.count(F.lit(1)) / ANCHORS).alias("_parts")).where("_parts > 1"))
+    boxes = boxes.join(crowded, home, "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("anchor_id", "x0", "y0"), "_parts"), F.lit(0))).drop("_parts")
+    spots = spots.where("job_id is not null and page is not null").join(crowded, home, "left").withColumn(
+        "part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+
+    def best(boxes: pa.Table, spots: pa.Table) -> pa.Table:
+        x0, x1, y0, y1 = (boxes.column(c).to_numpy() for c in ("x0", "x1", "y0", "y1"))
+        x, y, score = (spots.column(c).to_numpy().astype(float) for c in ("x", "y", "score"))
+        kinds = pd.factorize(spots.column("template").to_pandas(), use_na_sentinel=False)[0]
+        order = np.lexsort((x, y, -score, ~np.isnan(score), kinds))
+        whose, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for places in np.split(order, np.flatnonzero(np.diff(kinds[order])) + 1):
+            open_, at, step = np.arange(len(x0)), 0, 32
+            while len(open_) and at < len(places):
+                look = places[at:at + step]
+                inside = (x[look] >= x0[open_, None]) & (x[look] < x1[open_, None]) & (y[look] >= y0[open_, None]) & (y[look] < y1[open_, None])
+                hit, first = inside.any(1), inside.argmax(1)
+                whose.append(open_[hit])
+                found.append(look[first[hit]])
+                open_, at = open_[~hit], at + step
+                step = min(2 * step, max(32, LOOKED // max(1, len(open_))))
+        who, what = np.concatenate(whose), np.concatenate(found)
+        return pa.table([*(boxes.column(c).take(who) for c in (*PAGE, "anchor_id")), *(spots.column(c).take(what) for c in ("template", "x", "y", "score"))], schema.names)
+
+    kinds = {**{c: boxes.schema[c].dataType for c in (*PAGE, "anchor_id")}, **{c: spots.schema[c].dataType for c in ("template", "x", "y", "score")}}
+    schema = StructType([StructField(c, kind) for c, kind in kinds.items()])
+    group = [*home, "part"]
+    met = _dealt(boxes, group).groupBy(*group).cogroup(_dealt(spots, group).groupBy(*group)).applyInArrow(best, schema)
     hit = F.struct("score", (-F.col("y")).alias("ny"), (-F.col("x")).alias("nx"))
-    return (
-        wide.join(placed, [*PAGE, "cx", "cy"])
-        .where((F.col("x") >= F.col("x0")) & (F.col("x") < F.col("x1")) & (F.col("y") >= F.col("y0")) & (F.col("y") < F.col("y1")))
-        .groupBy(*PAGE, "anchor_id", "template").agg(F.max(hit).alias("h"))
-        .select(*PAGE, "anchor_id", "template", (-F.col("h.nx")).alias("x"), (-F.col("h.ny")).alias("y"), F.col("h.score").alias("score"))
-    )
+    return met.groupBy(*PAGE, "anchor_id", "template").agg(F.max(hit).alias("h")).select(
+        *PAGE, "anchor_id", "template", (-F.col("h.nx")).alias("x"), (-F.col("h.ny")).alias("y"), F.col("h.score").alias("score"))
 
 
 # -- greedy removal of neighbours -------------------------------------------------------------

@@ -204,3 +204,22 @@ def test_zones_with_many_edges_equal_the_plain_test_with_few_edges_a_point(spark
     assert got == want and 300 < len(want) < 850
     cover = spatial.zone_cover(zones).agg(F.max(F.size("edges")), F.max(F.size("heights")), F.count("*")).first()
     assert cover[0] <= 40 and cover[1] <= 80 and cover[2] < 12_000
+
+
+def test_companions_equal_the_definition_without_a_row_per_pair(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "ANCHORS", 7)
+    rng = random.Random(11)
+    anchors = [(1, 1 + i % 2, i // 2 if i % 5 else 0, rng.choice([0.0, 33.5, 250.0, rng.uniform(-300, 700)]), rng.uniform(0, 500)) for i in range(120)]
+    spots = [(1, 1 + i % 2, rng.choice(["a", "b", None]), float(rng.randrange(500)), float(rng.randrange(500)), rng.choice([0.3, 0.62, 0.7, 0.9])) for i in range(300)]
+    found = spatial.anchor_companions(spark.createDataFrame(anchors, "job_id int, page int, anchor_id int, x double, y double"),
+                                      spark.createDataFrame(spots, "job_id int, page int, template string, x double, y double, score double"))
+    assert "SortMergeJoin" not in (plan := found._jdf.queryExecution().toString()).split("FlatMapCoGroups")[0] and "FlatMapCoGroupsInArrow" in plan
+    want = {}
+    for job, page, who, x, y in anchors:
+        x0, x1, y0, y1 = max(0, int(x - 100)), int(x + 100), max(0, int(y - 100)), int(y + 100)
+        for _, p, template, cx, cy, score in spots:
+            if p == page and score >= 0.62 and x0 <= cx < x1 and y0 <= cy < y1:
+                best = want.get((page, who, template))
+                want[page, who, template] = max((score, -cy, -cx), best) if best else (score, -cy, -cx)
+    rows = found.collect()
+    assert len(rows) == len(want) and {(r.page, r.anchor_id, r.template): (r.score, -r.y, -r.x) for r in rows} == want
