@@ -19,7 +19,7 @@ from pyspark.sql.types import StructField, StructType
 from ..fixed_values import LEGEND_MARGIN_PT, RENDER_ZOOM
 from ..functions.text import py_round
 from ..session import cut_lineage, ship_package
-from .components import components
+from .ordered import rank_by_range
 
 PAGE = ["job_id", "page"]
 # edges that cross one cell of a zone's cover, and the least side of a cell (a power of two)
@@ -36,7 +36,8 @@ LOOKED = 1 << 22
 CHUNK = 1024
 # cells that a room names at a time
 WISHES = 8
-# spots of a cluster that one scan decides at most
+# rows of a group that SQL scans, and spots that one scan in Python decides at most
+FEW = 64
 SCANNED = 20_000
 # stands for radius 0 where equal points are neighbours
 POINT = 1e-9
@@ -276,100 +277,114 @@ def anchor_companions(anchors: DataFrame, candidates: DataFrame, reach: float =
 
 # -- greedy removal of neighbours -------------------------------------------------------------
 
-def _level() -> Column:
-    return F.floor(F.log2("_r")).cast("int")
-
-
-def _side(level: Column) -> Column:
-    """Cell side of a level of radii: two rows in one cell are always neighbours."""
-    return F.pow(F.lit(2.0), level) / math.sqrt(2)
-
+def _clash(a, b, inclusive: bool) -> Column:
+    """Whether two rows with _x, _y and _r are neighbours: their distance is below the smaller radius, or equal to it if ``inclusive``.
+    Rows with equal places and radii are, even without a number there."""
+    dx, dy, reach = a["_x"] - b["_x"], a["_y"] - b["_y"], F.least(a["_r"], b["_r"])
+    d2, r2 = dx * dx + dy * dy, reach * reach
+    near = F.coalesce((d2 <= r2) if inclusive else (d2 < r2), F.lit(False))
+    return near | (a["_x"].eqNullSafe(b["_x"]) & a["_y"].eqNullSafe(b["_y"]) & (a["_r"] == b["_r"]))
+
+
+def _few(rows: DataFrame, keys: list[str], columns: list[str], inclusive: bool) -> DataFrame:
+    """The rows that scans of small groups keep. Each group's rows are collected."""
+    item = F.struct("_strength", "_x", "_y", "_r", F.struct(*columns).alias("row"))
+    groups = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(item), asc=False).alias("rows"))
+    none = F.filter("rows", lambda r: F.lit(False))
+    kept = F.aggregate("rows", none, lambda done, r: F.when(F.exists(done, lambda k: _clash(k, r, inclusive)), done).otherwise(F.concat(done, F.array(r))))
+    alone = groups.where("size(rows) = 1").select(F.col("rows")[0]["row"].alias("row"))
+    # every copy of a row that stays does
+    several = groups.where("size(rows) > 1").withColumn("kept", F.transform(kept, lambda k: k["_strength"]))
+    staying = F.filter("rows", lambda r: F.exists("kept", lambda k: k.eqNullSafe(r["_strength"])))
+    return alone.unionByName(several.select(F.explode(F.transform(staying, lambda r: r["row"])).alias("row"))).select("row.*")
+
+
+def _scan(pdf: pd.DataFrame, inclusive: bool) -> np.ndarray:
+    """State after the greedy scan of a piece of a group: 1 kept, -1 removed, 0 open.
+
+    ``safe`` rows have all their neighbours in the piece. A row with a better kept neighbour goes, one with a better open neighbour
+    stays open, and any other safe one is kept. Kept and open rows are looked up in a grid per level of radii.
+    """
+    grids: dict[int, dict[tuple[int, int], list[tuple[float, float, float, bool]]]] = {}
+    order = np.argsort(pdf["_order"].to_numpy(), kind="stable")
+    states = pdf["state"].to_numpy().copy()
+
+    def met(x: float, y: float, r: float) -> int:
+        found = 1
+        for other, cells in grids.items():
+            side = 2.0 ** (other + 1)
+            cx, cy = math.floor(x / side), math.floor(y / side)
+            for i in (cx - 1, cx, cx + 1):
+                for j in (cy - 1, cy, cy + 1):
+                    for px, py, pr, kept in cells.get((i, j), ()):
+                        d2, reach = (px - x) * (px - x) + (py - y) * (py - y), min(r, pr)
+                        if d2 < reach * reach or (inclusive and d2 == reach * reach):
+                            if kept:
+                                return -1
+                            found = 0
+        return found
+
+    for at, x, y, r, safe in zip(order.tolist(), *(pdf[c].to_numpy()[order].tolist() for c in ("_x", "_y", "_r", "safe"))):
+        if not states[at]:
+            found = met(x, y, r)
+            states[at] = found if safe or found < 0 else 0
+        if states[at] >= 0:
+            level = math.frexp(r)[1] - 1
+            side = 2.0 ** (level + 1)
+            grids.setdefault(level, {}).setdefault((math.floor(x / side), math.floor(y / side)), []).append((x, y, r, bool(states[at])))
+    return states
+
+
+def _whole(inclusive: bool):
+    """The scan of several whole groups, packed into one."""
+    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
+        parts = [part[_scan(part.assign(state=0, safe=True), inclusive) == 1] for _, part in pdf.groupby("_gid")]
+        return pd.concat(parts)[["_gid", "_order"]]
 
-def _at(c: str | Column, level: Column) -> Column:
-    return F.floor((F.col(c) if isinstance(c, str) else c) / _side(level)).cast("bigint")
+    return scan
 
 
-def _clusters(todo: DataFrame, keys: list[str]) -> DataFrame:
-    """todo with ``_cluster``: rows that can decide about each other share one.
+def _in_rounds(todo: DataFrame, inclusive: bool, scanned: int) -> DataFrame:
+    """(_gid, _order) of the rows that scans of large groups keep, of (_gid, _order, _x, _y, _r).
 
-    Rows of a cell are neighbours of each other. Cells are linked where the boxes around their rows come within reach, so a
-    cluster may hold more than one group of neighbours, never a part of one.
+    A group is cut into tiles at least eight of its largest radius wide, and so wide that an even one would hold about ``scanned`` rows. A tile is scanned with the rows up to two of
+    these radii around it; what depends on rows farther away stays open, and goes into the next round with the kept rows around.
+    So a round settles all but chains of neighbours that lead from tile to tile.
     """
-    lowest = todo.agg(F.min("_level")).first()[0]
-    own = {"_ox": _at("x", F.col("_level")), "_oy": _at("y", F.col("_level"))}
-    placed = todo.withColumns(own).withColumn("_node", F.struct(*keys, "_level", "_ox", "_oy"))
-    grids = F.explode(F.sequence(F.lit(0 if lowest is None else lowest), F.col("_level")))
-    boxes = placed.withColumn("_g", grids).groupBy(*keys, "_node", "_level", "_g", _at("x", F.col("_g")).alias("_cx"), _at("y", F.col("_g")).alias("_cy")).agg(
-        F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.max("_r").alias("r"))
-    boxes = cut_lineage(boxes)
-    around = [F.explode(F.sequence(F.col(c) - 3, F.col(c) + 3)).alias(c) for c in ("_cx", "_cy")]
-    near = boxes.where("_g = _level").select(*keys, "_g", F.col("_node").alias("a"), F.struct("x0", "x1", "y0", "y1", "r").alias("p"), around[0], "_cy")
-    near = near.select(*keys, "_g", "a", "p", "_cx", around[1])
-    met = near.join(boxes.withColumnRenamed("_node", "b"), [*keys, "_g", "_cx", "_cy"])
+    extent = todo.groupBy("_gid").agg(
+        F.max("_r").alias("_reach"), (F.max("_x") - F.min("_x")).alias("w"), (F.max("_y") - F.min("_y")).alias("h"), F.greatest(F.lit(1.0), F.count(F.lit(1)) / scanned).alias("n"))
+    sides = extent.select("_gid", "_reach", F.greatest(8 * F.col("_reach"), F.sqrt(F.col("w") * F.col("h") / F.col("n")), F.greatest("w", "h") / F.col("n")).alias("_side"))
+    row = ["_gid", "_order", "_x", "_y", "_r", "_reach", "_side"]
+    todo = cut_lineage(todo.join(sides, "_gid").select(*row).withColumn("state", F.lit(0)))
+    tile = ["_gid", "_tx", "_ty"]
 
-    def gap(c: str) -> Column:
-        return F.greatest(F.lit(0.0), F.col(f"{c}0") - F.col(f"p.{c}1"), F.col(f"p.{c}0") - F.col(f"{c}1"))
+    def at(c: str, by) -> Column:
+        return F.floor((F.col(c) + by) / F.col("_side"))
 
-    reach = F.least("r", "p.r") * (1 + 1e-9)
-    links = met.where((F.col("a") != F.col("b")) & (gap("x") * gap("x") + gap("y") * gap("y") <= reach * reach)).select("a", "b")
-    roots = components(links).withColumnRenamed("node", "_node")
-    return placed.join(roots, "_node", "left").withColumn("_cluster", F.coalesce("root", "_node")).drop("root", "_node", "_ox", "_oy")
+    def gap(c: str, t: str) -> Column:
+        return F.greatest(F.lit(0.0), F.col(t) * F.col("_side") - F.col(c), F.col(c) - (F.col(t) + 1) * F.col("_side"))
 
+    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
+        now = _scan(pdf, inclusive)
+        return pdf.assign(state=now)[(now != 0) & (pdf["state"] == 0) & pdf["home"]][["_gid", "_order", "state"]]
 
-def _scan(inclusive: bool):
-    """The greedy scan of a cluster: rows by ``_order``, each against kept rows near it, in a grid per level of radii."""
-    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_order")
-        grids: dict[int, dict[tuple[int, int], list[tuple[float, float, float]]]] = {}
-        kept = []
-        for x, y, r, level in zip(pdf["x"].tolist(), pdf["y"].tolist(), pdf["_r"].tolist(), pdf["_level"].tolist()):
-            free = True
-            for other, cells in grids.items():
-                side = 2.0 ** (other + 1)
-                cx, cy = math.floor(x / side), math.floor(y / side)
-                for cell in ((cx + i, cy + j) for i in (-1, 0, 1) for j in (-1, 0, 1)):
-                    for px, py, pr in cells.get(cell, ()):
-                        d2, reach = (px - x) * (px - x) + (py - y) * (py - y), min(r, pr)
-                        if d2 < reach * reach or (inclusive and d2 == reach * reach):
-                            free = False
-            kept.append(free)
-            if free:
-                side = 2.0 ** (level + 1)
-                grids.setdefault(level, {}).setdefault((math.floor(x / side), math.floor(y / side)), []).append((x, y, r))
-        return pdf[kept][["_cluster", "_order"]]
-
-    return scan
-
-
-def _in_rounds(todo: DataFrame, keys: list[str], inclusive: bool) -> DataFrame:
-    """(keys, _rank) of the rows a scan keeps, for clusters of any size: a row that outranks every undecided neighbour is kept
-    and removes its neighbours. Only the best row of a cell can be kept in a round, so a round compares each row with at most
-    one row per nearby cell."""
-    lowest = todo.agg(F.min("_level")).first()[0]
-    kept_parts = []
-    while lowest is not None:
-        own = F.col("_level")
-        best = todo.groupBy(*keys, "_level", _at("x", own).alias("_ox"), _at("y", own).alias("_oy")).agg(
-            F.max(F.struct("_rank", "x", "y", "_r")).alias("c"))
-        grids = F.explode(F.sequence(F.lit(lowest), F.col("_level")))
-        cx, cy = (_at(F.col(f"c.{c}"), F.col("_g")) for c in ("x", "y"))
-        near = best.withColumn("_g", grids).select(*keys, "_g", F.col("_level").alias("_clevel"), "c", F.explode(F.sequence(cx - 3, cx + 3)).alias("_cx"))
-        near = near.withColumn("_cy", F.explode(F.sequence(cy - 3, cy + 3)))
-        rows = todo.withColumn("_g", grids).withColumns({"_cx": _at("x", F.col("_g")), "_cy": _at("y", F.col("_g"))})
-        reach = F.least("_r", F.col("c._r"))
-        d2 = (F.col("x") - F.col("c.x")) * (F.col("x") - F.col("c.x")) + (F.col("y") - F.col("c.y")) * (F.col("y") - F.col("c.y"))
-        pairs = cut_lineage(near.join(rows, [*keys, "_g", "_cx", "_cy"]).where(
-            (F.col("_g") == F.least("_level", "_clevel")) & (F.col("_rank") != F.col("c._rank"))
-            & ((d2 <= reach * reach) if inclusive else (d2 < reach * reach))).select(*keys, "_rank", F.col("c._rank").alias("_by")))
-        beaten = pairs.where("_rank > _by").select(*keys, F.col("_by").alias("_rank")).distinct()
-        kept = cut_lineage(best.select(*keys, F.col("c._rank").alias("_rank")).join(beaten, [*keys, "_rank"], "left_anti"))
-        kept_parts.append(kept)
-        removed = pairs.where("_rank < _by").join(
-            kept.withColumnRenamed("_rank", "_by"), [*keys, "_by"], "left_semi").select(*keys, "_rank").distinct()
-        todo = cut_lineage(todo.join(kept, [*keys, "_rank"], "left_anti").join(removed, [*keys, "_rank"], "left_anti"))
-        if todo.isEmpty():
+    halo, kept_parts = 2 * F.col("_reach"), []
+    while True:
+        placed = todo.withColumn("_tx", F.explode(F.sequence(at("_x", -halo), at("_x", halo)))).withColumn("_ty", F.explode(F.sequence(at("_y", -halo), at("_y", halo))))
+        home = (F.col("_tx") == at("_x", F.lit(0.0))) & (F.col("_ty") == at("_y", F.lit(0.0)))
+        away = F.sqrt(gap("_x", "_tx") * gap("_x", "_tx") + gap("_y", "_ty") * gap("_y", "_ty"))
+        placed = placed.withColumns({"home": home, "safe": home | (away <= 0.99 * F.col("_reach"))})
+        open_tiles = cut_lineage(placed.where("home and state = 0").select(*tile).distinct())
+        if open_tiles.isEmpty():
             break
-    survivors = todo.select(*keys, "_rank").limit(0) if not kept_parts else kept_parts[0]
+        placed = placed.join(open_tiles, tile, "left_semi")
+        settled = cut_lineage(_dealt(placed.select(*tile, "_order", "_x", "_y", "_r", "state", "home", "safe"), tile).groupBy(*tile).applyInPandas(
+            settle, "_gid bigint, _order bigint, state int"))
+        kept_parts.append(settled.where("state = 1").select("_gid", "_order"))
+        around = placed.select(*row, "state").distinct()
+        now = settled.withColumnRenamed("state", "_now")
+        todo = cut_lineage(around.join(now, ["_gid", "_order"], "left").withColumn("state", F.coalesce("_now", "state")).where("state >= 0").drop("_now"))
+    survivors = kept_parts[0]
     for part in kept_parts[1:]:
         survivors = survivors.unionByName(part)
     return survivors
@@ -379,29 +394,40 @@ def keep_strongest(points: DataFrame, keys: list[str], rank: Column, radius: Col
     """Rows a greedy scan keeps: by falling ``rank``, unless a kept row lies within the smaller radius.
 
     ``rank`` must differ between rows. Without a positive radius a row has no neighbours, unless ``inclusive`` makes those of its
-    very point count. Clusters of rows that can decide about each other are found first. Each one of up to ``scanned`` spots is
-    scanned by itself; larger ones are decided in rounds.
+    very point count. Groups of up to FEW rows are scanned in SQL, those of up to ``scanned`` spots each by itself in Python, larger
+    ones tile by tile in rounds. A null key groups nothing: such rows go.
     """
     ship_package(points.sparkSession)
-    whole = points.withColumns({"_rank": rank, "_r": F.coalesce(radius.cast("double"), F.lit(0.0))})
+    marks = {"_strength": rank, "_r": F.coalesce(radius.cast("double"), F.lit(0.0)), "_x": F.col("x").cast("double"), "_y": F.col("y").cast("double")}
+    whole = points.withColumns(marks)
     alone = F.lit(False) if inclusive else F.col("_r") <= 0
-    marked = whole.where(~alone).withColumn("_r", F.greatest("_r", F.lit(POINT)))
-    top = marked.groupBy(*keys, "x", "y", "_r").agg(F.max("_rank").alias("_rank"))
-    clustered = cut_lineage(_clusters(cut_lineage(top.withColumn("_level", _level())), keys))
-    sizes = clustered.groupBy("_cluster").agg(F.count(F.lit(1)).alias("_n"))
-    several = cut_lineage(clustered.join(sizes.where("_n > 1"), "_cluster"))
-    single = clustered.join(sizes.where("_n = 1"), "_cluster", "left_semi").select(*keys, "_rank")
-    ordered = several.where(F.col("_n") <= scanned).withColumn(
-        "_order", F.row_number().over(Window.partitionBy("_cluster").orderBy(F.desc("_rank"))))
-    kind = clustered.schema["_cluster"].dataType.simpleString()
-    chosen = ordered.select("_cluster", "_order", "x", "y", "_r", "_level").groupBy("_cluster").applyInPandas(
-        _scan(inclusive), f"_cluster {kind}, _order int")
-    survivors = single.unionByName(ordered.join(chosen, ["_cluster", "_order"], "left_semi").select(*keys, "_rank"))
-    crowded = several.where(F.col("_n") > scanned).drop("_cluster", "_n")
+    marked = whole.where(~alone).withColumn("_r", F.greatest("_r", F.lit(POINT))).dropna(subset=keys)
+    crowded = cut_lineage(marked.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > min(FEW, scanned)).withColumn(
+        "_gid", F.monotonically_increasing_id()))
+    kept = _few(marked.join(crowded, keys, "left_anti"), keys, points.columns, inclusive)
     if not crowded.isEmpty():
-        survivors = survivors.unionByName(_in_rounds(cut_lineage(crowded), keys, inclusive))
-    kept = marked.join(survivors, [*keys, "_rank"], "left_semi").drop("_rank", "_r")
-    return whole.where(alone).drop("_rank", "_r").unionByName(kept)
+        kept = kept.unionByName(_many(marked, crowded, keys, inclusive, scanned).select(*points.columns))
+    return kept if inclusive else whole.where(alone).select(*points.columns).unionByName(kept)
+
+
+def _many(marked: DataFrame, crowded: DataFrame, keys: list[str], inclusive: bool, scanned: int) -> DataFrame:
+    """The rows of the ``crowded`` groups that scans keep."""
+    several = marked.join(crowded.drop("_n"), keys)
+    top = cut_lineage(several.groupBy("_gid", "_x", "_y", "_r").agg(F.max("_strength").alias("_strength")))
+    ordered = rank_by_range(top, ["_gid"], [F.desc("_strength")], "_order")
+    placed = F.coalesce(F.abs("_x") < F.lit(math.inf), F.lit(False)) & F.coalesce(F.abs("_y") < F.lit(math.inf), F.lit(False))
+    spots = ordered.where(placed).select("_gid", "_order", "_x", "_y", "_r")
+    sizes = cut_lineage(spots.groupBy("_gid").agg(F.count(F.lit(1)).alias("_n")))
+    n, most = sizes.agg(F.coalesce(F.sum(F.when(F.col("_n") <= scanned, F.col("_n"))), F.lit(0)), F.max("_n")).first()
+    # groups go into Python packed, so that small ones don't cost a call each
+    bucket = F.pmod(F.xxhash64("_gid"), F.lit(-(-n // scanned) or 1)).alias("_bucket")
+    small = spots.join(sizes.where(F.col("_n") <= scanned).select("_gid"), "_gid", "left_semi").select(bucket, "*")
+    survivors = ordered.where(~placed).select("_gid", "_order").unionByName(
+        _dealt(small, ["_bucket"]).groupBy("_bucket").applyInPandas(_whole(inclusive), "_gid bigint, _order bigint"))
+    if most is not None and most > scanned:
+        survivors = survivors.unionByName(_in_rounds(spots.join(sizes.where(F.col("_n") > scanned).select("_gid"), "_gid", "left_semi"), inclusive, scanned))
+    ranks = cut_lineage(ordered.join(survivors, ["_gid", "_order"], "left_semi").select("_gid", "_strength"))
+    return several.join(ranks, ["_gid", "_strength"], "left_semi")
 
 
 def remove_duplicate_symbols(symbols: DataFrame, quality: Column) -> DataFrame:
