@@ -223,3 +223,21 @@ def test_companions_equal_the_definition_without_a_row_per_pair(spark, monkeypat
                 want[page, who, template] = max((score, -cy, -cx), best) if best else (score, -cy, -cx)
     rows = found.collect()
     assert len(rows) == len(want) and {(r.page, r.anchor_id, r.template): (r.score, -r.y, -r.x) for r in rows} == want
+
+
+def test_large_groups_are_settled_by_tiles_in_few_rounds(spark, monkeypatch):
+    rng = random.Random(12)
+    points = [(k, i, rng.uniform(0, 900), rng.uniform(0, 700), rng.choice([0.7, 4.0, 9.0, 20.0])) for k, n in ((1, 3000), (2, 100), (3, 20)) for i in range(n)]
+    rounds, plain = [], spatial.cut_lineage
+    monkeypatch.setattr(spatial, "cut_lineage", lambda df: (rounds.append(1), plain(df))[1])
+    df = spark.createDataFrame(points + [(None, 1, 0.0, 0.0, 1.0)], "k int, rank int, x double, y double, r double")
+    got = {(r.k, r["rank"]) for r in spatial.keep_strongest(df, ["k"], F.col("rank"), F.col("r"), False, 400).collect()}
+    assert got == {(k, x) for k in (1, 2, 3) for x in _greedy([p[1:] for p in points if p[0] == k], False)} and len(rounds) < 25
+
+
+def test_small_groups_meet_in_one_array_with_copies_and_missing_places(spark):
+    rows = [(1, 1, 5, 0.0, 0.0), (1, 1, 5, 0.0, 0.0), (1, 1, 4, 1.0, 0.0), (1, 1, 3, None, 0.0), (1, 1, 2, None, 0.0), (2, None, 1, 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "k int, l int, rank int, x double, y double")
+    kept = spatial.keep_strongest(df, ["k", "l"], F.col("rank"), F.lit(2.0), inclusive=True)
+    assert "Generate explode(sequence" not in kept._jdf.queryExecution().toString() and "collect_list" in kept._jdf.queryExecution().toString()
+    assert sorted(r["rank"] for r in kept.collect()) == [3, 5, 5]
