@@ -118,3 +118,16 @@ def test_crowded_shingles_meet_in_full(spark):
     rows = list(enumerate(texts))
     kept = overlap.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(r["doc_id"] for r in kept) == kept_places(list(range(len(texts))), texts)
+
+
+def test_near_copies_are_sought_by_fingerprints_and_verified(spark, monkeypatch):
+    """Texts at 2 or fewer differing bits meet as in op1, and stay apart where their shingles do."""
+    from sitetally.llm import overlap, simhash
+
+    asked, plain = [], overlap.simhash_links
+    monkeypatch.setattr(overlap, "simhash_links", lambda fps: (asked.extend(r["fp"] for r in fps.collect()), plain(fps))[1])
+    long = " ".join(f"w{i}" for i in range(400))
+    rows = [(1, long), (2, long + " end"), (3, "other words than those of the long text above")]
+    kept = overlap.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id for r in kept} == {1, 3}
+    assert {simhash.fingerprint(t.encode()) for _, t in rows[:2]} <= {fp % 2**64 for fp in asked}
