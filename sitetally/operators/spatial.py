@@ -503,7 +503,8 @@ def _first_cells(asked: DataFrame, tiles: DataFrame, radius: int, count: int) ->
     masks = near.join(tiles.withColumnsRenamed({"tx": "ox", "ty": "oy"}), [*PAGE, "ox", "oy"])
     masks = masks.toDF(*masks.columns)  # columns of its own beside those of placed
     kinds = {c: placed.schema[c].dataType.simpleString() for c in PAGE}
-    return placed.groupBy(*PAGE, *home).cogroup(masks.groupBy(*PAGE, *home)).applyInPandas(
+    group = [*PAGE, *home]
+    return _dealt(placed, group).groupBy(*group).cogroup(_dealt(masks, group).groupBy(*group)).applyInPandas(
         search, f"job_id {kinds['job_id']}, page {kinds['page']}, x bigint, y bigint, skip bigint, rank bigint, cx bigint, cy bigint")
 
 
@@ -635,7 +636,7 @@ def flood(cells: DataFrame, seeds: DataFrame) -> DataFrame:
     touched = known.select(*tile).distinct()
     while True:
         sources = known.join(touched, tile, "left_semi").select(*tile, "place", "best.steps", "best.idx")
-        offers = sources.groupBy(*tile).cogroup(tiles.join(touched, tile, "left_semi").groupBy(*tile)).applyInPandas(
+        offers = _dealt(sources, tile).groupBy(*tile).cogroup(_dealt(tiles.join(touched, tile, "left_semi"), tile).groupBy(*tile)).applyInPandas(
             edges, f"{head}, place bigint, steps bigint, idx bigint")
         offered = offers.join(tiles.select(*tile), tile, "left_semi").groupBy(*tile, "place").agg(F.min(F.struct("steps", "idx")).alias("offer"))
         better = cut_lineage(offered.join(known, [*tile, "place"], "left").where("best is null or offer < best").select(*tile, "place", F.col("offer").alias("best")))
@@ -644,7 +645,7 @@ def flood(cells: DataFrame, seeds: DataFrame) -> DataFrame:
         known = cut_lineage(known.join(better, [*tile, "place"], "left_anti").unionByName(better))
         touched = better.select(*tile).distinct()
     sources = known.select(*tile, "place", "best.steps", "best.idx")
-    return sources.groupBy(*tile).cogroup(tiles.groupBy(*tile)).applyInPandas(
+    return _dealt(sources, tile).groupBy(*tile).cogroup(_dealt(tiles, tile).groupBy(*tile)).applyInPandas(
         fill, f"job_id {kinds['job_id']}, page {kinds['page']}, x bigint, y bigint, idx bigint, steps bigint")
 
 
