@@ -12,9 +12,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..fixed_values import LEGEND_MARGIN_PT, RENDER_ZOOM
 from ..functions.text import py_round
@@ -26,10 +27,13 @@ PAGE = ["job_id", "page"]
 EDGES = 16
 FINEST = -6
 NEAR_CELL = 16.0
+# labels of an even block, and points that look for their nearest label together
+NEAR = 4096
+TOGETHER = 64
 # cells of a tile's side: for flooding, and for searches around a cell
 TILE = 128
 CELLS = 128
-# boxes around anchors that one group holds, and pairs of a box and a candidate that are looked at together
+# boxes around anchors (points or labels of a block) that one group holds, and pairs of a box and a candidate that are looked at together
 ANCHORS = 100_000
 LOOKED = 1 << 22
 # points whose surroundings are looked at together
@@ -54,47 +58,108 @@ def _dealt(df: DataFrame, keys: list[str]) -> DataFrame:
 
 # -- nearest label -------------------------------------------------------------------------
 
-def nearest_room(points: DataFrame, rooms: DataFrame, finest: float = NEAR_CELL) -> DataFrame:
+def _nearest(points: pa.Table, labels: pa.Table) -> tuple[np.ndarray, pa.Table]:
+    """Distance and row of each point's nearest label; the first (idx, name) wins a tie.
+
+    Points close together look at the labels that can be nearest to one of them.
+    """
+    labels = labels.take(pc.sort_indices(labels, sort_keys=[("idx", "ascending"), ("name", "ascending")], null_placement="at_start"))
+    x, y, rx, ry = (t.column(c).to_numpy().astype(float) for t, c in ((points, "x"), (points, "y"), (labels, "rx"), (labels, "ry")))
+    strip = max(float(np.ptp(y)) / math.sqrt(len(y) / TOGETHER + 1), POINT)
+    order = np.lexsort((x, np.floor((y - y.min()) / strip)))
+    at, distance = np.zeros(len(x), np.int64), np.zeros(len(x))
+    for some in np.split(order, range(TOGETHER, len(order), TOGETHER)):
+        px, py = x[some], y[some]
+        gaps, spans = zip(*((np.maximum(0.0, np.maximum(p.min() - r, r - p.max())), np.maximum(np.abs(r - p.min()), np.abs(r - p.max()))) for p, r in ((px, rx), (py, ry))))
+        reach = (spans[0] * spans[0] + spans[1] * spans[1]).min()
+        near = np.flatnonzero(gaps[0] * gaps[0] + gaps[1] * gaps[1] <= reach * (1 + 1e-9) + 1e-9)
+        dx, dy = rx[near] - px[:, None], ry[near] - py[:, None]
+        d = np.sqrt(dx * dx + dy * dy)
+        first = d.argmin(1)
+        at[some], distance[some] = near[first], d[np.arange(len(some)), first]
+    return distance, labels.take(at)
+
+
+def nearest_room(points: DataFrame, rooms: DataFrame, finest: float = NEAR_CELL, near: int = NEAR) -> DataFrame:
     """Nearest room label per distinct point: (job_id, page, x, y, room, room_dist).
 
-    Descends through grids of falling cell side. At each level a point keeps
-    only the cells that can still hold its nearest label: those no farther than
-    the far corner of the best one. So a point meets a few cells per level,
-    however many labels a page or a single spot has. The first label (``idx``)
-    wins a tie; a page without labels gives ''.
+    Each page is cut into blocks that would hold about ``near`` labels each if even, at least ``finest`` wide. A point meets the
+    labels of its block and of a quarter of its side around it, all at once. If its nearest one may lie farther away, it goes into the
+    next round, with blocks four times as wide. Blocks that hold very many labels or points are dealt to several groups. The first
+    label (``idx``) wins a tie; a page without labels gives ''.
     """
+    ship_package(points.sparkSession)
     spots = points.select(*PAGE, "x", "y").distinct()
-    labels = rooms.groupBy(*PAGE, F.col("x").alias("rx"), F.col("y").alias("ry")).agg(F.min(F.struct("idx", "name")).alias("label"))
-    box = rooms.agg(F.max("x"), F.min("x"), F.max("y"), F.min("y")).first()
-    extent = finest if box[0] is None else max(box[0] - box[1], box[2] - box[3], finest)
-    depth = math.ceil(math.log(extent / finest, 4))
-    sides = [finest * 4 ** k for k in range(depth, -1, -1)]
-    point = [*PAGE, "x", "y"]
-
-    def squared(dx: Column, dy: Column) -> Column:
-        return dx * dx + dy * dy
-
-    def gap(c: str) -> Column:
-        return F.greatest(F.lit(0.0), F.col(f"{c}0") - F.col(c), F.col(c) - F.col(f"{c}1"))
-
-    def span(c: str) -> Column:
-        return F.greatest(F.abs(F.col(c) - F.col(f"{c}0")), F.abs(F.col(c) - F.col(f"{c}1")))
-
-    found = None
-    for n, side in enumerate(sides):
-        parent = [_cell(c, sides[n - 1]).alias(p) for c, p in (("rx", "px"), ("ry", "py"))] if n else []
-        above = ["px", "py"] if n else []
-        cells = labels.select(*PAGE, _cell("rx", side).alias("cx"), _cell("ry", side).alias("cy"), *parent, "rx", "ry").groupBy(
-            *PAGE, "cx", "cy", *above).agg(F.min("rx").alias("x0"), F.max("rx").alias("x1"), F.min("ry").alias("y0"), F.max("ry").alias("y1"))
-        met = spots.join(cells, PAGE) if found is None else found.withColumnsRenamed({"cx": "px", "cy": "py"}).join(cells, [*PAGE, "px", "py"])
-        reach = F.min(squared(span("x"), span("y"))).over(Window.partitionBy(*point))
-        found = met.withColumn("_reach", reach).where(squared(gap("x"), gap("y")) <= F.col("_reach") * (1 + 1e-9) + 1e-9).select(*point, "cx", "cy")
-    placed = labels.withColumns({"cx": _cell("rx", finest), "cy": _cell("ry", finest)})
-    distance = F.sqrt(squared(F.col("rx") - F.col("x"), F.col("ry") - F.col("y")))
-    nearest = found.join(placed, [*PAGE, "cx", "cy"]).groupBy(*point).agg(
-        F.min(F.struct(distance.alias("d"), F.col("label.idx").alias("idx"), F.col("label.name").alias("name"))).alias("hit"))
-    return spots.join(nearest, point, "left").select(
-        *point, F.coalesce(F.col("hit.name"), F.lit("")).alias("room"), py_round("hit.d", 1).alias("room_dist"))
+    finite = [F.abs(c) < math.inf for c in ("x", "y")]
+    labels = rooms.where(finite[0] & finite[1]).dropna(subset=PAGE).groupBy(*PAGE, F.col("x").alias("rx"), F.col("y").alias("ry")).agg(
+        F.min(F.struct("idx", "name")).alias("label")).select(*PAGE, "rx", "ry", "label.idx", "label.name")
+    labels = cut_lineage(labels)
+    w, h, n = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), F.col("n") / near
+    pages = cut_lineage(labels.groupBy(*PAGE).agg(
+        F.count(F.lit(1)).alias("n"), F.min("rx").alias("x0"), F.max("rx").alias("x1"), F.min("ry").alias("y0"), F.max("ry").alias("y1"),
+        F.min(F.struct("idx", "name", "rx", "ry")).alias("first")).withColumn(
+        "side", F.greatest(F.lit(float(finest)), F.sqrt(w * h / n), F.greatest(w, h) / n)).drop("n"))
+    at = spots.join(pages, PAGE, "left").withColumn("_in", F.coalesce(finite[0] & finite[1], F.lit(False)) & F.col("side").isNotNull())
+    dx, dy = F.col("first.rx") - F.col("x"), F.col("first.ry") - F.col("y")
+    lost = at.where(~F.col("_in")).select(*PAGE, "x", "y", F.sqrt(dx * dx + dy * dy).alias("d"), F.when(F.col("x").isNotNull() & F.col("y").isNotNull(), F.col("first.name")).alias("name"))
+    block = [*PAGE, "bx", "by"]
+
+    def met_in(todo: DataFrame, side: Column) -> DataFrame:
+        """Each point of todo (with its page's box and side) to its nearest label around its block, and how far those reach."""
+        halo, margin, placed = side / 4, F.lit(math.inf), todo
+        for c in ("x", "y"):
+            low, high = F.col(f"{c}0"), F.col(f"{c}1")
+            home = F.floor((F.greatest(low, F.least(F.col(c), high)) - low) / side).cast("bigint")
+            left, right = low + home * side - halo, low + (home + 1) * side + halo
+            margin = F.least(margin, F.when(left > low, F.col(c) - left), F.when(right < high, right - F.col(c)))
+            placed = placed.withColumn(f"b{c}", home)
+        placed = cut_lineage(placed.withColumn("margin", margin).select(*block, "x", "y", "margin"))
+
+        def reached(c: str) -> Column:
+            return F.explode(F.sequence(*(F.floor((F.col(f"r{c}") - F.col(f"{c}0") + by) / side).cast("bigint") for by in (-halo, halo))))
+
+        offered = labels.join(pages.select(*PAGE, "x0", "y0", "side"), PAGE).withColumn("bx", reached("x")).withColumn("by", reached("y")).select(
+            *block, "rx", "ry", "idx", "name")
+        asked = placed.groupBy(*block).agg(F.ceil(F.count(F.lit(1)) / ANCHORS).alias("_points"))
+        offered = offered.join(asked.select(*block), block, "left_semi")
+        parts = asked.join(offered.groupBy(*block).agg(F.ceil(F.count(F.lit(1)) / ANCHORS).alias("_labels")), block)
+        crowded = cut_lineage(parts.where("_points > 1 or _labels > 1"))
+
+        def dealt(df: DataFrame, own: str, other: str, *by: str) -> DataFrame:
+            """df's rows once in each group that needs them: dealt by their own part, repeated for the other side's."""
+            numbered = df.join(crowded, block, "left").withColumn(own, F.coalesce(F.pmod(F.xxhash64(*by), own), F.lit(0)))
+            return numbered.withColumn(other, F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce(F.col(other), F.lit(1)) - 1)))
+
+        ours, theirs = dealt(placed, "_points", "_labels", "x", "y"), dealt(offered, "_labels", "_points", "rx", "ry")
+        theirs = theirs.toDF(*theirs.columns)  # columns of its own beside those of placed
+
+        def meet(points: pa.Table, labels: pa.Table) -> pa.Table:
+            if not len(points):
+                return pa.table([*(points.column(c) for c in (*PAGE, "x", "y", "margin")), pa.array([], pa.float64()), *(labels.column(c).slice(0, 0) for c in ("idx", "name"))], schema.names)
+            # a block that reaches no label leaves its points to the next round
+            distance, found = _nearest(points, labels) if len(labels) else (np.full(len(points), math.inf), {c: pa.nulls(len(points), labels.schema.field(c).type) for c in ("idx", "name")})
+            return pa.table([*(points.column(c) for c in (*PAGE, "x", "y", "margin")), pa.array(distance), found["idx"], found["name"]], schema.names)
+
+        kinds = [*(placed.schema[c] for c in (*PAGE, "x", "y", "margin")), StructField("d", DoubleType()), *(labels.schema[c] for c in ("idx", "name"))]
+        schema = StructType([StructField(f.name, f.dataType) for f in kinds])
+        group = [*block, "_points", "_labels"]
+        met = _dealt(ours, group).groupBy(*group).cogroup(_dealt(theirs, group).groupBy(*group)).applyInArrow(meet, schema)
+        best = F.min(F.struct("d", "idx", "name")).alias("hit")
+        if crowded.isEmpty():
+            return cut_lineage(met)
+        return cut_lineage(met.groupBy(*PAGE, "x", "y", "margin").agg(best).select(*PAGE, "x", "y", "margin", "hit.*"))
+
+    found, wide, todo = lost, 1.0, at.where("_in")
+    while True:
+        met = met_in(todo, F.col("side") * wide)
+        # all that a block reaches is nearer than its margin
+        settled = F.col("d") <= F.col("margin") * (1 - 1e-6)
+        found = found.unionByName(met.where(settled).select(*PAGE, "x", "y", "d", "name"))
+        far = met.where(~settled).select(*PAGE, "x", "y")
+        if far.isEmpty():
+            break
+        todo, wide = far.join(pages, PAGE), wide * 4
+    return found.select(*PAGE, "x", "y", F.coalesce("name", F.lit("")).alias("room"), py_round("d", 1).alias("room_dist"))
 
 
 # -- zones ------------------------------------------------------------------------------------

@@ -1,5 +1,6 @@
 """Spatial operators against plain scans, many random cases as jobs of one run."""
 
+import math
 import random
 
 from pyspark.sql import functions as F
@@ -104,6 +105,26 @@ def test_nearest_room_looks_as_far_as_needed(spark):
     assert got == {**want, (2, 0.0, 0.0): ""}
 
 
+def test_nearest_room_equals_the_definition_without_a_row_per_point_and_cell(spark, monkeypatch):
+    rng = random.Random(11)
+    # page 1: a dense cluster, a few labels far away, and equal places; page 2: one spot; page 3: no label
+    rooms = [(1, 1, i, f"r{i}", float(rng.randrange(40)), float(rng.randrange(40))) for i in range(900)]
+    rooms += [(1, 1, 900 + i, f"far{i}", rng.uniform(0, 90000), rng.uniform(-500, 500)) for i in range(5)] + [(2, 1, 7, None, 3.0, 4.0), (1, None, 1, "x", 0.0, 0.0), (1, 1, 0, "y", None, 0.0)]
+    points = [(1, 1, rng.uniform(-9, 60), rng.uniform(-9, 60)) for _ in range(700)] + [(1, 1, rng.uniform(-900, 99000), rng.uniform(-900, 900)) for _ in range(60)]
+    points += [(1, 1, 5.0, 5.0)] * 2 + [(2, 1, 0.0, 0.0), (2, 1, None, 0.0), (3, 1, 1.0, 1.0), (None, 1, 1.0, 1.0)]
+    monkeypatch.setattr(spatial, "ANCHORS", 300)
+    near = spatial.nearest_room(spark.createDataFrame(points, "job_id int, page int, x double, y double"),
+                                spark.createDataFrame(rooms, "job_id int, page int, idx int, name string, x double, y double"), near=50)
+    got = {(r.job_id, r.page, r.x, r.y): (r.room, r.room_dist) for r in near.collect()}
+
+    def definition(job, page, x, y):
+        there = [(math.dist((x, y), (rx, ry)), i, n) for j, p, i, n, rx, ry in rooms if j == job and p == page and None not in (x, rx)]
+        return (min(there)[2] or "", round(min(there)[0], 1)) if there else ("", None)
+
+    assert got == {p: definition(*p) for p in set(points)}
+    assert "Window" not in near._jdf.queryExecution().executedPlan().toString()
+
+
 def test_polygons_count_crossings(spark):
     shape = [(0.0, 0.0), (10.0, 0.0), (10.0, 10.0), (5.0, 5.0), (0.0, 10.0)]
     zones = spark.createDataFrame([(1, 1, "a", "Zone", 0.0, 0.0, shape, True)],
