@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.amounts import format_euro, legacy_quantity_after, line_total, vat
 from ..functions.identity import is_broken_reference, relation_key
+from ..session import cut_lineage
 from ..functions.text import norm_token, strip, text_or_blank, tidy
 from .options import resolve_rooms
 from .ordered import rank_by_range
@@ -81,22 +82,33 @@ def _room_material_keys(room, *materials) -> Column:
     return F.array_compact(F.array_distinct(F.array(*keys)))
 
 
+def _answered(asked: DataFrame, answers: DataFrame, ask: list[str]) -> DataFrame:
+    """Each line with the answer to what it asks; a null among the last key's values is a value like others."""
+    *keys, last = ask
+    answers = answers.withColumnRenamed(last, "_last")
+    same = F.col(last).eqNullSafe(F.col("_last"))
+    return asked.join(answers.withColumnsRenamed({k: f"_{k}" for k in keys}), [F.col(k) == F.col(f"_{k}") for k in keys] + [same]).drop("_last", *(f"_{k}" for k in keys))
+
+
 def _first_match(wanted: DataFrame, comparison: DataFrame, prefer_category: bool) -> DataFrame:
     """Before-quantity per ``line`` from the comparison row its rooms and materials point to.
 
     ``wanted(job_id, line, rooms ARRAY, pieces ARRAY, materials ARRAY, category_norm)``. Rooms match by id
-    or by name: both become one kind of key, so the join is an equality.
+    or by name: both become one kind of key, so the join is an equality. Lines that ask the same are answered once: a line
+    meets one row per key, not all comparison rows of its material.
     """
     room_keys = F.concat(F.transform("rooms", lambda r: F.concat(F.lit("id:"), r)), F.transform("pieces", lambda p: F.concat(F.lit("nom:"), p)))
     asked = wanted.select("job_id", "line", "category_norm", F.explode(F.array_distinct(room_keys)).alias("room_key"), "materials").withColumn(
         "material_norm", F.explode(F.array_distinct("materials"))).drop("materials")
+    asked = cut_lineage(asked)
     offered = comparison.select(
         "job_id", F.explode(F.array_distinct(F.array(F.concat(F.lit("id:"), "room_id"), F.concat(F.lit("nom:"), norm_token("piece"))))).alias("room_key"),
         norm_token("materiel").alias("material_norm"), norm_token("categorie").alias("_cat"), "quantite_avant",
         F.struct(*TABLE_ORDER).alias("_order"))
     other = (F.col("_cat") != F.col("category_norm")).cast("int") if prefer_category else F.lit(0)
-    return asked.join(offered, ["job_id", "room_key", "material_norm"]).groupBy("job_id", "line").agg(
-        F.min_by("quantite_avant", F.struct(other.alias("o"), "_order")).alias("found"))
+    ask, by = ["job_id", "room_key", "material_norm", "category_norm"], F.struct(other.alias("o"), "_order")
+    answers = asked.select(*ask).distinct().join(offered, ask[:3]).groupBy(*ask).agg(F.min_by("quantite_avant", by).alias("_found"), F.min(by).alias("_by"))
+    return _answered(asked, answers, ask).groupBy("job_id", "line").agg(F.min_by("_found", "_by").alias("found"))
 
 
 def document_lines(trace: DataFrame, submitted: DataFrame, comparison: DataFrame, room_map: DataFrame,
@@ -230,12 +242,13 @@ def suggested_lines(trace: DataFrame, relations: DataFrame, exclusions: DataFram
 def quantity_before(lines: DataFrame, inventory: DataFrame, comparison: DataFrame) -> DataFrame:
     """Before-quantity shown next to a line: the room's stock of its category, else of the material,
     else the comparison, else 0. ``lines(job_id, line, room_id, material, category)``."""
-    asked = lines.withColumns({"_m": norm_token("material"), "_c": norm_token("category"), "room_id": text_or_blank("room_id")})
+    lines = cut_lineage(lines.select("job_id", "line", text_or_blank("room_id").alias("room_id"), norm_token("material").alias("_m"), norm_token("category").alias("_c")))
     stock = inventory.select("job_id", "room_id", norm_token("materiel").alias("_m"), norm_token("categorie").alias("_sc"), "quantite")
     same = (F.col("_c") != "") & (F.col("_sc") == F.col("_c"))
-    stocked = asked.where("room_id <> '' and _m <> ''").join(stock, ["job_id", "room_id", "_m"]).groupBy("job_id", "line").agg(
-        F.coalesce(F.sum(F.when(same, F.col("quantite"))), F.sum("quantite")).alias("_stock"))
-    wanted = asked.where("room_id <> '' and _m <> ''").select(
+    asked, ask = lines.where("room_id <> '' and _m <> ''"), ["job_id", "room_id", "_m", "_c"]
+    stocks = asked.select(*ask).distinct().join(stock, ask[:3]).groupBy(*ask).agg(F.sum(F.when(same, F.col("quantite"))).alias("_same"), F.sum("quantite").alias("_all"))
+    stocked = _answered(asked.select("line", *ask), stocks, ask).groupBy("job_id", "line").agg(F.coalesce(F.sum("_same"), F.sum("_all")).alias("_stock"))
+    wanted = asked.select(
         "job_id", "line", F.col("_c").alias("category_norm"), F.array("room_id").alias("rooms"), F.array(norm_token("room_id")).alias("pieces"),
         F.array("_m").alias("materials"))
     compared = _first_match(wanted, comparison, prefer_category=True)

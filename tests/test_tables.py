@@ -138,3 +138,19 @@ def test_posting_lists_find_what_a_scan_finds(spark, tmp_path):
     for query in ("salle", " SALLÉ ", "a", "ll", "12", "2 3", "salle 1", "aaa", "zzz", "", "é", "salle salle"):
         wanted = spark.range(1).select(norm_token(F.lit(query.strip())).alias("q")).first()["q"]
         assert rows_of(index.search(query), "job_id", "value") == sorted(k for k, v in plain.items() if wanted == "" or wanted in (v or ""))
+
+
+def test_lines_that_ask_the_same_meet_the_comparison_once(spark):
+    """Before-quantities of repeated, blank and null lines; the comparison's rows meet a question, not a line."""
+    lines = [(1, n, "r", "Bolt", "cat b") for n in range(40)] + [(1, 40, "r", "bolt", "none"), (1, 41, "", "Bolt", "cat b"), (1, 42, None, "Bolt", "cat b"),
+                                                               (1, 43, "r", None, "x"), (2, 1, "r", "Bolt", "cat b"), (1, 44, "s", "Nut", "cat a")]
+    lines += [(1, 44, "s", "Nut", "cat b"), (1, 45, "s", "Nut", None)]  # a line given twice, and one without a category
+    stock = [(1, "r", "bolt", "cat a", 2), (1, "r", "Bolt", "cat b", 3), (1, "r", "Bolt", "cat b", 4)]
+    compared = [(1, "s", "N", "O", "S", c, "nut", q) for c, q in (("cat a", 5), ("cat b", 6), ("cat c", 7))] + [(1, "r", "N", "O", "R", "cat b", "bolt", 9)]
+    got = document.quantity_before(spark.createDataFrame(lines, "job_id bigint, line bigint, room_id string, material string, category string"),
+                                   spark.createDataFrame(stock, "job_id bigint, room_id string, materiel string, categorie string, quantite bigint"),
+                                   spark.createDataFrame(compared, "job_id bigint, room_id string, niveau string, occupation string, piece string, categorie string, materiel string, quantite_avant bigint"))
+    want = [(1, n, 7) for n in range(40)] + [(1, 40, 9), (1, 41, 0), (1, 42, 0), (1, 43, 0), (1, 44, 5), (1, 44, 5), (1, 45, 5), (2, 1, 0)]
+    assert rows_of(got, "job_id", "line", "quantity_before") == sorted(want)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "_same" in plan and "_by" in plan  # sums and best rows per question, before lines come in
