@@ -93,14 +93,13 @@ def _answered(asked: DataFrame, answers: DataFrame, ask: list[str]) -> DataFrame
 def _first_match(wanted: DataFrame, comparison: DataFrame, prefer_category: bool) -> DataFrame:
     """Before-quantity per ``line`` from the comparison row its rooms and materials point to.
 
-    ``wanted(job_id, line, rooms ARRAY, pieces ARRAY, materials ARRAY, category_norm)``. Rooms match by id
+    ``wanted(job_id, line, rooms ARRAY, pieces ARRAY, materials ARRAY, category_norm)`` is read twice. Rooms match by id
     or by name: both become one kind of key, so the join is an equality. Lines that ask the same are answered once: a line
     meets one row per key, not all comparison rows of its material.
     """
     room_keys = F.concat(F.transform("rooms", lambda r: F.concat(F.lit("id:"), r)), F.transform("pieces", lambda p: F.concat(F.lit("nom:"), p)))
     asked = wanted.select("job_id", "line", "category_norm", F.explode(F.array_distinct(room_keys)).alias("room_key"), "materials").withColumn(
         "material_norm", F.explode(F.array_distinct("materials"))).drop("materials")
-    asked = cut_lineage(asked)
     offered = comparison.select(
         "job_id", F.explode(F.array_distinct(F.array(F.concat(F.lit("id:"), "room_id"), F.concat(F.lit("nom:"), norm_token("piece"))))).alias("room_key"),
         norm_token("materiel").alias("material_norm"), norm_token("categorie").alias("_cat"), "quantite_avant",
@@ -155,7 +154,7 @@ def document_lines(trace: DataFrame, submitted: DataFrame, comparison: DataFrame
                F.when(~F.col("_has_room"), norm_token(F.concat("room", F.lit(NEW_ROOM))))).alias("pieces"),
         filled(norm_token("comparison_material"), F.when(~F.col("_has_material"), norm_token("material"))).alias("materials"))
     nothing = F.when(F.col("_has_room") | F.col("_has_material"), "0").otherwise("")
-    plan = lines.join(_first_match(wanted, comparison, prefer_category=True), ["job_id", "line"], "left").select(
+    plan = lines.join(_first_match(cut_lineage(wanted), comparison, prefer_category=True), ["job_id", "line"], "left").select(
         "job_id", _or(tidy("p.id"), F.concat(F.lit("pdf-"), F.col("n").cast("string"))).alias("id"), "mapping_key", F.lit("pdf").alias("origin"),
         "room", tidy("p.lot").alias("lot"), tidy("p.sous_lot").alias("sous_lot"), "material", "category", "comparison_room",
         "comparison_material", "is_addition", F.coalesce(F.col("found").cast("string"), nothing).alias("quantity_before"),
@@ -178,7 +177,7 @@ def _typed_lines(submitted: DataFrame, comparison: DataFrame) -> DataFrame:
     wanted = lines.select(
         "job_id", "line", norm_token("category").alias("category_norm"), F.array("comparison_room").alias("rooms"),
         F.array(norm_token("comparison_room")).alias("pieces"), F.array(norm_token("comparison_material")).alias("materials"))
-    return lines.join(_first_match(wanted, comparison, prefer_category=False), ["job_id", "line"], "left").select(
+    return lines.join(_first_match(cut_lineage(wanted), comparison, prefer_category=False), ["job_id", "line"], "left").select(
         "job_id", _or("id", "line").alias("id"), _or("mapping_key", "line").alias("mapping_key"), F.lit("manual").alias("origin"), "room", "lot",
         "sous_lot", "material", "category", "comparison_room", "comparison_material", "is_addition",
         F.coalesce(F.col("found").cast("string"), F.lit("0")).alias("quantity_before"), _or("quantity_after", F.lit("1")).alias("quantity_after"),
