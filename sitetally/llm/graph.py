@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage
+from .common import written
 
 
 def _both(edges: DataFrame) -> DataFrame:
@@ -34,13 +34,13 @@ def components(edges: DataFrame) -> DataFrame:
     """(a long, b long) links to (node, root): root is the least node that can be reached; nodes without a link are absent.
 
     Null ends and links of a node with itself are ignored; repeated links count once. Rounds grow with the
-    logarithm of the longest chain, and each is cut by a checkpoint in the shared folder.
+    logarithm of the longest chain, and each is written into the shared folder.
     """
     edges = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    edges = cut_lineage(edges)
+    edges = written(edges, "links")
     before = _mark(edges)
     while before[0]:
-        edges = cut_lineage(_small_star(_large_star(edges)))
+        edges = written(_small_star(_large_star(edges)), "links")
         after = _mark(edges)
         if after == before:
             break

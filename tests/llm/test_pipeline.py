@@ -131,3 +131,60 @@ def test_near_copies_are_sought_by_fingerprints_and_verified(spark, monkeypatch)
     kept = overlap.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.doc_id for r in kept} == {1, 3}
     assert {simhash.fingerprint(t.encode()) for _, t in rows[:2]} <= {fp % 2**64 for fp in asked}
+
+
+def test_places_in_prefixes_keep_every_near_pair_and_drop_others():
+    """The first shared shingle of a near pair passes the test of places; late ones, that many pairs of a crowded shingle share, don't."""
+    import numpy as np
+
+    from sitetally.llm import overlap
+
+    class Side:
+        def __init__(self, found, counts):
+            self.size, self.keys = len(found), overlap.prefix(found, counts, overlap.SIMILARITY).tolist()
+
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**64, 300, dtype=np.uint64)
+    texts = [np.unique(np.concatenate([rng.permutation(base)[: 300 - cut], rng.integers(0, 2**64, cut, dtype=np.uint64)])) for cut in range(0, 90, 3)]
+    counts = np.zeros(overlap.COUNTERS, np.uint32)
+    for t in texts:
+        np.add.at(counts, overlap._counter(t), 1)
+    sides, near, met, passed = [Side(t, counts) for t in texts], 0, 0, 0
+    for i, a in enumerate(sides):
+        for j in range(i):
+            b = sides[j]
+            shared = [k for k in a.keys if k in set(b.keys)]
+            fits = [min(a.size - a.keys.index(k), b.size - b.keys.index(k)) * (1 + overlap.SIMILARITY) >= overlap.SIMILARITY * (a.size + b.size) - 1e-6 for k in shared]
+            same = len(np.intersect1d(texts[i], texts[j]))
+            if same >= overlap.SIMILARITY * (a.size + b.size - same):
+                near += 1
+                assert fits and fits[0]
+            met, passed = met + len(fits), passed + sum(fits)
+    assert near > 30 and passed < 0.8 * met
+
+
+def test_may_be_first_is_that_rule(spark):
+    from sitetally.llm import overlap
+
+    kind = "a struct<left: int, size: int>, b struct<left: int, size: int>"
+    rows = [((100, 100), (100, 100)), ((89, 100), (95, 100)), ((88, 100), (95, 100)), ((80, 80), (100, 100)), ((79, 80), (100, 100))]
+    found = spark.createDataFrame(rows, kind).select(overlap._may_be_first("a", "b", 0.8).alias("f")).collect()
+    assert [r["f"] for r in found] == [True, True, False, True, False]
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    import time
+    from pathlib import Path
+
+    root = Path(spark.sparkContext._temp_dir).parent.parent
+    files = lambda: {p for top in root.glob("blockmgr-*") for p in top.rglob("shuffle_*.data")}
+    counted = spark.range(10_000).groupBy((F.col("id") % 100).alias("k")).count()
+    counted.collect()
+    before = files()
+    table = written(counted, "test-shuffle")
+    for _ in range(50):  # files go a moment after the job
+        if files() <= before:
+            break
+        time.sleep(0.2)
+    assert before and files() <= before
+    assert table.count() == 100 and len(counted.collect()) == 100
