@@ -120,6 +120,26 @@ def test_crowded_shingles_meet_in_full(spark):
     assert sorted(r["doc_id"] for r in kept) == kept_places(list(range(len(texts))), texts)
 
 
+def test_a_large_group_of_near_copies_is_joined_without_all_its_pairs(spark, monkeypatch):
+    """Each text is near to a few others of its group and merely alike to the rest: pairs that are held against each other grow with the texts."""
+    import numpy as np
+
+    from sitetally.llm import overlap
+
+    rng, asked, plain = np.random.default_rng(11), [], overlap._verified
+    base, texts = [f"b{i}" for i in range(150)], []
+    for i in range(400):
+        w = list(base)
+        for at in rng.choice(150, 2, replace=False):
+            w[at] = f"x{i}.{at}"
+        texts.append(" ".join(w))
+    texts += [" ".join(f"y{i}.{j}" for j in range(40)) for i in range(20)]
+    monkeypatch.setattr(overlap, "_verified", lambda pairs, *rest: (asked.append(pairs.count()), plain(pairs, *rest))[1])
+    kept = overlap.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert sorted(r["doc_id"] for r in kept) == kept_places(list(range(len(texts))), texts)
+    assert sum(asked) < 10 * len(texts)
+
+
 def test_near_copies_are_sought_by_fingerprints_and_verified(spark, monkeypatch):
     """Texts at 2 or fewer differing bits meet as in op1, and stay apart where their shingles do."""
     from sitetally.llm import overlap, simhash
