@@ -29,6 +29,17 @@ def test_norm_token(spark, values):
     assert all(r.n == token(r.v) for r in rows)
 
 
+def test_plain_text_skips_the_accents_and_folds_alike(spark):
+    """Only text with a longer character looks for accents; nulls, numbers and mixed columns give the same keys as before."""
+    rows = [("SALLE-2  nord",), ("Sall\u00e9 3",), ("Salle\u0301 3",), ("",), (None,), ("\u00c9",), ("\u4e2d 7",), ("a\tb\x00c",)]
+    names = spark.createDataFrame(rows, "v string")
+    found = [tuple(r) for r in names.select(text.norm_token("v"), text.norm_span("v")).collect()]
+    assert found == [("salle 2 nord", "salle-2 nord"), ("salle 3", "salle 3"), ("salle 3", "salle 3"), ("", ""), ("", ""), ("e", "e"), ("7", "\u4e2d 7"), ("a b c", "a b\x00c")]
+    assert [r.n for r in spark.createDataFrame([(12,), (None,)], "v int").select(text.norm_token("v").alias("n")).collect()] == ["12", ""]
+    plan = names.select(text.norm_token("v").alias("n"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "octet_length" in plan.lower()
+
+
 def test_similarity_pruning_loses_nothing(spark):
     rng = random.Random(5)
     words = ["prise", "rj45", "lampe", "led", "16a", "murale", "store", "tableau", "salle", "eau", "zz"]
