@@ -208,3 +208,34 @@ def test_written_tables_leave_no_shuffle_files(spark):
         time.sleep(0.2)
     assert before and files() <= before
     assert table.count() == 100 and len(counted.collect()) == 100
+
+
+def test_no_near_pair_is_lost_to_an_estimate(spark):
+    """Words are exchanged just where most minima of the sketches lie: the pair is near although its sketches hardly agree."""
+    import numpy as np
+
+    from sitetally.llm import overlap, simhash
+
+    def values(found):
+        mixed = found[:, None] * overlap._FACTORS + overlap._ADDED
+        mixed ^= mixed >> np.uint64(32)
+        return mixed * np.uint64(0x9E3779B97F4A7C15)
+
+    text = lambda w: " ".join(w).encode()
+    base = [f"w{i}" for i in range(500)]
+    least, w = overlap.minima(overlap.shingles(text(base))), list(base)
+    for _ in range(10):
+        free = [i for i in range(5, 495) if w[i - 4 : i + 5] == base[i - 4 : i + 5]]
+        held = [int((values(overlap.shingles(text(base[i - 4 : i + 5]))).min(0) == least).sum()) for i in free]
+        at = free[int(np.argmax(held))]
+        tried = [[*base[at - 4 : at], f"z{at}.{k}", *base[at + 1 : at + 5]] for k in range(100)]
+        w[at] = tried[int(np.argmax([int((values(overlap.shingles(text(x))).min(0) < least).sum()) for x in tried]))][4]
+    a, b = (overlap.shingles(text(x)) for x in (base, w))
+    shared = len(np.intersect1d(a, b))
+    assert shared >= overlap.SIMILARITY * (len(a) + len(b) - shared)
+    agreeing = int(((overlap.minima(a) >> np.uint64(40) & np.uint64(15)) == (overlap.minima(b) >> np.uint64(40) & np.uint64(15))).sum())
+    assert agreeing < overlap._least_agreeing(overlap.SIMILARITY)
+    assert (simhash.fingerprint(text(base)) ^ simhash.fingerprint(text(w))).bit_count() > simhash.RADIUS
+    rows = [(1, " ".join(base)), (2, " ".join(w)), (3, "other words than those of the long texts above")]
+    kept = overlap.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"] for r in kept} == {1, 3}
